@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -46,17 +45,47 @@ class Vocabulary:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.parts = {rank: self._merged_from(token, rank) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        #: By their last three bytes: the lengths that tokens have, longest first.
-        self.lengths: dict[bytes, list[int]] = {}
         #: By token: the longest other token that it ends with.
-        self.shorter: dict[int, int] = {}
-        for token, rank in sorted(ranks.items(), key=lambda x: -len(x[0])):
-            self.shorter[rank] = next((ranks[token[i:]] for i in range(1, len(token)) if token[i:] in ranks), -1)
-            if len(token) > 2 and len(token) not in (own := self.lengths.setdefault(token[-3:], [])):
-                own.append(len(token))
+        self.shorter = {rank: next((ranks[token[i:]] for i in range(1, len(token)) if token[i:] in ranks), -1) for token, rank in ranks.items()}
+        self._build_states()
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.fitting: dict[int, bool] = {}
 
+    def _build_states(self) -> None:
+        """A state for each prefix of a token: the longest such prefix that the bytes so far end with.
+
+        ``token_at`` has the longest token that a state's bytes end with. Steps are
+        filled in when they are first taken.
+        """
+        children: list[dict[int, int]] = [{}]
+        self.token_at, depth = [-1], [b""]
+        for token in sorted(self.ranks):
+            state = 0
+            for k, byte in enumerate(token):
+                after = children[state].get(byte)
+                if after is None:
+                    after = children[state][byte] = len(children)
+                    children.append({})
+                    depth.append(token[: k + 1])
+                    self.token_at.append(-1)
+                state = after
+        self._children, self._fall, self.steps = children, [0] * len(children), {}
+        for state in sorted(range(1, len(children)), key=lambda s: len(depth[s])):
+            for byte, after in children[state].items():
+                self._fall[after] = self.step(self._fall[state], byte)
+            own = self.ranks.get(depth[state])
+            self.token_at[state] = self.token_at[self._fall[state]] if own is None else own
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        known = self.steps.get(state << 8 | byte)
+        if known is None:
+            at = state
+            while (known := self._children[at].get(byte)) is None and at:
+                at = self._fall[at]
+            self.steps[state << 8 | byte] = known = known or 0
+        return known
+
     def _merged_from(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The last two parts of ``token`` when merges below its own rank are applied."""
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -103,7 +132,7 @@ class PrefixTable:
     """The last token of each prefix of a byte string, which may grow and be edited."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.data, self.last, self.state = vocabulary, b"", [-1], [0]
         self.append(data)
 
     def append(self, data: bytes) -> None:
@@ -114,20 +143,14 @@ class PrefixTable:
 
     def _fill(self, first: int, stop: int) -> None:
         """Entries from ``first`` on: of the tokens that the prefix ends with, from the longest on, the one that fits what precedes it."""
-        data, last, v = self.data, self.last, self.vocabulary
-        find, lengths, size, shorter, known, none = v.ranks.get, v.lengths.get, v.size, v.shorter, v.fitting.get, ()
+        data, last, states, v = self.data, self.last, self.state, self.vocabulary
+        step, token_at, size, shorter, known = v.steps.get, v.token_at, v.size, v.shorter, v.fitting.get
+        state = states[first - 1]
         for end in range(first, stop):
-            token = None
-            if end > 2:
-                for n in lengths(data[end - 3 : end], none):
-                    if n <= end:
-                        token = find(data[end - n : end])
-                        if token is not None:
-                            break
-            if token is None:
-                token = find(data[end - 2 : end]) if end > 1 else None
-                if token is None:
-                    token = v.ranks[data[end - 1 : end]]
+            after = step(state << 8 | data[end - 1])
+            state = v.step(state, data[end - 1]) if after is None else after
+            states.append(state)
+            token = token_at[state]
             at = end - size[token]
             while at:
                 fit = known(last[at] << 32 | token)
@@ -142,7 +165,7 @@ class PrefixTable:
     def truncate(self, end: int) -> None:
         """Back to the prefix of length ``end``, whose entries are as they were."""
         self.data = self.data[:end]
-        del self.last[end + 1 :]
+        del self.last[end + 1 :], self.state[end + 1 :]
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` for bytes start to stop; returns how many entries were made anew.
@@ -152,13 +175,15 @@ class PrefixTable:
         """
         tail, old, shift = self.data[stop:], self.last[stop + 1 :], start + len(data)
         longest = self.vocabulary.longest
-        self.data, self.last = self.data[:start], self.last[: start + 1]
+        states = self.state[stop + 1 :]
+        self.data, self.last, self.state = self.data[:start], self.last[: start + 1], self.state[: start + 1]
         self.append(data)
         self.data += tail
         agree, made = 0, len(data)
         for i, before in enumerate(old):
             if agree >= longest:
                 self.last.extend(old[i:])
+                self.state.extend(states[i:])
                 break
             self._fill(shift + i + 1, shift + i + 2)
             token = self.last[-1]
@@ -187,7 +212,11 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[str]) -> Iterator[tuple[s
         if whole is not None and (len(data) == 1 or vocabulary.parts[whole]):
             yield piece, [whole]
             continue
-        shared = len(os.path.commonprefix((table.data, data)))
+        shared, before = 0, table.data
+        for a, b in zip(before, data, strict=False):
+            if a != b:
+                break
+            shared += 1
         table.truncate(shared)
         table.append(data[shared:])
         yield piece, table.ids()
@@ -197,9 +226,10 @@ class Pieces:
     """Split texts by a pattern of the ``| ?\\p{L}+|...|\\s+(?!\\S)|\\s+`` kind, with a result for each piece kept.
 
     No piece crosses from a character that isn't white space to a space that a
-    further such character follows. Texts are first cut there, which is a plain
-    ``split``; only words seen for the first time meet the pattern. Texts where a
-    cut would touch other white space are split by the pattern as a whole.
+    further such character follows, nor over a line end between two such characters.
+    Texts are first cut there, which is a plain ``split``; only words seen for the
+    first time meet the pattern. Texts where a cut would touch other white space are
+    split by the pattern as a whole.
     ``of_pieces`` yields each new piece with its result, ``join`` combines results.
     """
 
@@ -215,36 +245,40 @@ class Pieces:
 
     def _learn(self, found: Iterable[list[str]]) -> None:
         halve(self.pieces)
-        new = {piece for pieces in found for piece in pieces}.difference(self.pieces)
+        new = set().union(*found).difference(self.pieces)
         self.pieces.update(self.of_pieces(new))
 
     def __call__(self, texts: list[str]) -> list:
-        """The result of each text. A first word is kept with a space before it, which no other word has."""
+        """The result of each text.
+
+        Lines and their words are cut apart. A NUL before a word says that no space
+        stands before it, as at the start of a line; texts with a NUL of their own
+        aren't cut.
+        """
         halve(self.words)
-        cut = [(" " + text).split(" ")[1:] if text else [] for text in texts]
-        for words in cut:
-            if words:
-                words[0] = " " + words[0]
+        cut = [("\0" + text.replace("\n", " \n \0")).split(" ") if text and "\0" not in text else None for text in texts]
         new = {}
-        for word in {word for words in cut for word in words}.difference(self.words):
-            first = word[:1] == " "
+        for word in set().union(*(words for words in cut if words)).difference(self.words):
+            first = word[:1] == "\0"
             own = word[first:]
-            if word.isascii() and word.isalpha():
-                new[word] = [" " + word]
-            elif own and not (own[-1].isspace() or own[-1] in self.odd) and (first or not (own[0].isspace() or own[0] in self.odd)):
-                new[word] = self.findall(own if first else " " + own)
-            else:
+            if word == "\n":
+                new[word] = [word]
+            elif own.isascii() and own.isalpha():
+                new[word] = [own if first else " " + own]
+            elif not own or own[0].isspace() or own[0] in self.odd or own[-1].isspace() or own[-1] in self.odd:
                 self.words[word] = None
+            else:
+                new[word] = self.findall(own if first else " " + own)
         self._learn(new.values())
         known = self.pieces.__getitem__
         for word, pieces in new.items():
-            self.words[word] = self.join(map(known, pieces))
+            self.words[word] = known(pieces[0]) if len(pieces) == 1 else self.join(map(known, pieces))
         return [self._one(words, text) for words, text in zip(cut, texts, strict=True)]
 
-    def _one(self, words: list[str], text: str):
+    def _one(self, words: list[str] | None, text: str):
         try:
             return self.join(map(self.words.__getitem__, words))
-        except TypeError:  # a None
+        except TypeError:  # a word, or all of them, is None: only the whole text can be cut
             found = self.findall(text)
             self._learn([found])
             return self.join(map(self.pieces.__getitem__, found))

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalite.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -45,6 +47,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     names = df.columns
     types = df.sparkSession.createDataFrame([], schema).schema
     out = to_arrow_schema(types)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, compression_quality, quality_rules, secret_scan, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,32 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC records and read the archives back."""
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules and the frequency of lines on each source."""
+    return quality_rules.quality(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text, and whether they exceed a context of 1024."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op6_token_counts)}
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the labelled rows that aren't held out, score every text."""
+    docs = _table(spark, sf_dir, "documents")
+    return compression_quality.score(docs, compression_quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_warc_archive, op3_line_frequency, op6_token_counts, op7_compression_quality, op10_secret_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc_archive": warc.ORACLE}
