@@ -73,9 +73,9 @@ def budgets(leaves: DataFrame, total: float, weights: dict[tuple[str, str], floa
 def select(docs: DataFrame, total_share: float, weights: dict[tuple[str, str], float], epochs: int, seed: str, levels: Sequence[str] = LEVELS, range_rows: int = 20_000) -> DataFrame:
     """The chosen rows of ``docs`` (row, the levels, n_tokens), one for each epoch, with ``epoch`` and ``order``.
 
-    The total is ``total_share`` of all tokens. A row is chosen while the tokens
-    before it in its epoch are fewer than what the leaf's budget leaves for that
-    epoch, so that a leaf goes over its budget by less than one text. Rows without
+    The total is ``total_share`` of all tokens. A row is chosen if its middle, in
+    its epoch's order, is within what the leaf's budget leaves for that epoch: a
+    prefix that misses the budget by half a text at most. Rows without
     tokens are never chosen. Rows that tie (repeated ones) are told apart by row.
     Ranges are made so narrow that the largest leaf has about ``range_rows`` rows in each.
     """
@@ -98,7 +98,7 @@ def select(docs: DataFrame, total_share: float, weights: dict[tuple[str, str], f
     chosen = rows.join(written(sums, "mix-ranges"), [*levels, "epoch", "_range"])
     columns = ["row", *levels, "n_tokens", "epoch", "order"]
     inside = Window.partitionBy(*levels, "epoch", "_range").orderBy("order", "row").rowsBetween(Window.unboundedPreceding, -1)
-    last = chosen.where(~F.col("_whole")).withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("_at < allowed")
+    last = chosen.where(~F.col("_whole")).withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("_at + n_tokens / 2 <= allowed")
     return chosen.where("_whole").select(columns).unionByName(last.select(columns))
 
 
