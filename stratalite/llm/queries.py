@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression_quality, mixing, ngram_join, quality_rules, secret_scan, token_counts, warc
+from . import bpe, compression_quality, imatch, mixing, ngram_join, pii, quality_rules, secret_scan, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and links of all texts with a Jaccard similarity of 0.8 or more on five words."""
     return ngram_join.join(_table(spark, sf_dir, "documents")).drop("text_hash")
@@ -43,6 +48,11 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(docs, compression_quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, their edited texts and their neighbours."""
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each epoch chosen by budgets on the tree of domain, language and source."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -53,6 +63,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_warc_archive, op3_line_frequency, op5_ngram_join, op6_token_counts, op7_compression_quality, op9_source_mix, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_warc_archive, op3_line_frequency, op4_weak_supervision_pii, op5_ngram_join, op6_token_counts, op7_compression_quality, op8_imatch, op9_source_mix, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc_archive": warc.ORACLE}
