@@ -1,22 +1,4 @@
-"""Registry of the library's queries over the driver tables, each with the SQL it is held against."""
+"""All queries of the library over the driver tables."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a ``(spark, sf_dir) -> DataFrame`` function, with its oracle where SQL has one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
+from . import catalogs, grids, joins, models, scalars, statistics  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
