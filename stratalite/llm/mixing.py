@@ -130,4 +130,5 @@ def mix(docs: DataFrame, **targets) -> DataFrame:
 def keep_chosen(docs: DataFrame, **targets) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id is chosen; once for each epoch that chooses it (rows that repeat an id: once)."""
     found = mix(docs, **targets).select(F.col("doc_id").alias("_chosen"), "epoch").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_chosen"])).drop("_chosen", "epoch")
+    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_id"))
+    return rows.join(found, F.col("_id").eqNullSafe(F.col("_chosen"))).select("_row.*")

@@ -138,12 +138,13 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         return batch
 
     schema = "doc_id long, text_hash long, n long, first long, second long, band array<long>"
-    rows_in = keyed(docs).select("doc_id", "_text_hash", text_of(docs).alias("text"))
+    rows_in = keyed(docs).select(F.col("_id").alias("doc_id"), "_text_hash", F.col("_text").alias("text"))
     return written(map_batches(rows_in, make, schema, 128).withColumn("row", F.monotonically_increasing_id()), "gram-signatures")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text_hash", F.xxhash64(text_of(docs)))
+    """Every row as one struct, its id, its text and the text's hash: no name of a column of ``docs`` can clash."""
+    return docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), text_of(docs).alias("_text"), F.xxhash64(text_of(docs)).alias("_text_hash"))
 
 
 def shared_counts(sets: list):
@@ -205,8 +206,11 @@ def least_reached(near):
         label = best
 
 
-def verify_block(rows: list[tuple], words: int, similarity: float) -> Iterator[tuple[int, int, int]]:
-    """Of the rows of a pair of blocks (row, component, block, copies, text): row, partners found, least row reached."""
+def verify_block(rows: list[tuple], across: bool, words: int, similarity: float) -> Iterator[tuple[int, int, int]]:
+    """Of the rows of a pair of blocks (row, component, block, copies, text): row, partners found, least row reached.
+
+    With ``across`` the blocks differ, and pairs inside one of them are another task's, even if the other block is empty.
+    """
     by: dict[int, dict[int, tuple]] = {}
     for row, component, block, copies, text in rows:
         by.setdefault(component, {})[row] = (block, copies, text)  # a repeated row of the table comes once
@@ -215,7 +219,7 @@ def verify_block(rows: list[tuple], words: int, similarity: float) -> Iterator[t
         if len(keys) < 2:
             continue
         sets, blocks = [grams(members[k][2], words) for k in keys], [members[k][0] for k in keys]
-        near = similar(sets, blocks if len(set(blocks)) > 1 else None, similarity)
+        near = similar(sets, blocks if across else None, similarity)
         partners, reached = near @ [members[k][1] for k in keys], least_reached(near)
         for k, n, to in zip(keys, partners, reached, strict=True):
             if n:
@@ -253,7 +257,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     dealt = members.join(per.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("row", F.lit("block")), F.col("blocks")).cast("int"))
     # components of one block share tasks' groups: their key is a pack, below 0
     dealt = dealt.withColumn("key", F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component")))
-    texts = keyed(docs).select(docs["doc_id"].alias("_id"), "_text_hash", text_of(docs).alias("text"))
+    texts = keyed(docs).select("_id", "_text_hash", F.col("_text").alias("text"))
     full = dealt.join(texts, (dealt["text_hash"] == texts["_text_hash"]) & dealt["doc_id"].eqNullSafe(texts["_id"]))
     pairs = full.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "row", "component", "block", "copies", "text")
@@ -262,7 +266,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     def verify(batch):
         import pandas as pd
 
-        return pd.DataFrame(verify_block(list(batch[["row", "component", "block", "copies", "text"]].itertuples(index=False)), words, similarity), columns=["row", "partners", "reached"])
+        across = bool((batch["low"] != batch["high"]).any())
+        return pd.DataFrame(verify_block(list(batch[["row", "component", "block", "copies", "text"]].itertuples(index=False)), across, words, similarity), columns=["row", "partners", "reached"])
 
     found = written(pairs.groupBy("key", "low", "high").applyInPandas(verify, "row long, partners long, reached long"), "gram-links")
     links = found.groupBy("row").agg(F.sum("partners").alias("partners"))
@@ -290,5 +295,5 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their class (one of rows that repeat it)."""
     first = join(docs, **how).where("is_first").select(F.col("doc_id").alias("_first_id"), F.col("text_hash").alias("_first_hash"))
     rows = keyed(docs)
-    kept = rows.join(first, rows["doc_id"].cast("long").eqNullSafe(first["_first_id"]) & (rows["_text_hash"] == first["_first_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+    kept = rows.join(first, rows["_id"].eqNullSafe(first["_first_id"]) & (rows["_text_hash"] == first["_first_hash"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_text_hash"]).select("_row.*")

@@ -240,11 +240,12 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     place, so that nothing is joined and rows that repeat an id need no key.
     """
     classifier = train(search(docs))
-    text = F.col("text").cast("string")
-    base = base_spans(text)
-    row = docs.withColumn("_base", F.when(text.isNotNull(), base)).withColumn("_all", F.when(text.isNotNull(), candidates(text)))
+    text = F.col("_text")
+    row = docs.select(F.struct("*").alias("_row"), docs["text"].cast("string").alias("_text"))
+    row = row.withColumn("_base", F.when(text.isNotNull(), base_spans(text))).withColumn("_all", F.when(text.isNotNull(), candidates(text)))
     free = F.filter("_all", lambda c: classifier.accepts(c) & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     added = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     row = row.withColumn("_spans", F.sort_array(F.concat("_base", added)))
-    row = row.withColumn("text", F.when(F.size("_spans") > 0, masked(text, F.col("_spans"))).otherwise(text))
-    return row.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    row = row.withColumn("_text", F.when(F.size("_spans") > 0, masked(text, F.col("_spans"))).otherwise(text))
+    new = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text").cast("long"), F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return row.select([new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
