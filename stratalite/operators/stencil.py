@@ -12,7 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ROW, _COL = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+def _row():
+    """Along a row; a window needs a session, so none is made on import."""
+    return Window.partitionBy("row").orderBy("col")
+
+
+def _col():
+    return Window.partitionBy("col").orderBy("row")
 
 
 def derivatives(cells: DataFrame, dx: float = 1.0, dy: float = 1.0, value: str = "value") -> DataFrame:
@@ -23,7 +29,7 @@ def derivatives(cells: DataFrame, dx: float = 1.0, dy: float = 1.0, value: str =
         first, last = F.row_number().over(w) == 1, F.lead(F.lit(1)).over(w).isNull()
         return F.when(first & last, F.lit(0.0)).when(first, (after - here) / step).when(last, (here - before) / step).otherwise((after - before) / (2 * step))
 
-    return cells.withColumns({"dx": along(_ROW, dx), "dy": along(_COL, dy)})
+    return cells.withColumns({"dx": along(_row(), dx), "dy": along(_col(), dy)})
 
 
 def directional(cells: DataFrame, azimuth: float, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
@@ -84,11 +90,11 @@ def gain_control(cells: DataFrame, radius: int, how: str = "mean") -> DataFrame:
 
 def sobel(cells: DataFrame) -> DataFrame:
     """Adds dzdx and dzdy of the 3x3 Sobel operator (over 8), the border repeated outwards."""
-    w = lambda k: {f"_{k}a": F.coalesce(F.lag("value").over(_ROW), "value"), f"_{k}b": F.coalesce(F.lead("value").over(_ROW), "value")}
+    w = lambda k: {f"_{k}a": F.coalesce(F.lag("value").over(_row()), "value"), f"_{k}b": F.coalesce(F.lead("value").over(_row()), "value")}
     c = cells.withColumns(w("r"))
     c = c.withColumns({"_dx": F.col("_rb") - F.col("_ra"), "_sx": F.col("_ra") + 2 * F.col("value") + F.col("_rb")})
-    up = lambda n: F.coalesce(F.lag(n).over(_COL), n)
-    down = lambda n: F.coalesce(F.lead(n).over(_COL), n)
+    up = lambda n: F.coalesce(F.lag(n).over(_col()), n)
+    down = lambda n: F.coalesce(F.lead(n).over(_col()), n)
     c = c.withColumns({"dzdx": (up("_dx") + 2 * F.col("_dx") + down("_dx")) / 8, "dzdy": (up("_sx") - down("_sx")) / 8})
     return c.drop("_ra", "_rb", "_dx", "_sx")
 
