@@ -6,9 +6,13 @@ takes f of all documents' distinct terms, so that there are no more than (mean
 distinct terms) / f. That bound is checked before the lexicon is broadcast.
 
 A text's distinct lexicon terms are sorted, and hashed once for the whole lexicon
-and once for each of several random subsets of it, from halves to a few
-thousandths, so that long texts have subsets that a change leaves alone. Texts
-without a lexicon term have the hash of all their distinct terms instead.
+and once for each of several random subsets of it, from a half to a few
+thousandths, so that long texts have subsets that a change leaves alone. Subsets
+are classes of the terms' hashes. Texts without a lexicon term have the hash of
+all their distinct terms instead.
+
+Texts are shuffled once, to their neighbours by id. Terms are looked up, gathered
+and hashed in that same stage.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from .common import text_of, written
 
 #: The band: ln(documents / documents with the term), from a quarter of the documents to a thousandth.
 LEAST_IDF, MOST_IDF = 1.4, 6.9
-#: One in so many terms is in a subset, for each of the subsets.
-ONE_IN = (1, 2, 2, 2, 8, 8, 8, 8, *[32] * 8, *[128] * 12, *[512] * 4)
+#: Subsets: (bits, n) are the first n of the 2 ** bits classes that so many bits of a term's hash make. Each group has bits of its own.
+SUBSETS = ((1, 1), (3, 4), (5, 12), (7, 24), (9, 16))
 #: Most rows of a lexicon that is broadcast; a larger one (texts of over 2,000 distinct terms on average) is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Rows of neighbouring ids that are ordered together, and how many of them the bucket above gets too, as likely successors of its last.
@@ -34,18 +38,14 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float = MOST_IDF) -> tuple[DataFrame, int]:
-    """A written table of term hashes in the band, with a bit for each subset that has the term; and its rows.
+    """A written table of the term hashes in the band, and its rows.
 
     Counts are of all documents; partial sums are formed before the shuffle.
     """
     total = docs.count()
     counts = docs.select(F.explode(terms(text_of(docs))).alias("t")).groupBy(F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("n"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("n"))
-    bits = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(one_in)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, one_in in enumerate(ONE_IN)]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
-    found = written(counts.where((idf >= least_idf) & (idf <= most_idf)).select("term", mask.cast("long").alias("mask")), "imatch-lexicon")
+    found = written(counts.where((idf >= least_idf) & (idf <= most_idf)).select("term"), "imatch-lexicon")
     return found, found.count()
 
 
@@ -106,23 +106,53 @@ def with_next(docs: DataFrame) -> DataFrame:
     return placed.select("bucket", "guest", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
 
 
-def fingerprint_text(found: Column, everything: Column) -> Column:
-    """The fingerprint of a list of (term, mask): sorted and hashed for each subset, ``-`` where that has no term."""
-    ordered = F.sort_array(found)
+def _no_term() -> Column:
+    return F.xxhash64(F.array().cast("array<bigint>"))
+
+
+def _class(at: int, bits: int):
+    """A term's class by ``bits`` bits of its hash from ``at`` on."""
+    return lambda t: F.shiftrightunsigned(t, at).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _below(of, n: int):
+    return lambda t: of(t) < n
+
+
+def _equal(of, k: int):
+    return lambda t: of(t) == k
+
+
+def groups(ordered: Column) -> list[Column]:
+    """Of sorted terms: those in a subset of each group."""
+    out, at = [], 0
+    for bits, n in SUBSETS:
+        out.append(F.filter(ordered, _below(_class(at, bits), n)))
+        at += bits
+    return out
+
+
+def hashes(ordered: Column, parts: list[Column], everything: Column) -> Column:
+    """One hash for the whole lexicon and for each subset; that of all terms alone if none is in the lexicon."""
+    out, at = [F.xxhash64(ordered)], 0
+    for (bits, n), part in zip(SUBSETS, parts, strict=True):
+        out += [F.xxhash64(F.filter(part, _equal(_class(at, bits), k))) for k in range(n)]
+        at += bits
+    return F.when(F.size(ordered) > 0, F.array(*out)).otherwise(F.array(everything))
 
-    def of(k: int) -> Column:
-        own = F.filter(ordered, lambda t: t["mask"].bitwiseAND(F.lit(1 << k)) != 0)
-        return F.when(F.size(own) > 0, F.lpad(F.hex(F.xxhash64(F.transform(own, lambda t: t["term"]))), 16, "0").substr(1, 12)).otherwise(F.lit("-"))
 
-    return F.when(F.size(found) > 0, F.concat_ws(",", *[of(k) for k in range(len(ONE_IN))])).otherwise(F.concat(F.lit("all:"), F.hex(everything)))
+def shown(hashed: Column) -> Column:
+    """The fingerprint as text: a hash for each subset, ``-`` where that has no term."""
+    one = lambda h: F.when(h == _no_term(), F.lit("-")).otherwise(F.lpad(F.hex(h), 16, "0").substr(1, 12))
+    return F.concat(F.when(F.size(hashed) == 1, F.lit("all:")).otherwise(F.lit("")), F.concat_ws(",", F.transform(hashed, one)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of subsets with equal terms among those that either fingerprint has terms of; 1 for equal fingerprints."""
-    pair = F.arrays_zip(F.split(a, ",").alias("a"), F.split(b, ",").alias("b"))
-    either = F.filter(pair, lambda p: ~(p["a"].eqNullSafe(F.lit("-")) & p["b"].eqNullSafe(F.lit("-"))))
-    same = F.filter(either, lambda p: p["a"].eqNullSafe(p["b"]))
-    return F.when(a == b, 1.0).otherwise(F.size(same) / F.greatest(F.size(either), F.lit(1)).cast("double"))
+def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the share of subsets with equal terms among those that either has terms of; 1 for equal fingerprints."""
+    both = lambda x, y: F.when((x == _no_term()) & (y == _no_term()), F.lit(0)).when(x == y, F.lit(1001)).otherwise(F.lit(1))
+    df = df.withColumn("_met", F.aggregate(F.zip_with(a, b, both), F.lit(0), lambda acc, x: acc + x))
+    share = F.floor(F.col("_met") / 1000) / F.greatest(F.col("_met") % 1000, F.lit(1)).cast("double")
+    return df.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).otherwise(share)).drop("_met")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -138,24 +168,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     empty. Repeated rows stay, each the next of the one before; an only row is its own next.
     """
     lex, size = lexicon(docs)
+    lex = lex.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term")))  # no text has the empty term: it leads each text's row through the join
     placed = with_next(docs).withColumn("changed", F.when(F.col("guest") == 0, edited(F.col("text"), F.coalesce("next_text", F.lit("")))))
-    # the terms of both texts, each once, with bit 1 for the text and 2 for the edited text
-    own, new = terms(F.col("text")), F.coalesce(terms(F.col("changed")), F.array().cast("array<string>"))
-    info = placed.select(
-        "bucket", "rn", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("changed", "UTF-8"), 256).alias("edited_sha256"),
-        F.xxhash64(F.sort_array(own)).alias("all_own"), F.xxhash64(F.sort_array(new)).alias("all_new"), own.alias("own"), new.alias("new"),
+    placed = placed.select("bucket", "rn", "guest", "doc_id", "text", "changed", terms(F.col("text")).alias("own"), F.coalesce(terms(F.col("changed")), F.array().cast("array<string>")).alias("new"))
+    info = F.struct(
+        "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("changed", "UTF-8"), 256).alias("edited_sha256"),
+        F.xxhash64(F.sort_array("own")).alias("all_own"), F.xxhash64(F.sort_array("new")).alias("all_new"),
     )
-    each = info.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("own").alias("t")), F.struct(F.lit(1).alias("v"), F.col("new").alias("t")))).alias("x"))
-    each = each.select("bucket", "rn", "x.v", F.explode("x.t").alias("t")).select("bucket", "rn", "v", F.xxhash64("t").alias("term"))
+    nothing = F.lit(None).cast("struct<guest: int, doc_id: bigint, n_chars: bigint, edited_sha256: string, all_own: bigint, all_new: bigint>")
+    of = lambda v, column: F.transform(column, lambda t: F.struct(F.lit(v).alias("v"), F.xxhash64(t).alias("term"), nothing.alias("info")))
+    row = F.array(F.struct(F.lit(2).alias("v"), F.xxhash64(F.lit("")).alias("term"), info.alias("info")))
+    each = placed.select("bucket", "rn", F.inline(F.concat(of(0, "own"), of(1, "new"), row)))
     hits = each.join(F.broadcast(lex) if size <= BROADCAST_ROWS else lex, "term")
-    entry = F.struct("term", "mask")
-    lists = hits.groupBy("bucket", "rn").agg(F.collect_list(F.when(F.col("v") == 0, entry)).alias("in_own"), F.collect_list(F.when(F.col("v") == 1, entry)).alias("in_new"))
-    none = F.array().cast("array<struct<term: bigint, mask: bigint>>")
-    both = info.drop("own", "new").join(lists, ["bucket", "rn"], "left")
-    printed = both.select(
+    lists = hits.groupBy("bucket", "rn").agg(
+        F.collect_list(F.when(F.col("v") == 0, F.col("term"))).alias("own"), F.collect_list(F.when(F.col("v") == 1, F.col("term"))).alias("new"), F.first("info", ignorenulls=True).alias("info")
+    )
+    # each step is a select of its own, so that what several columns use is made once
+    ordered = lists.select("bucket", "rn", "info.*", F.sort_array("own").alias("own"), F.sort_array("new").alias("new"))
+    parts = ordered.select("*", *[c.alias(f"{v}{k}") for v in ("own", "new") for k, c in enumerate(groups(F.col(v)))])
+    made = parts.select(
         "bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256",
-        fingerprint_text(F.coalesce("in_own", none), F.col("all_own")).alias("fingerprint"), fingerprint_text(F.coalesce("in_new", none), F.col("all_new")).alias("edited_fingerprint"),
+        *[hashes(F.col(v), [F.col(f"{v}{k}") for k in range(len(SUBSETS))], F.col(f"all_{v}")).alias(f"{v}_hashes") for v in ("own", "new")],
     )
-    following = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn"))
-    out = printed.withColumn("_next", following).where("guest = 0")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
+    out = made.withColumn("next_hashes", F.lead("own_hashes").over(Window.partitionBy("bucket").orderBy("rn"))).where("guest = 0")
+    out = likeness(likeness(out, "own_hashes", "new_hashes", "near_edited"), "own_hashes", "next_hashes", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own_hashes")).alias("fingerprint"), shown(F.col("new_hashes")).alias("edited_fingerprint"), "near_edited", "near_next")
