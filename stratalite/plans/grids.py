@@ -94,11 +94,11 @@ def band_equation(spark, sf_dir):
 
 @query("band_mean_std", f"""WITH {CELLS}, b AS (SELECT scene, "row", col, tax, qty, CASE WHEN "row" > 3 THEN price / 10000 END AS p FROM cells),
 l AS (SELECT scene, "row", col, unnest([p, tax, qty]) AS v FROM b)
-SELECT scene, "row", col, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM l GROUP BY ALL""")
+SELECT scene, "row", col, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std FROM l GROUP BY ALL""")
 def band_mean_std(spark, sf_dir):
     c = cells(spark, sf_dir).withColumn("p", F.when(F.col("row") > 3, F.col("price") / 10000))
     names = ["p", "tax", "qty"]
-    return _rounded(c.select("scene", "row", "col", grid.bands_mean(names).alias("mean"), grid.bands_std(names).alias("std")), "mean", "std")
+    return _rounded(c.select("scene", "row", "col", grid.bands_mean(names).alias("mean"), grid.bands_std(names).alias("std")), "mean", "std", places=9)  # six places would be exact ties
 
 
 @query("band_ratio_ndvi", f"""WITH {CELLS} SELECT scene, "row", col, round(CASE WHEN abs(price + qty) > 1e-8 THEN (price - qty) / (price + qty) END, 6) AS value FROM cells""")
