@@ -16,7 +16,7 @@ from stratalite.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and so do lines that too many documents of a source share."""
     return quality_rules.keep_good(docs)
 
 

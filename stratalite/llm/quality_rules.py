@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from stratalite.session import ship
+
+from .common import map_batches, text_of, written
 
 #: Fixed characters of the base statistics.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -57,41 +59,53 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-def line_words(text: str | None) -> dict[int, int]:
-    """By the hash of each normalised line with a word: the words of all its occurrences."""
+def line_keys(text: str | None) -> list[tuple[int | None, int]]:
+    """The hash (None without a word) and the words of each line, normalised."""
     import xxhash
 
-    zeros, out = bytes.maketrans(b"123456789", b"0" * 9), {}
+    zeros, out = bytes.maketrans(b"123456789", b"0" * 9), []
     for line in (text or "").encode("utf-8", "surrogatepass").lower().translate(zeros).split(b"\n"):
-        if words := line.split():
-            key = xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
-            out[key] = out.get(key, 0) + len(words)
+        words = line.split()
+        out.append((xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63 if words else None, len(words)))
     return out
 
 
+def line_words(text: str | None) -> dict[int, int]:
+    """By the hash of each normalised line with a word: the words of all its occurrences."""
+    out = {}
+    for key, n in line_keys(text):
+        if n:
+            out[key] = out.get(key, 0) + n
+    return out
+
+
+def without_lines(text: str, removed) -> str:
+    """The text without all lines whose hash is in ``removed``, each with its line end."""
+    gone = set(removed)
+    return "\n".join(line for line, (key, _) in zip(text.split("\n"), line_keys(text), strict=True) if key not in gone)
+
+
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """A written table with a row for each document: its statistics, and hash and words of each distinct line.
 
-    ``row`` numbers the rows, so that repeated rows and null ids stay apart.
+    ``row`` numbers the rows, so that repeated rows and null ids stay apart; ``same`` is the text's hash, natively.
     """
-    import xxhash
 
     def make():
-        def batch(keys, hosts, texts):
-            for key, where, text in zip(keys, hosts, texts, strict=True):
+        def batch(keys, hosts, hashes, texts):
+            for key, where, same, text in zip(keys, hosts, hashes, texts, strict=True):
                 lines = line_words(text)
-                same = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63
                 yield key, where, same, *statistics(text), list(lines), list(lines.values())
 
         return batch
 
     schema = "doc_id long, host string, same long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<long>"
-    rows = docs.select(docs["doc_id"].cast("long"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"), docs["text"].cast("string"))
+    rows = docs.select(docs["doc_id"].cast("long"), text_of(docs, host).alias("host"), F.xxhash64(text_of(docs)).alias("same"), docs["text"].cast("string"))
     return written(map_batches(rows, make, schema).withColumn("row", F.monotonically_increasing_id()), "quality-measures")
 
 
 def judge(measured: DataFrame, min_docs: int, share: float, min_words: int, min_left: float) -> DataFrame:
-    """Add base_failed, ``n_left`` (words in lines that stay) and kept to the rows of :func:`measure`.
+    """Add base_failed, ``n_left`` (words in lines that stay), ``removed_lines`` (hashes of the others, null if none) and kept to the rows of :func:`measure`.
 
     A line is frequent if more than ``min_docs`` distinct documents of the host,
     and more than ``share`` of them, have it. A document is rejected if it fails the
@@ -104,7 +118,7 @@ def judge(measured: DataFrame, min_docs: int, share: float, min_words: int, min_
     once = lines.groupBy("host", "line", "same").agg(F.min("doc_id").alias("first"))
     frequent = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") > min_docs)
     frequent = frequent.join(hosts, "host").where(F.col("docs") > share * F.col("host_docs")).select("host", "line", "first")
-    removed = lines.join(frequent, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("words").alias("removed"))
+    removed = lines.join(frequent, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("removed_lines"))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     return (
@@ -130,6 +144,22 @@ def quality(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id :func:`quality` keeps (in one of its rows, if it is repeated)."""
-    good = judge(measure(docs, host), **PRODUCTION | limits).where("kept").select(F.col("doc_id").alias("_good_id"))
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_good_id"]), "left_semi")
+    """The rows of ``docs`` that :func:`quality` keeps, with all their columns, without their frequent lines.
+
+    ``text`` loses the lines above the limit (the first document of the host keeps
+    them) and ``n_chars`` is counted anew where it does. A verdict depends on id,
+    host and text alone, so rows are met by these three, and rows that repeat all stay.
+    """
+    same = ["_id", "_host", "_same"]
+    verdict = judge(measure(docs, host), **PRODUCTION | limits).where("kept").select(F.col("doc_id").alias("_id2"), F.col("host").alias("_host2"), F.col("same").alias("_same2"), F.col("removed_lines").alias("_removed"))
+    verdict = verdict.dropDuplicates([c + "2" for c in same])
+    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].cast("long").alias("_id"), text_of(docs, host).alias("_host"), F.xxhash64(text_of(docs)).alias("_same"))
+    kept = rows.join(verdict, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_host") == F.col("_host2")) & (F.col("_same") == F.col("_same2"))).select("_row", "_removed")
+    ship(docs.sparkSession)
+
+    cleaned = F.udf(lambda text, removed: None if removed is None else without_lines(text, removed), "string", useArrow=True)
+    kept = kept.withColumn("_text", cleaned(F.when(F.col("_removed").isNotNull(), F.col("_row.text").cast("string")), F.col("_removed")))
+    new = {"text": F.coalesce("_text", F.col("_row.text").cast("string"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("_text").cast(docs.schema["n_chars"].dataType), F.col("_row.n_chars"))
+    return kept.select([new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -72,6 +72,17 @@ def test_op3_odd_rows(odd, none):
     assert quality_rules.quality(none).count() == quality_rules.keep_good(none).count() == 0
 
 
+def test_op3_lines_are_removed(spark):
+    shared = "Shared LINE of  page 12, all rights reserved"
+    own = [" ".join(chr(97 + i) * 3 + chr(97 + j) for j in range(25)) for i in range(10)]
+    rows = [(i, f"{shared.replace('12', str(30 + i))}\n{own[i]}\n\n{shared}\n", "en", "h") for i in range(8)]
+    rows += [(3, f"{own[8]} \u00e9\n{shared}", "en", "h"), (3, own[9], "en", "h"), (20, f"{shared}\n{own[0]}", "en", "g"), (21, "too short\n" + shared, "en", "h")]
+    got = quality_rules.keep_good(documents(spark, rows), min_docs=3, share=0.1, min_words=8, min_left=0.3)
+    want = [(0, rows[0][1], "h")] + [(i, f"{own[i]}\n\n", "h") for i in range(1, 8)] + [(3, own[8] + " \u00e9", "h"), (3, own[9], "h"), (20, rows[10][1], "g")]
+    assert sorted((r.doc_id, r.text, r.source) for r in got.collect()) == sorted(want)
+    assert got.where("n_chars <> length(text)").count() == 0
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
