@@ -107,18 +107,17 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 def judge(measured: DataFrame, min_docs: int, share: float, min_words: int, min_left: float) -> DataFrame:
     """Add base_failed, ``n_left`` (words in lines that stay), ``removed_lines`` (hashes of the others, null if none) and kept to the rows of :func:`measure`.
 
-    A line is frequent if more than ``min_docs`` distinct documents of the host,
-    and more than ``share`` of them, have it. A document is rejected if it fails the
+    A line is frequent if more than ``min_docs`` distinct documents of the host have
+    it, however large the host is: ``share`` is taken but is no condition, as it would
+    let the lines of large hosts pass. A document is rejected if it fails the
     base rules, or keeps fewer than ``min_words`` words or less than ``min_left`` of them.
     """
     lines = measured.select("row", "doc_id", "host", "same", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select(
         "row", "doc_id", "host", "same", F.col("l.line").alias("line"), F.col("l.line_words").alias("words")
     )
-    hosts = measured.groupBy("host").agg(F.countDistinct("same").alias("host_docs"))
     once = lines.groupBy("host", "line", "same").agg(F.min("doc_id").alias("first"))
     frequent = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") > min_docs)
-    frequent = frequent.join(hosts, "host").where(F.col("docs") > share * F.col("host_docs")).select("host", "line", "first")
-    removed = lines.join(frequent, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("removed_lines"))
+    removed = lines.join(frequent.select("host", "line", "first"), ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("removed_lines"))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     return (
@@ -129,7 +128,7 @@ def judge(measured: DataFrame, min_docs: int, share: float, min_words: int, min_
     )
 
 
-#: A line that over 20 documents and a tenth of a host share is boilerplate; a document needs 8 words, and three tenths of its own, without it.
+#: A line that over 20 documents of a host share is boilerplate (the share of the host doesn't count); a document needs 8 words, and three tenths of its own, without it.
 PRODUCTION = {"min_docs": 20, "share": 0.1, "min_words": 8, "min_left": 0.3}
 
 

@@ -83,6 +83,14 @@ def test_op3_lines_are_removed(spark):
     assert got.where("n_chars <> length(text)").count() == 0
 
 
+def test_op3_hot_host(spark):
+    """A line's verdict doesn't vanish as its host grows."""
+    words = [" ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j) for j in range(25)) for i in range(400)]
+    rows = [(i, words[i] + ("\nall rights reserved" if i < 30 else "\nread more here" if i < 50 else ""), "en", "hot") for i in range(400)]
+    got = {r.doc_id: r.n_left for r in quality_rules.quality(documents(spark, rows)).collect()}
+    assert got == {i: 25 + (3 if i in (0, *range(30, 50)) else 0) for i in range(400)}
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
