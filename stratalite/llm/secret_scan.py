@@ -1,8 +1,10 @@
 """Secret scans: fixed base patterns, and literals that are given to names which ask for secrets.
 
 Lines with an assignment sign are lexed as source or configuration text: names,
-quoted or bare literals, assignment signs and ``+``. That gives pairs of a name
-and an expression. Constants are followed through the text: a name that was given
+quoted or bare literals, assignment signs, brackets and ``+``. That gives pairs of
+a name and an expression, which goes on inside brackets and over line ends until
+it closes; all of its literals count. In a chain of signs, as in
+``api_key: str = "..."``, each name is a target. Constants are followed through the text: a name that was given
 a literal stands for it where it is given on to another name, so
 ``K = "x9..."; api_key = K`` marks the literal of ``K``. A literal is scored by
 the sensitive words of its target names and by how random it looks.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -36,8 +39,9 @@ SENSITIVE = {
 PLACEHOLDER = re.compile(r"(?ai)example|sample|dummy|changeme|placeholder|your[_-]|redacted|undefined|<.*>|\$\{|\{\{|^(?:none|null|true|false)$|^(.)\1*$|xxxx|\*\*\*")
 
 _SIGNS = re.compile(r"[:=]")
+_CONSTANT = re.compile(r"[A-Z]+(?:_[A-Z]+)+")  # as an argument, the name of a setting
 _LEXER = re.compile(
-    r"""(?P<blank>[ \t]+|//.*|(?<![\w])\#(?!\w{3,8}\b).*)
+    r"""(?P<blank>[ \t\r]+|//.*|&'[a-z_]+\b(?!')|(?<![\w])\#(?!\w{3,8}\b).*)
     |(?P<string>"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|`[^`]*+`)
     |(?P<sign>=>|:=|:(?!:)|=(?!=))
     |(?P<name>[^\W\d][\w.-]*+)
@@ -64,49 +68,205 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 3.5) * 0.8 + 0.3 * min(kinds, 3) + 0.3 * (n >= 20) - 0.6 * (kinds == 1)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Names and the literals given to them, with positions, constants followed: one entry for each assignment."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    out, done = [], 0
+class _Given:
+    """A target and what is given to it: groups of terms (is_name, value, start, end, inner), a group for each sum, and assignments inside."""
+
+    def __init__(self, target: str, sign: str, depth: int, indent: int, outer: _Given | None):
+        self.target, self.depth, self.indent, self.outer = target, depth, indent, outer
+        self.groups: list[list[tuple]] = []
+        self.inside: list[_Given] = []
+        if outer:
+            outer.inside.append(self)
+            outer.waits = False if depth > outer.depth else outer.waits
+        self.waits, self.is_type, self.angles, self.paragraph = True, sign == ":", 0, None
+
+
+def pairs(text: str) -> list[tuple[float, list[tuple[str, int, int]]]]:
+    """Literals given to names, with positions, constants followed: each sum of literals with the greatest score of its targets."""
+    given: list[_Given] = []
+    done = 0
     for sign in _SIGNS.finditer(text):
-        if sign.start() < done:
-            continue
-        start = text.rfind("\n", done, sign.start()) + 1 or done
-        stop = text.find("\n", sign.start())
-        done = stop = len(text) if stop < 0 else stop
-        _line(text, start, stop, known, out)
-    return out
+        if sign.start() >= done:
+            done = _read(text, text.rfind("\n", done, sign.start()) + 1 or done, given)
+    weight: dict[int, float] = {}
+    for g in given:  # outer ones come first
+        weight[id(g)] = max(name_score(g.target), weight[id(g.outer)] if g.outer else 0)
+    return [(weight[id(g)], group) for g, groups in zip(given, _resolved(given), strict=True) if weight[id(g)] for group in groups]
+
+
+def _read(text: str, start: int, out: list[_Given]) -> int:
+    """Read lines from ``start`` on until no expression is open, and return the end of the last."""
+    stack: list[_Given] = []
+    brackets: list[tuple[str, bool, int]] = []  # whether it holds arguments or a key, which aren't values themselves, and how many so far do
+    count = Counter()
+    ready = plus = False
+
+    def close(depth: int) -> None:
+        while stack and stack[-1].depth >= depth:
+            stack.pop()
 
+    def add(is_name: bool, value: str, at: int, end: int) -> None:
+        g = stack[-1]
+        inner = is_name and len(brackets) > g.depth and brackets[-1][2] > (brackets[g.depth - 1][2] if g.depth else 0)
+        if plus and g.groups:
+            g.groups[-1].append((is_name, value, at, end, inner))
+        else:
+            g.groups.append([(is_name, value, at, end, inner)])
+        g.waits = False
 
-def _line(text: str, start: int, stop: int, known: dict, out: list) -> None:
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEXER.finditer(text, start, stop) if m.lastgroup != "blank"]
-    target, terms, joining = None, [], False
-
-    def close() -> None:
-        if target and terms:
-            known[target] = list(terms)
-            out.append((target, list(terms)))
-
-    for k, (kind, value, at, end) in enumerate(tokens):
-        if kind == "sign":
-            before = tokens[k - 1] if k else None
-            if before and before[0] in ("name", "string"):
-                if terms and not joining and target:
-                    terms.clear() if before[2] == terms[-1][1] - (before[0] == "string") else None
-                close()
-                target, terms, joining = before[1].strip("\"'`"), [], True
-        elif kind == "string" and target and joining:
-            terms.append((value[1:-1], at + 1, end - 1))
-            joining = False
-        elif kind in ("name", "bare") and target and joining:
-            terms.extend(known[value] if value in known else [(value, at, end)])
-            joining = False
-        elif value == "+":
-            joining = True
-        elif value in ",;":
-            close()
-            target, terms = None, []
-    close()
+    while True:
+        stop = text.find("\n", start)
+        stop = len(text) if stop < 0 else stop
+        tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEXER.finditer(text, start, stop) if m.lastgroup != "blank"]
+        indent = tokens[0][2] - start if tokens else 0
+        carried = stack[-1] if stack and stack[-1].waits else None
+        if not tokens:  # ends what waits for a value, and the paragraph
+            if not brackets:
+                close(0)
+            for g in reversed(stack):
+                if g.paragraph:
+                    break
+                g.paragraph = len(g.groups), len(g.inside)
+        for k, (kind, value, at, end) in enumerate(tokens):
+            depth, before = len(brackets), tokens[k - 1] if k else None
+            here = stack[-1] if stack and stack[-1].depth == depth else None
+            choice = k > 1 and tokens[k - 2][1] == "?" and bool(stack)  # the colon of a ? b : c
+            names = k + 1 < len(tokens) and tokens[k + 1][0] == "sign" and not (before and before[1] == "?" and stack)
+            if kind == "sign":
+                typed = here is not None and value in ("=", ":=") and here.is_type
+                if choice:
+                    ready, plus = True, False
+                elif before and before[0] in ("name", "string"):
+                    chained = here is not None and here.waits and (here is not carried or indent > here.indent)
+                    if typed:
+                        here.groups.clear()
+                    elif not chained:
+                        close(depth)
+                    stack.append(_Given(before[1].strip("\"'`"), value, depth, indent, stack[-1] if stack else None))
+                    out.append(stack[-1])
+                    ready, plus = True, False
+                elif typed:
+                    here.groups.clear()
+                    here.waits, here.is_type, ready, plus = True, False, True, False
+            elif kind in ("string", "name", "bare") and names:
+                if here and before and before[0] in ("name", "string", "bare"):
+                    here.is_type = False
+            elif kind == "string" and stack:
+                stack[-1].is_type = stack[-1].is_type and depth > stack[-1].depth
+                key = brackets and brackets[-1][:2] == ("[", True)
+                if not key and not (brackets and brackets[-1][1] and _CONSTANT.fullmatch(value[1:-1])):
+                    add(False, value[1:-1], at + 1, end - 1)
+                ready = plus = False
+            elif kind in ("name", "bare") and stack:
+                if here and before and before[0] in ("name", "bare"):
+                    here.is_type = False
+                alone = len(tokens) == 1 or (len(tokens) == 2 and tokens[1][1] in ",;\\")
+                prose = carried is not None and carried is here and not plus and not (alone and (indent > here.indent or any(c.isdigit() for c in value)))
+                if ready and not (prose and k == 0 and not brackets):
+                    add(True, value, at, end)
+                elif ready:
+                    close(depth)
+                ready = plus = kind == "name" and value == "or"
+                plus = False
+            elif value in "([{" and stack:
+                inner = value == "(" or value == "[" and before is not None and before[3] == at and (before[0] == "name" or before[1] in (")", "]"))
+                brackets.append((value, inner, inner + (brackets[-1][2] if brackets else 0)))
+                count[value] += 1
+                ready, plus = True, False
+            elif value in ")]}" and not brackets:  # of a bracket around the whole assignment
+                close(0)
+            elif value in ")]}":
+                opened = "([{"[")]}".index(value)]
+                if count[opened]:
+                    while (last := brackets.pop()[0]) != opened:
+                        count[last] -= 1
+                    count[opened] -= 1
+                    close(len(brackets) + 1)
+                    ready = False
+            elif value == "+":
+                ready = plus = True
+            elif value in "<>" and here:
+                here.angles += 1 if value == "<" else -1
+            elif value in "|?" and stack:
+                ready, plus = True, False
+            elif value in ",;" and not (value == "," and here and here.is_type and here.angles > 0):
+                close(depth if depth else 0)
+                ready, plus = bool(stack), False
+        follows = bool(tokens) and (plus or tokens[-1][1] == "\\" or (stack and stack[-1].waits) or text[stop : stop + 200].lstrip().startswith("+"))
+        if not brackets and not follows:
+            close(0)
+        if stop == len(text):
+            for g in stack if brackets else ():  # brackets that nothing closes hold their paragraph
+                if g.paragraph:
+                    for later in g.inside[g.paragraph[1] :]:
+                        later.outer = None
+                    del g.groups[g.paragraph[0] :], g.inside[g.paragraph[1] :]
+        if stop == len(text) or not stack:
+            return stop
+        start = stop + 1
+
+
+def _resolved(given: list[_Given]) -> list[list[list[tuple[str, int, int]]]]:
+    """The groups of literals of each, with names as the last assignment before (or the first behind) gives them."""
+    places: dict[str, list[int]] = {}
+    number = {id(g): i for i, g in enumerate(given)}
+    for i, g in enumerate(given):
+        if g.groups or g.inside:
+            places.setdefault(g.target, []).append(i)
+
+    def source(name: str, i: int) -> int | None:
+        at = places.get(name)
+        if at is None:
+            return None
+        k = bisect_left(at, i)
+        j = at[k - 1] if k else next((x for x in at[:2] if x != i), None)
+        return j
+
+    def whole(i: int) -> list:
+        """All groups given to a name, those of assignments inside too."""
+        if not given[i].inside:
+            return out[i] or []
+        found, todo = {}, [i]
+        while todo:
+            k = todo.pop()
+            found |= {tuple(x): x for x in out[k] or []}
+            todo += [number[id(g)] for g in given[k].inside]
+        return list(found.values())
+
+    out: list = [None] * len(given)
+    begun: set[int] = set()
+    for first in range(len(given)):
+        todo = [first]
+        while todo:  # what a name stands for is resolved before it; circles end
+            i = todo[-1]
+            if out[i] is None and i not in begun:
+                begun.add(i)
+                needed = {j for group in given[i].groups for t in group if t[0] and (j := source(t[1], i)) is not None}
+                for j in needed:
+                    todo += [k for k in (j, *(number[id(g)] for g in given[j].inside)) if k not in begun]
+                continue
+            todo.pop()
+            if out[i] is not None:
+                continue
+            groups: dict[tuple, list] = {}
+            for group in given[i].groups:
+                joined: dict[tuple[int, int], str] = {}
+                for is_name, value, at, end, inner in group:
+                    j = source(value, i) if is_name else None
+                    if j is None:
+                        if not inner:
+                            joined[at, end] = value
+                        continue
+                    known = whole(j)
+                    if len(known) == 1:
+                        joined |= {(a, e): v for v, a, e in known[0]}
+                    else:
+                        groups |= {tuple(x): x for x in known}
+                if joined:
+                    terms = [(v, a, e) for (a, e), v in joined.items()]
+                    groups[tuple(terms)] = terms
+            out[i] = list(groups.values())
+    return out
 
 
 def found(text: str, threshold: float = 2.2) -> list[tuple[int, int, str]]:
@@ -114,9 +274,9 @@ def found(text: str, threshold: float = 2.2) -> list[tuple[int, int, str]]:
     spans = [(m.start(), m.end(), kind) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if len(m.group(group)) >= least]
     if "=" in text or ":" in text:
         literal = {}
-        for target, terms in pairs(text):
-            weight = name_score(target)
-            if weight and weight + literal_score("".join(t[0] for t in terms)) >= threshold and literal_score("".join(t[0] for t in terms)) > 0:
+        for weight, terms in pairs(text):
+            score = literal_score("".join(t[0] for t in terms))
+            if score > 0 and weight + score >= threshold:
                 literal |= {(at, end): None for _, at, end in terms if end > at}
         spans += [(at, end, "literal") for at, end in literal]
     return sorted(spans, key=lambda s: (s[0], KINDS[s[2]], s[1]))

@@ -184,5 +184,27 @@ def test_op10_follows_constants():
     assert secret_scan.found("api_key: ${KEY}\npassword: changeme") == [(m[0], m[2], m[3]) for m in assigns("api_key: ${KEY}\npassword: changeme")]
 
 
+A, B = "x9fK2mQ8vL4tR7wZ", "Lm2Vb4Tn8Rw1Yp6Qz7"
+FORMS = [
+    f'api_key: str = "{A}"', f'const apiKey: string = "{A}";', f'password = x = "{A}"', f'let api_key: &str = "{A}";', f'api_key: Optional[str] = "{A}"', f'api_key: dict[str, str] = {{"a": "{A}"}}',
+    f'api_key = ["{A}", "{B}"]', f'password = decode("{A}")', f'password = getenv("NAME", "{A}")', f'password = cond ? "{A}" : "{B}"', f'password = f(g("a"), [1, "{A}"])\nname = "z{B}"',
+    f'password = \\\n    "{A}"', f'"password":\n    "{A}"', f'password = decode(\n    "{A}",\n    8,\n)', f'api_key = [\n  "{A}",\n\n  "{B}",\n]', f'password:\n  {A}\n', f'password = ("short" +\n  "{A}")',
+    f'client.api_key = K\nK = "{A}"', f'api_key = K\nK = L\nL = ["{A}", "{B}"]', f'secret = f(K)\nK = "{A}"',
+]
+NO_FORMS = [f'name = ["{A}"]', f'password = ""\nname = "{A}"', f'secret: (see below\n\nname = "{A}"', f'password:\nuser: {A}', 'token:\nAdministration of the house', f'x = f(password)\ny = "{A}"', 'password = getenv("MY_PASSWORD_NAME")', "a = b\nb = a"]
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_op10_forms(text):
+    got = {text[a:b] for a, b, kind in secret_scan.found(text) if kind == "literal"}
+    assert {v for v in (A, B) if v in text and "z" + v not in text} <= got and "z" + B not in got
+
+
+@pytest.mark.parametrize("text", NO_FORMS)
+def test_op10_no_forms(text):
+    got = {text[a:b] for a, b, kind in secret_scan.found(text) if kind == "literal"}
+    assert A not in got and not any(v in got for v in ("Administration", "MY_PASSWORD_NAME"))
+
+
 def test_op10_empty(none):
     assert secret_scan.scan(none).count() == 0
