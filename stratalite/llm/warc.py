@@ -29,6 +29,8 @@ from .common import new_folder, written
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes that are read at once, and those of one range.
 WINDOW, RANGE = 1 << 20, 64 << 20
+#: Most bytes of a record's or an HTTP header, and most tasks that ranges are dealt over (a task reads several ranges beyond).
+MOST_HEADER, MOST_TASKS = 1 << 20, 100_000
 #: A file is closed beyond so many bytes.
 ROLL = 1 << 30
 #: Payloads below this many bytes are never revisits.
@@ -110,78 +112,125 @@ def write(pages: DataFrame, folder: str, prefix: str = "urn:page:", date: str =
 
 
 class _Reader:
-    """Bytes of a file from a position on, read window by window."""
+    """Bytes of a file from a position on. One window of the file is held, however long a record is."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data = file, at, b""
-        file.seek(at)
+        self.file = file
+        self.seek(at)
+
+    def seek(self, at: int) -> None:
+        self.file.seek(at)
+        self.start, self.pos, self.data = at, 0, b""
+
+    @property
+    def at(self) -> int:
+        return self.start + self.pos
 
     def more(self) -> bool:
+        """The next window, after the few bytes of this one that weren't used."""
         got = self.file.read(WINDOW)
-        self.data += got
+        self.start, self.data, self.pos = self.at, self.data[self.pos :] + got, 0
         return bool(got)
 
-    def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
-
-    def member(self) -> tuple[bytes, int] | None:
-        """The content and length of the gzip member that starts here, if it is a whole WARC record's."""
-        unpack, out, used = zlib.decompressobj(31), [], 0
-        size = 0
+    def find_magic(self) -> bool:
+        """Go to the next gzip magic; False at the end of the file."""
+        while (found := self.data.find(MAGIC, self.pos)) < 0:
+            self.pos = max(self.pos, len(self.data) - len(MAGIC) + 1)
+            if not self.more():
+                return False
+        self.pos = found
+        return True
+
+    def member(self, content: Content) -> bool:
+        """Add what the gzip member that starts here holds to ``content``; False if it isn't a whole WARC record's."""
+        unpack = zlib.decompressobj(31)
         while not unpack.eof:
-            if used == len(self.data) and not self.more():
-                return None
-            part = self.data[used : used + 65536]
+            if self.pos == len(self.data) and not self.more():
+                return False
+            part = self.data[self.pos : self.pos + 65536]
+            self.pos += len(part)
             try:
-                got = unpack.decompress(part)
+                while part and not unpack.eof:
+                    if not content.add(unpack.decompress(part, WINDOW)):
+                        return False
+                    part = unpack.unconsumed_tail
             except zlib.error:
-                return None
-            used += len(part) - len(unpack.unused_data)
-            out.append(got)
-            size += len(got)
-            if size >= 5 and not (out[0] if len(out[0]) >= 5 else b"".join(out)).startswith(b"WARC/"):
-                return None
-        return (b"".join(out), used) if size >= 5 else None
+                return False
+            self.pos -= len(unpack.unused_data)
+        return content.fields is not None
 
 
-def records_in(file, start: int, stop: int) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of the records that start in the range."""
-    at = _Reader(file, start)
-    while at.at < stop:
-        found = at.data.find(MAGIC)
-        if found < 0:
-            at.skip(max(0, len(at.data) - len(MAGIC) + 1))
-            if not at.more():
-                return
-            continue
-        at.skip(found)
-        if at.at >= stop:
-            return
-        got = at.member()
-        if got is None:
-            at.skip(1)
-            continue
-        yield at.at, got[1], got[0]
-        at.skip(got[1])
-
-
-def parse(content: bytes) -> dict | None:
-    """Header fields and payload of a record's content; None if its header can't be read."""
-    head, _, block = content.partition(b"\r\n\r\n")
+class Content:
+    """What the pieces of a record's content add up to: header fields, and size, digest and (if kept) bytes of the payload.
+
+    The payload is hashed as it is read. A header of over MOST_HEADER bytes can't be
+    read; an HTTP header so long is taken for payload.
+    """
+
+    def __init__(self, keep: bool):
+        self.fields: dict | None = None
+        self.stated: int | None = None
+        self.size, self.sha1, self.kept = 0, hashlib.sha1(), [] if keep else None
+        self.head, self.left, self.http = bytearray(), 0, False
+
+    def add(self, piece: bytes) -> bool:
+        """False if this can't be a record."""
+        if self.fields is None:
+            cut = self._header(piece)
+            if cut is None:
+                return len(self.head) <= MOST_HEADER and (len(self.head) < 5 or self.head.startswith(b"WARC/"))
+            if not cut[0].startswith(b"WARC/") or (fields := header_fields(cut[0])) is None:
+                return False
+            self.fields, piece = fields, cut[1]
+            self.left, self.http = int(fields["content-length"]), fields.get("content-type", "").startswith("application/http")
+        piece = piece[: self.left]
+        self.left -= len(piece)
+        if self.http:
+            cut = self._header(piece)
+            if cut is None and len(self.head) <= MOST_HEADER:
+                return True
+            head, piece = cut or (b"", bytes(self.head))
+            stated = next((v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.lower() == b"content-length"), b"")
+            self.stated, self.http = int(stated) if stated.isdigit() else None, False
+            self.head.clear()
+        self.size += len(piece)
+        self.sha1.update(piece)
+        if self.kept is not None:
+            self.kept.append(piece)
+        return True
+
+    def _header(self, piece: bytes) -> tuple[bytes, bytes] | None:
+        """The header and what follows it, once its end is there."""
+        known = max(0, len(self.head) - 3)
+        self.head += piece
+        at = self.head.find(b"\r\n\r\n", known)
+        if at < 0:
+            return None
+        head, rest = bytes(self.head[:at]), bytes(self.head[at + 4 :])
+        self.head.clear()
+        return head, rest
+
+
+def header_fields(head: bytes) -> dict | None:
+    """The named fields of a record's header; None if it can't be read."""
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
         fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-    if "warc-type" not in fields or not fields.get("content-length", "").isdigit():
-        return None
-    block = block[: int(fields["content-length"])]
-    http, payload = b"", block
-    if fields.get("content-type", "").startswith("application/http"):
-        http, _, payload = block.partition(b"\r\n\r\n")
-    stated = next((v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.lower() == b"content-length"), b"")
-    return {"fields": fields, "payload": payload, "stated": int(stated) if stated.isdigit() else None}
+    return fields if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
+
+
+def records_in(file, start: int, stop: int, keep: bool) -> Iterator[tuple[int, int, Content]]:
+    """(offset, length, content) of the records that start in the range."""
+    reader = _Reader(file, start)
+    while reader.find_magic() and reader.at < stop:
+        at, content = reader.at, Content(keep)
+        if reader.member(content):
+            yield at, reader.at - at, content
+        else:
+            reader.seek(at + 1)
 
 
 def _hex(digest: str | None) -> str | None:
@@ -195,7 +244,8 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE, with_p
     """All records of the archives in ``files`` (path, bytes), one row each, see RECORD.
 
     ``payload_digest`` and ``payload_bytes`` are of the payload that was read; a
-    revisit has none, and shows what its header says of the full payload.
+    revisit has none, and shows what its header says of the full payload. Ranges are
+    dealt evenly over as many tasks.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -210,13 +260,11 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE, with_p
             for path, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop")), strict=True):
                 store, name = open_store(path)
                 with store.open_input_file(name) as file:
-                    for offset, length, content in records_in(file, start, stop):
-                        if (got := parse(content)) is None:
-                            continue
-                        f, payload = got["fields"], got["payload"]
+                    for offset, length, content in records_in(file, start, stop, with_payload):
+                        f, payload = content.fields, b"".join(content.kept or ())
                         stated, revisit = _hex(f.get("warc-payload-digest")), f["warc-type"] == "revisit"
-                        size = got["stated"] if revisit else len(payload)
-                        rows.append((path, offset, length, f["warc-type"], f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-date"), stated, size, stated if revisit else hashlib.sha1(payload).hexdigest(), payload if with_payload and not revisit else None))
+                        size = content.stated if revisit else content.size
+                        rows.append((path, offset, length, f["warc-type"], f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-date"), stated, size, stated if revisit else content.sha1.hexdigest(), payload if with_payload and not revisit else None))
                         held += len(payload) * with_payload + 500
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
@@ -225,7 +273,9 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE, with_p
 
     starts = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = starts.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("stop"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, types)
+    # a number of tasks that is named isn't made smaller by adaptive execution, which sees only the few bytes of the list
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(tasks), MOST_TASKS)).mapInArrow(run, types)
 
 
 def archive_pages(pages: DataFrame, range_bytes: int = RANGE) -> DataFrame:

@@ -188,3 +188,18 @@ def test_rest_works_without_this_package(tmp_path):
     shutil.rmtree(tmp_path / "stratalite" / "llm")
     done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_op2_ranges_are_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id AS key", "concat('http://', id) AS uri", "cast(repeat(sha2(cast(id AS string), 512), 10) AS binary) AS payload", "cast(null AS long) AS refers_to").repartition(4)
+    files = warc.write(rows, f"file://{tmp_path}/many")
+    got = warc.read(spark, files, range_bytes=16384).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    ranges = sum(-(-r.bytes // 16384) for r in files.collect())
+    assert ranges > 50 and sum(r["count"] for r in got) == 3000
+    assert len(got) > 0.8 * ranges and max(r["count"] for r in got) < 3000 / 10
+
+
+def test_op2_odd_rows(spark):
+    odd = pages(spark, ROWS + [(None, None, None)]).withColumns({c: F.lit("mine") for c in ("payload", "key", "uri", "refers_to", "_same", "path", "record_type")})
+    got = warc.archive_pages(odd)
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] and got.count() == len(ROWS) + 1
