@@ -17,6 +17,8 @@ and hashed in that same stage.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ LEAST_IDF, MOST_IDF = 1.4, 6.9
 SUBSETS = ((1, 1), (3, 4), (5, 12), (7, 24), (9, 16))
 #: Most rows of a lexicon that is broadcast; a larger one (texts of over 2,000 distinct terms on average) is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Rows of neighbouring ids that are ordered together, and how many of them the bucket above gets too, as likely successors of its last.
-BUCKET, GUESTS = 512, 8
+#: Rows of neighbouring ids that are ordered together, at least; most ranges of them; bytes of texts for a task; copies that one row stands for.
+BUCKET, MOST_RANGES, TASK_BYTES, CHUNK = 512, 1 << 16, 8 << 20, 10_000
 
 
 def terms(text: Column) -> Column:
@@ -49,61 +51,80 @@ def lexicon(docs: DataFrame, least_idf: float = LEAST_IDF, most_idf: float = MOS
     return found, found.count()
 
 
-def next_lower(keys: DataFrame, key: str) -> DataFrame:
-    """(key, next): for each distinct long the greatest one below it, null for the least.
+def cut_points(rows: DataFrame, n: int) -> tuple[list[tuple[int, int]], DataFrame | None]:
+    """Lower bounds (a, h) of ranges with about BUCKET rows each, and the keys of very many rows, if there are any.
 
-    Up to 4,096 are ordered at once; more are cut into buckets of neighbours, whose
-    greatest ones are dealt with the same way.
+    Both come from a sample of 64 rows for each range, as for any range partitioning:
+    they say only where rows are dealt with, not what becomes of them. An id that
+    takes several ranges is cut by its texts' hashes.
     """
-    keys = written(keys.select(key).distinct(), "imatch-keys")
-    n, low, high = keys.agg(F.count(key), F.min(key), F.max(key)).first()
-    if n <= 4096:
-        return keys.withColumn("next", F.lead(key).over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key))))
-    width = 1024 * -(-(high - low + 1) // n)
-    own = keys.withColumn("_bucket", _bucket(F.col(key), width))
-    heads = own.groupBy("_bucket").agg(F.max(key).alias("_head"))
-    below = next_lower(heads, "_bucket").join(heads.select(F.col("_bucket").alias("next"), F.col("_head").alias("_below")), "next", "left").select("_bucket", "_below")
-    inside = F.lead(key).over(Window.partitionBy("_bucket").orderBy(F.desc(key)))
-    return own.withColumn("_in", inside).join(below, "_bucket", "left").select(key, F.coalesce("_in", "_below").alias("next"))
+    wanted = min(MOST_RANGES, n // BUCKET)
+    if wanted < 2:
+        return [], None
+    some = written(rows.select("a", "h").sample(64 * wanted / n, seed=8), "imatch-sample")
+    shares = F.split(F.lit(",".join(str(k / wanted) for k in range(1, wanted))), ",").cast("array<double>")
+    ids = some.agg(F.percentile_approx("a", shares, 20 * wanted)).first()[0] or []
+    bounds = [(a, -(2**63) + k * (2**64 // m)) for a, m in sorted(Counter(ids).items()) for k in range(m)]
+    hot = written(some.groupBy("a", "h").count().where(F.col("count") > 4 * 64).select("a", "h"), "imatch-hot")
+    return bounds, hot if hot.count() else None
+
+
+def place(a: Column, h: Column, bounds: list[tuple[int, int]]) -> Column:
+    """The number of bounds that are no greater than (a, h), by halving."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    size = 1 << len(bounds).bit_length()
+    padded = bounds + [(2**63 - 1, 2**63 - 1)] * (size - 1 - len(bounds))
+    first, second = (F.split(F.lit(",".join(str(b[k]) for b in padded)), ",").cast("array<bigint>") for k in (0, 1))
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
 
+    def step(at: Column, by: Column) -> Column:
+        x = F.element_at(first, at + by)
+        return F.when((x < a) | ((x == a) & (F.element_at(second, at + by) <= h)), at + by).otherwise(at)
 
-def _bucket(key: Column, width: int) -> Column:
-    """floor(key / width) in whole numbers."""
-    return F.floor((key - F.pmod(key, F.lit(width))).cast("decimal(20,0)") / F.lit(width)).cast("long")
+    return F.aggregate(steps, F.lit(0), step).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with the text of the next document by descending id: bucket, rn, guest, doc_id, text, next_text.
+    """Rows of ``docs`` with the text of the next document by descending id: bucket, rn, guest, copies, doc_id, text, next_text.
 
     After the last comes the first. Rows that share an id go by the hash of their
-    text; null ids come last. Ids are cut into ranges of neighbours, one bucket
-    each, which texts are shuffled to once; a bucket also gets the rows that may
-    follow its last, as guests: by arithmetic the uppermost of the range below, and
-    where that is empty, or after the last, the row that the ids' order names.
+    text; null ids go as the least long. Rows are dealt to ranges of neighbours,
+    whose bounds follow the ids' own distribution, so that texts are shuffled once.
+    Each range also gets, as its guest, the row after its last: the first of the
+    next range that has any. Where very many rows have the same id and text, all but
+    one have themselves as next: they become a row for each CHUNK ``copies``.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    n, low, high = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (low, high) if n else (0, 0)
-    per = -(-(high - low + 1) // max(n, 1))
-    width, top = BUCKET * per, GUESTS * per
-    lowest = low // width - 1  # of null ids
-    rows = rows.withColumn("bucket", F.coalesce(_bucket(F.col("doc_id"), width), F.lit(lowest)))
-
-    heads = written(rows.groupBy("bucket").agg(F.max("doc_id").alias("head")), "imatch-heads")
-    below = next_lower(heads, "bucket").join(heads.select(F.col("bucket").alias("next"), "head"), "next", "left")
-    near = F.coalesce((F.col("next") == F.col("bucket") - 1) & (F.col("head") >= F.col("bucket") * width - top) & F.col("head").isNotNull(), F.lit(False))
-    wrap = F.lit(high if n else None).cast("long")
-    gaps = written(below.where(~near).select(F.col("bucket").alias("to"), F.when(F.col("next").isNull(), wrap).otherwise(F.col("head")).alias("head_id")), "imatch-gaps")
-    small = gaps.count() <= 100_000
-    called = rows.drop("bucket").join(F.broadcast(gaps) if small else gaps, F.col("doc_id").eqNullSafe(F.col("head_id")))
-    called = called.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("guest"))
-
-    upper = F.coalesce(F.col("doc_id") - F.col("bucket") * width >= width - top, F.lit(False))
-    places = F.when(upper, F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest"))))
-    hosts = rows.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.bucket", "place.guest")
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
-    placed = hosts.unionByName(called)
-    return placed.select("bucket", "guest", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
+    rows = rows.withColumns({"a": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text"), "copies": F.lit(1).cast("long")})
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    bounds, hot = cut_points(rows, n)
+    rows = rows.withColumn("bucket", place(F.col("a"), F.col("h"), bounds))
+    heads = written(rows.groupBy("bucket").agg(F.max(F.struct("a", "h")).alias("head")), "imatch-heads")  # MOST_RANGES + 1 rows at most
+    order = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    lower = heads.select(F.col("bucket").alias("to"), F.coalesce(F.lag("head").over(order), F.max("head").over(Window.partitionBy(F.lit(0)))).alias("head"))
+    guests = written(lower.select("to", "head.a", "head.h"), "imatch-guests")
+
+    own, guest = F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("guest"))
+    columns = ["bucket", "guest", "copies", "doc_id", "text", "a", "h"]
+    spread = lambda df, places: df.withColumn("_place", F.explode(places)).select("_place.bucket", "_place.guest", *columns[2:])
+    mixed = rows
+    if hot is not None:
+        same = rows.join(F.broadcast(hot), ["a", "h"], "left_semi").groupBy("doc_id", "a", "h", "bucket").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        same = written(same.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil((F.col("n") - 1) / CHUNK)))), "imatch-copies")
+        last = same.where("k = 0").withColumn("copies", F.lit(1).cast("long"))
+        mixed = rows.join(F.broadcast(hot), ["a", "h"], "left_anti").unionByName(last.select(rows.columns))
+        others = same.where("k > 0").withColumn("copies", F.least(F.lit(CHUNK), F.col("n") - 1 - (F.col("k") - 1) * CHUNK))
+        others = others.withColumn("bucket", -1 - F.shiftrightunsigned(F.xxhash64("a", "h", "k"), 1))
+        copies = spread(others.withColumn("to", F.col("bucket")), F.array(own, guest))
+    called = mixed.join(F.broadcast(guests), ["a", "h"], "left")
+    placed = spread(called, F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest)))
+    if hot is not None:
+        placed = placed.unionByName(copies)
+    tasks = min(MOST_RANGES, (size or 0) // TASK_BYTES + 1)
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("a"), F.desc("h"))
+    placed = placed.repartition(tasks, "bucket")
+    return placed.select("bucket", "guest", "copies", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"))
 
 
 def _no_term() -> Column:
@@ -170,12 +191,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lex, size = lexicon(docs)
     lex = lex.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term")))  # no text has the empty term: it leads each text's row through the join
     placed = with_next(docs).withColumn("changed", F.when(F.col("guest") == 0, edited(F.col("text"), F.coalesce("next_text", F.lit("")))))
-    placed = placed.select("bucket", "rn", "guest", "doc_id", "text", "changed", terms(F.col("text")).alias("own"), F.coalesce(terms(F.col("changed")), F.array().cast("array<string>")).alias("new"))
+    placed = placed.select("bucket", "rn", "guest", "copies", "doc_id", "text", "changed", terms(F.col("text")).alias("own"), F.coalesce(terms(F.col("changed")), F.array().cast("array<string>")).alias("new"))
     info = F.struct(
-        "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("changed", "UTF-8"), 256).alias("edited_sha256"),
+        "guest", "copies", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("changed", "UTF-8"), 256).alias("edited_sha256"),
         F.xxhash64(F.sort_array("own")).alias("all_own"), F.xxhash64(F.sort_array("new")).alias("all_new"),
     )
-    nothing = F.lit(None).cast("struct<guest: int, doc_id: bigint, n_chars: bigint, edited_sha256: string, all_own: bigint, all_new: bigint>")
+    nothing = F.lit(None).cast("struct<guest: int, copies: bigint, doc_id: bigint, n_chars: bigint, edited_sha256: string, all_own: bigint, all_new: bigint>")
     of = lambda v, column: F.transform(column, lambda t: F.struct(F.lit(v).alias("v"), F.xxhash64(t).alias("term"), nothing.alias("info")))
     row = F.array(F.struct(F.lit(2).alias("v"), F.xxhash64(F.lit("")).alias("term"), info.alias("info")))
     each = placed.select("bucket", "rn", F.inline(F.concat(of(0, "own"), of(1, "new"), row)))
@@ -187,9 +208,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ordered = lists.select("bucket", "rn", "info.*", F.sort_array("own").alias("own"), F.sort_array("new").alias("new"))
     parts = ordered.select("*", *[c.alias(f"{v}{k}") for v in ("own", "new") for k, c in enumerate(groups(F.col(v)))])
     made = parts.select(
-        "bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256",
+        "bucket", "rn", "guest", "copies", "doc_id", "n_chars", "edited_sha256",
         *[hashes(F.col(v), [F.col(f"{v}{k}") for k in range(len(SUBSETS))], F.col(f"all_{v}")).alias(f"{v}_hashes") for v in ("own", "new")],
     )
     out = made.withColumn("next_hashes", F.lead("own_hashes").over(Window.partitionBy("bucket").orderBy("rn"))).where("guest = 0")
     out = likeness(likeness(out, "own_hashes", "new_hashes", "near_edited"), "own_hashes", "next_hashes", "near_next")
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own_hashes")).alias("fingerprint"), shown(F.col("new_hashes")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -146,7 +147,7 @@ def test_op8_fingerprint_against_plain(spark, texts):
     assert len({next(iter(v)) for v in same.values()}) == len(same)
 
 
-@pytest.mark.parametrize("ids", [[5], [1, 2], [10**15, 3, -4, 0], list(range(0, 200_000, 7))[:6000] + [10**9, 10**9 + 1]])
+@pytest.mark.parametrize("ids", [[5], [1, 2], [10**15, 3, -4, 0], list(range(0, 200_000, 7))[:6000] + [10**9, 10**9 + 1], [-(2**63), 0, 2**63 - 1], [0, *range(2**40, 2**40 + 3000), 2**62]])
 def test_op8_next(spark, ids):
     texts = {k: f"text {k} {'x' * (k % 5)}" for k in ids}
     df = documents(spark, [(k, t, "en", "a") for k, t in texts.items()])
@@ -154,6 +155,38 @@ def test_op8_next(spark, ids):
     assert got == {k: texts[n] for k, n in neighbours(texts).items()} if len(ids) > 1 else len(got) == 1
 
 
+@pytest.mark.parametrize("kind", ["outlier", "nulls", "hot id", "repeated row"])
+def test_op8_uneven_ids(spark, monkeypatch, kind):
+    """No range gets more than a few times its share, and each row's next is the one by order, whatever the ids."""
+    monkeypatch.setattr(imatch, "BUCKET", 64)
+    monkeypatch.setattr(imatch, "CHUNK", 300)
+    n = 4000
+    rows = {
+        "outlier": [(2**62 if i == 0 else i, f"text {i}") for i in range(n)],
+        "nulls": [(None if i % 2 else i, f"text {i}") for i in range(n)],
+        "hot id": [(7 if i % 3 == 0 else i, f"text {i}") for i in range(n)],
+        "repeated row": [(7, "the same") if i % 3 == 0 else (i, f"text {i}") for i in range(n)],
+    }[kind]
+    df = imatch.with_next(documents(spark, [(k, t, "en", "a") for k, t in rows]).repartition(4))
+    got = df.where("guest = 0").collect()
+    per = Counter(r.bucket for r in got)
+    assert sum(r.copies for r in got) == n and max(per.values()) < 6 * 64
+    least = lambda k: -(2**63) if k is None else k
+    order = sorted(set(rows), key=lambda r: -least(r[0]))
+    ids, follow = [least(k) for k, _ in order], {}
+    for r in got:
+        follow.setdefault(least(r.doc_id), []).extend([(r.text, r.next_text)] * r.copies)
+    texts = {}
+    for k, t in rows:
+        texts.setdefault(least(k), []).append(t)
+    for at, k in enumerate(dict.fromkeys(ids)):
+        after = list(dict.fromkeys(ids))[(at + 1) % len(set(ids))]
+        mine, nexts = Counter(t for t, _ in follow[k]), Counter(x for _, x in follow[k])
+        assert mine == Counter(texts[k])
+        left = Counter(texts[k]) - nexts  # all of the id's texts but its first follow one of them, and its last is followed by the next id's first
+        assert sum(left.values()) == 1 and sum((nexts - Counter(texts[k])).values()) == 1 and next(iter(nexts - Counter(texts[k]))) in texts[after]
+
+
 def test_op8_odd_rows(odd, none):
     rows = imatch.fingerprints(odd).collect()
     assert len(rows) == len(ODD) and all(r.fingerprint and r.edited_fingerprint for r in rows)
