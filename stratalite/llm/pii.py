@@ -37,36 +37,86 @@ LOOSE = (
     ("hidden_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?|\.)[A-Za-z0-9-]{1,63}){1,4}", r".*(?:\.|dot ?.) ?[A-Za-z]{2,24}", r"[\[({] ?at ?[\])}]", "mail|contact|write|reach|address"),
     ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.? \p{Lu}\p{L}{1,20}(?: \p{Lu}\p{L}{1,20})?", r"(?:Mr|Mrs|Ms|Dr|Prof|Sra|Sr)\. .*|(?:Herr|Frau|Mme) .*", r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.? \p{Lu}", "name|dear|patient|customer|client|sincerely|signed"),
 )
-#: Gazetteers, as patterns that a candidate of the kind contains: country codes, top domains, given and family names.
+# Country codes of account numbers with the length of a number; top-level domains; given and family names.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()
+DOMAINS = "com org net edu gov mil int info biz io app dev ai co me tv uk de fr es it pt nl be ch at ie dk se no fi pl cz sk hu ro bg gr ru ua tr il za eg ng ke in cn jp kr sg my th vn id ph au nz us ca mx br ar cl".split()
+NAMES = (
+    "Adam Ahmed Alan Albert Alejandro Alex Alexander Alice Ali Amy Ana Andrea Andreas Andrew Angela Ann Anna Anne Anthony Antonio Barbara Ben Benjamin Brian Bruno Carla Carlos Carmen Caroline Charles Charlotte Chris Christian Christine Claire "
+    "Claudia Daniel David Diana Diego Edward Elena Elizabeth Emily Emma Eric Eva Felix Fernando Francisco Frank Gabriel George Hannah Hans Helen Henry Ivan Jack Jacques James Jan Jane Jason Jean Jennifer Jessica John Jonas Jorge Jose José Joseph Juan "
+    "Julia Julie Karen Karl Kevin Klaus Laura Leo Lisa Louis Lucas Lucia Luis Manuel Marc Marco Margaret Maria María Marie Mark Martin Mary Matthew Max Michael Miguel Monika Nicolas Nina Olivia Oscar Pablo Patricia Paul Paula Pedro Peter Philip Pierre "
+    "Rachel Richard Robert Rosa Ruth Sara Sarah Simon Sofia Sophie Stefan Steven Susan Thomas Tim Tom Victor Walter William "
+    "Becker Bernard Brown Clark Davis Dubois Durand Evans Fernández Fischer García Garcia Gómez González Green Hall Harris Hernández Hill Hoffmann Jackson Johnson Jones King Laurent Lee Lewis López Lopez Martínez Meyer Miller Moore Moreau Müller Pérez "
+    "Petit Richter Robinson Rodríguez Sánchez Schmidt Schneider Schulz Smith Taylor Walker Weber White Williams Wilson Wolf Wright Young"
+).split()
+#: Gazetteers, as patterns that a candidate of the kind (blanks removed) contains: areas that numbers were issued for and no specimen; countries with their lengths; the numbering plan's areas and exchanges; domains; names.
 GAZETTEER = {
-    "iban": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "hidden_email": r"(?:com|org|net|edu|gov|info|de|fr|es|uk|io)$",
-    "name": r"\b(?:Anna|Carlos|David|Elena|Emma|Hans|Jack|James|Jane|Jean|John|José|Juan|Karl|Laura|Maria|María|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Thomas|William|Brown|Davis|Dubois|García|Garcia|Johnson|Jones|López|Martin|Meyer|Miller|Müller|Schmidt|Smith|Weber|Williams|Wilson)\b",
-}
+    "ssn": r"^(?!078-05-1120|219-09-9999|123-45-6789)(?:00[1-9]|0[1-9][0-9]|[1-5][0-9]{2}|6[0-57-9][0-9]|66[0-57-9]|7[0-6][0-9]|77[0-2])-",
+    "iban": "^(?:" + "|".join(f"{x[:2]}[0-9]{{2}}[A-Z0-9]{{{int(x[2:]) - 4}}}" for x in IBAN_LENGTHS) + ")$",
+    "local_phone": r"^\(?(?![2-9]11|37|96|[2-9]9)[2-9][0-9]{2}\)?[.-]?(?![2-9]11)[2-9][0-9]{2}",
+    "hidden_email": "(?:" + "|".join(DOMAINS) + ")$",
+    "name": r"(?<!\p{L})(?:" + "|".join(NAMES) + r")(?!\p{Ll})",
+}
 AGAINST = "version|isbn|order|invoice|ticket|part|serial|model|article|build|page"
 BASE_KINDS, KINDS = [k for k, *_ in BASE], [k for k, *_ in BASE] + [k for k, *_ in LOOSE]
 PRIOR_WEIGHT = 8.0
+#: Items that are added up one by one, and code points of a chunk that a masked text is put together from.
+SCAN, CHUNK = 256, 4096
 
 
-def matches(text: Column, pattern: str, needs: str) -> Column:
-    """Leftmost matches that don't overlap, as an array of (start, end, match), in code points.
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    The match and the gap before it alternate; their lengths are added up.
+
+def before_each(items: Column, value, combine, zero: int) -> Column:
+    """For each item the ``combine``d values of all items before it, in time that grows with the number of items.
+
+    Appending to an array copies it, so that only blocks of SCAN items, and the
+    blocks themselves, are added up one by one.
     """
-    from pyspark.sql.functions import lit
+    empty = F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SCAN).cast("int")), lambda i: F.slice(items, i * SCAN + 1, F.lit(SCAN)))
+
+    def run(start: Column, column: Column, of) -> Column:
+        add = lambda acc, x: F.struct(combine(acc["at"], of(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(column, F.struct(start.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+    def within(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(zero), lambda acc, x: combine(acc, value(x))))
+        return F.flatten(F.zip_with(parts, run(F.lit(zero), totals, lambda t: t), lambda p, start: run(start, p, value)))
+
+    return F.when(F.size(items) > 0, bound(blocks, within)).otherwise(empty)
+
 
+def matches(text: Column, pattern: str, needs: str, keep=None, context: bool = False) -> Column:
+    """Leftmost matches that don't overlap, as an array of (start, end, match), in code points; with ``keep``, those that pass.
+
+    The match and the gap before it alternate; their lengths are added up. With
+    ``context``, ``before`` is the end of the gap, in lower case.
+    """
+    lit = F.lit
+    empty = F.array().cast("array<struct<start: int, end: int, match: string" + (", before: string" if context else "") + ">>")
     found = F.regexp_extract_all(text, lit(pattern), lit(0))
-    lengths = F.transform(F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("match")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("length"), x["match"].alias("match")))
-    empty = F.array().cast("array<struct<start: int, end: int, match: string>>")
+    zipped = F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("match"))
+
+    def part(x: Column) -> Column:
+        length = F.coalesce(F.length(x["match"]), lit(0))
+        more = [F.lower(F.substring(x["gap"], -32, 32)).alias("before")] if context else []
+        return F.struct(F.length(x["gap"]).alias("gap"), length.alias("length"), x["match"].alias("match"), *more)
+
+    def placed(parts: Column) -> Column:
+        at = before_each(parts, lambda x: x["gap"] + x["length"], lambda a, b: a + b, 0)
+
+        def row(x: Column, n: Column) -> Column:
+            start = n + x["gap"]
+            return F.struct(start.alias("start"), (start + x["length"]).alias("end"), x["match"].alias("match"), *([x["before"].alias("before")] if context else []))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["length"], lit(0))
-        row = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], row)).alias("out"))
+        return F.filter(F.zip_with(parts, at, row), lambda m: m["match"].isNotNull() & (keep(m["match"]) if keep else lit(True)))
 
-    summed = F.aggregate(lengths, F.struct(lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.contains(needs) if needs == "@" else text.rlike(needs), summed).otherwise(empty)
+    return F.when(text.contains(needs) if needs == "@" else text.rlike(needs), bound(F.transform(zipped, part), placed)).otherwise(empty)
 
 
 def _digits(match: Column) -> Column:
@@ -89,7 +139,7 @@ def base_spans(text: Column) -> Column:
     """All base spans as (start, kind number, end), in order."""
 
     def of(n: int, kind: str, pattern: str, needs: str) -> Column:
-        valid = F.filter(matches(text, pattern, needs), lambda m: _valid(kind, m["match"]))
+        valid = matches(text, pattern, needs, lambda m: _valid(kind, m))
         return F.transform(valid, lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("kind"), m["end"].alias("end")))
 
     return F.sort_array(F.concat(*[of(n, *entry) for n, entry in enumerate(BASE)]))
@@ -100,9 +150,9 @@ def candidates(text: Column) -> Column:
 
     def of(n: int, kind: str, strict: str, cues: str):
         def build(m: Column) -> Column:
-            before = F.lower(F.substring(text, F.greatest(m["start"] - 31, F.lit(1)), F.least(m["start"], F.lit(32))))
+            before = m["before"]
             regex = F.when(m["match"].rlike(f"^(?:{strict})$"), 1).otherwise(-1)
-            listed = F.when(m["match"].rlike(GAZETTEER[kind]), 1).otherwise(-1) if kind in GAZETTEER else F.lit(0)
+            listed = F.when(F.replace(m["match"], F.lit(" "), F.lit("")).rlike(GAZETTEER[kind]), 1).otherwise(-1)
             context = F.when(before.rlike(rf"(?<!\p{{L}})(?:{cues})"), 1).when(before.rlike(rf"(?<!\p{{L}})(?:{AGAINST})"), -1).otherwise(0)
             n_digits = F.length(_digits(m["match"]))
             length = F.when(m["end"] - m["start"] < 12, 0).when(m["end"] - m["start"] < 20, 1).otherwise(2)
@@ -111,7 +161,7 @@ def candidates(text: Column) -> Column:
 
         return build
 
-    return F.concat(*[F.transform(matches(text, p, needs), of(len(BASE) + i, k, strict, cues)) for i, (k, p, strict, needs, cues) in enumerate(LOOSE)])
+    return F.concat(*[F.transform(matches(text, p, needs, context=True), of(len(BASE) + i, k, strict, cues)) for i, (k, p, strict, needs, cues) in enumerate(LOOSE)])
 
 
 VOTES = ("regex", "listed", "context")
@@ -194,12 +244,27 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
 
 
+def apart(base: Column, found: Column) -> Column:
+    """The candidates that overlap no base span; base spans are in order, and are searched by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+
+    def check(reach: Column):
+        def alone(c: Column) -> Column:
+            begun = lambda n: F.element_at(base, n)["start"] < c["end"]
+            n = F.aggregate(steps, F.lit(0), lambda at, by: F.when(F.when(at <= F.size(base) - by, begun(at + by)).otherwise(False), at + by).otherwise(at))
+            return bound(n, lambda k: F.when(k == 0, True).otherwise(F.greatest(F.element_at(reach, F.greatest(k, F.lit(1))), F.element_at(base, F.greatest(k, F.lit(1)))["end"]) <= c["start"]))
+
+        return F.filter(found, alone)
+
+    ends = before_each(base, lambda b: b["end"], F.greatest, 0)
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(bound(ends, check))
+
+
 def search(docs: DataFrame) -> DataFrame:
     """A written table of doc_id, text_hash, base spans and candidates that overlap none of them, of every row."""
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), candidates(text).alias("all"))
-    free = F.filter("all", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return written(rows.select("doc_id", "text_hash", "base", free.alias("candidates")), "pii-found")
+    return written(rows.select("doc_id", "text_hash", "base", apart(F.col("base"), F.col("all")).alias("candidates")), "pii-found")
 
 
 def decide(found: DataFrame, classifier: Classifier) -> DataFrame:
@@ -220,32 +285,44 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(BASE_KINDS)], F.sha2(F.encode(shown(F.col("base")), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def cut(chunks: Column, start: Column, stop: Column) -> Column:
+    """The code points from start to stop of a text in chunks of CHUNK code points."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(stop / CHUNK).cast("int")
+    piece = lambda i, at, n: F.coalesce(F.substring(F.get(chunks, i), at, n), F.lit(""))
+    inner = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    several = F.concat(piece(first, start % CHUNK + 1, F.lit(CHUNK)), inner, piece(last, F.lit(1), stop % CHUNK))
+    return F.when(first == last, piece(first, start % CHUNK + 1, stop - start)).otherwise(several)
+
+
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span as ``<KIND>``; of spans that overlap, the first is shown and all are hidden."""
+    """The text with each span as ``<KIND>``; of spans that overlap, the first is shown and all are hidden.
+
+    Pieces are cut out of chunks, not each from the start of the text, and joined once.
+    """
     name = lambda s: F.element_at(F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]), s["kind"] + 1)
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), name(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def joined(chunks: Column) -> Column:
+        def pieces(hidden: Column) -> Column:
+            one = lambda s, at: F.when(s["start"] >= at, F.concat(cut(chunks, at, s["start"]), name(s))).otherwise("")
+            end = F.greatest(F.element_at(hidden, -1), F.element_at(spans, -1)["end"])
+            return F.concat(F.array_join(F.zip_with(spans, hidden, one), ""), cut(chunks, end, F.length(text)))
+
+        return bound(before_each(spans, lambda s: s["end"], F.greatest, 0), pieces)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, rest)
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), joined)
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced and ``n_chars`` counted anew; other columns and null texts stay.
 
-    The classifier is trained on all rows first; then texts are searched again, in
-    place, so that nothing is joined and rows that repeat an id need no key.
+    Rows are written with what was found in them, the classifier is trained on all
+    of them, and then decides: texts are searched once, and rows need no key.
     """
-    classifier = train(search(docs))
     text = F.col("_text")
     row = docs.select(F.struct("*").alias("_row"), docs["text"].cast("string").alias("_text"))
     row = row.withColumn("_base", F.when(text.isNotNull(), base_spans(text))).withColumn("_all", F.when(text.isNotNull(), candidates(text)))
-    free = F.filter("_all", lambda c: classifier.accepts(c) & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    added = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    row = row.withColumn("_spans", F.sort_array(F.concat("_base", added)))
-    row = row.withColumn("_text", F.when(F.size("_spans") > 0, masked(text, F.col("_spans"))).otherwise(text))
-    new = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text").cast("long"), F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    found = written(row.select("_row", F.col("_base").alias("base"), apart(F.col("_base"), F.col("_all")).alias("candidates")), "pii-rows")
+    row = decide(found, train(found)).withColumn("_text", F.col("_row.text").cast("string"))
+    row = row.withColumn("_text", F.when(F.size("spans") > 0, masked(text, F.col("spans"))).otherwise(text))
+    new = {"text": text, "n_chars": F.coalesce(F.length("_text").cast("long"), F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return row.select([new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Quality rules, personal data and secrets against plain Python versions of their contracts."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -145,6 +146,68 @@ def test_op4_adds_and_masks(spark, odd, none):
     assert pii.personal_data(none).count() == pii.mask_personal_data(none).count() == 0
 
 
+def seconds(spark, text):
+    import time
+
+    df = documents(spark, [(1, text, "en", "a")])
+    start = time.perf_counter()
+    found = pii.personal_data(df).first()
+    masked = pii.mask_personal_data(df).first().text
+    return time.perf_counter() - start, found, masked
+
+
+def test_op4_many_matches_in_one_text(spark):
+    """100,000 matches of several kinds, and many candidates beside base spans: exact, and in seconds."""
+    part = [f"call +49 30 {1000000 + i} or 4111 1111 1111 1111, {i % 256}.0.0.1 🎉, ssn {100 + i % 500}-{10 + i % 80}-{1000 + i % 9000} x{i}" for i in range(25_000)]
+    whole, r, masked = seconds(spark, " ".join(part))
+    want = plain_spans(" ".join(part), PII)
+    assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and len(want) == 75_000
+    assert r.spans.count("ssn:") == 25_000
+    assert whole < 60, whole  # most of it is planning; in quadratic time it would be hours
+    assert masked == " ".join(f"call <PHONE> or <CARD>, <IP> 🎉, ssn <SSN> x{i}" for i in range(25_000))
+
+
+def test_op4_apart_and_masked_by_brute_force(spark):
+    draw = random.Random(4)
+    rows = []
+    for k in range(300):
+        n = draw.choice([0, 1, 3, 40, 600])
+        span = lambda: (s := draw.randrange(9000), draw.randrange(9), s + 1 + draw.randrange(draw.choice([3, 30, 5000])))  # noqa: B023, E731
+        rows.append((k, sorted(span() for _ in range(n)), [span() for _ in range(draw.choice([0, 2, 50]))], "".join(draw.choice("ab🎉é\n") for _ in range(14_001))))
+    df = spark.createDataFrame(rows, "k int, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,kind:int,end:int>>, text string")
+    for r in df.select("k", pii.apart(F.col("base"), F.col("found")).alias("free"), F.when(F.size("base") > 0, pii.masked(F.col("text"), F.col("base"))).alias("masked")).collect():
+        _, base, found, text = rows[r.k]
+        assert [tuple(x) for x in r.free] == [c for c in found if not any(b[0] < c[2] and c[0] < b[2] for b in base)]
+        out, at = [], 0
+        for start, kind, end in base:
+            if start >= at:
+                out += [text[at:start], f"<{pii.KINDS[kind].upper()}>"]
+            at = max(at, end)
+        assert r.masked == ("".join(out) + text[at:] if base else None)
+
+
+def test_op4_estimates_reliabilities_and_classifies():
+    """Reliabilities of votes drawn from a known model come back; posteriors are those of the model; the classifier follows them."""
+    import math
+    from itertools import product
+
+    true, share, n = {"regex": 0.9, "listed": 0.75, "context": 0.85}, 0.4, 100_000
+    rows, exact = [], []
+    for votes in product((1, -1), repeat=3):
+        p = [share, 1 - share]
+        for v, (name, good) in zip(votes, true.items(), strict=True):
+            p = [p[0] * (good if v > 0 else 1 - good), p[1] * (1 - good if v > 0 else good)]
+        rows.append({"kind": 4, **dict(zip(true, votes, strict=True)), "length": 0, "digits": 1, "n": round(n * sum(p))})
+        exact.append(p[0] / sum(p))
+    p, good = pii.estimate(rows, rounds=500)
+    assert all(abs(good[4, name] - g) < 0.02 for name, g in true.items())
+    assert all(abs(a - b) < 0.03 for a, b in zip(p, exact, strict=True))
+    weights, kinds = pii.fit(rows, p)
+    z = [sum(weights[f] * r[f] for f in pii.FEATURES) + kinds[4] for r in rows]
+    assert [x > 0 for x in z] == [q > 0.5 for q in exact]
+    assert max(abs(1 / (1 + math.exp(-x)) - q) for x, q in zip(z, exact, strict=True)) < 0.25
+
+
 def test_op4_plan_is_native(odd):
     plan = pii.personal_data(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
