@@ -19,6 +19,7 @@ def spark():
         .master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.local.dir", shared)
         .config("spark.checkpoint.dir", "file://" + shared)
