@@ -7,11 +7,14 @@
 3. Rows are shuffled on band hashes. Instead of the pairs of a bucket, each row is
    linked with the bucket's first row; the connected components of these links
    hold every pair that shares a bucket.
-4. A component is dealt over blocks of bounded size. Each pair of blocks is one
-   task's work: the full n-gram sets of all pairs in it are intersected, by
-   counting shared n-grams, and only each row's number of partners and a spanning
-   tree leave the task. So no pair is lost, none is counted twice, and what is
-   shuffled grows with the rows of a component times its blocks.
+4. A component that fits a block is verified whole: its full n-gram sets are
+   intersected by counting shared n-grams. A larger one, which unrelated buckets may
+   have chained, is verified bucket by bucket where that is less work: buckets of the
+   same rows once, and each pair in the least bucket it shares. Groups that are
+   still larger than a block are dealt over blocks of rows of like set sizes; only
+   blocks whose sizes allow the similarity meet, each pair of blocks in a task, to
+   which hashed n-grams go, not texts. Only each row's number of partners and a
+   spanning tree leave a task. So no pair is lost and none is counted twice.
 5. The components of the verified links are the near-duplicate groups.
 """
 
@@ -21,7 +24,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalite.session import ship
@@ -206,26 +209,87 @@ def least_reached(near):
         label = best
 
 
-def verify_block(rows: list[tuple], across: bool, words: int, similarity: float) -> Iterator[tuple[int, int, int]]:
-    """Of the rows of a pair of blocks (row, component, block, copies, text): row, partners found, least row reached.
+def verify_block(rows: list[tuple], across: bool, similarity: float) -> Iterator[tuple[int, int, int]]:
+    """Of the rows of a task (group, row, block, copies, sorted n-grams, bands): row, partners found, least row reached.
 
-    With ``across`` the blocks differ, and pairs inside one of them are another task's, even if the other block is empty.
+    With ``across``, pairs inside one block are another task's, even if the other
+    block is empty. Rows with bands are a bucket's (``group``): a pair counts only in
+    the least bucket that both rows share.
     """
+    import numpy as np
+
     by: dict[int, dict[int, tuple]] = {}
-    for row, component, block, copies, text in rows:
-        by.setdefault(component, {})[row] = (block, copies, text)  # a repeated row of the table comes once
-    for members in by.values():
+    for group, row, block, copies, gram, bands in rows:
+        by.setdefault(group, {})[row] = (block, copies, gram, bands)  # a repeated row of the table comes once
+    for group, members in by.items():
         keys = sorted(members)
         if len(keys) < 2:
             continue
-        sets, blocks = [grams(members[k][2], words) for k in keys], [members[k][0] for k in keys]
-        near = similar(sets, blocks if across else None, similarity)
+        near = similar([members[k][2] for k in keys], [members[k][0] for k in keys] if across else None, similarity)
+        if members[keys[0]][3] is not None:
+            bands = np.array([members[k][3] for k in keys], "int64")
+            i, j = np.nonzero(np.triu(near, 1))
+            for at in range(0, len(i), 1 << 17):
+                x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+                other = np.where(bands[x] == bands[y], bands[x], np.iinfo("int64").max).min(axis=1) != group
+                near[x[other], y[other]] = near[y[other], x[other]] = False
         partners, reached = near @ [members[k][1] for k in keys], least_reached(near)
         for k, n, to in zip(keys, partners, reached, strict=True):
             if n:
                 yield k, int(n), keys[to]
 
 
+def dealt(groups: DataFrame, similarity: float) -> DataFrame:
+    """The rows of groups (group, row, n) by task: key, group, row, block, across.
+
+    Groups of one block share tasks, whose keys are packs. The rows of a larger group
+    are dealt over blocks within classes of set sizes, a class being a factor of
+    1 / similarity wide: similar sets are in the same or in neighbouring classes, and
+    only blocks of such classes meet.
+    """
+    size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    per = written(groups.groupBy("group").agg(size.alias("blocks"), F.sum("n").alias("grams")), "gram-groups")
+    packs = int((per.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0) // BLOCK_GRAMS) + 1
+    small = groups.join(per.where("blocks = 1").select("group"), "group")
+    pack = F.concat_ws(":", F.lit("pack"), F.pmod(F.xxhash64("group"), F.lit(packs)))
+    packed = small.select(pack.alias("key"), "group", "row", F.lit(0).alias("block"), F.lit(False).alias("across"))
+
+    large = groups.join(per.where("blocks > 1").select("group"), "group").withColumn("class", F.floor(F.log("n") / math.log(1 / similarity) + 1e-9).cast("int"))
+    classes = written(large.groupBy("group", "class").agg(size.alias("blocks")), "gram-classes-of-size")
+    beside = Window.partitionBy("group").orderBy("class")
+    next_to = lambda f, by: F.when(f("class").over(beside) == F.col("class") + by, f("blocks").over(beside)).otherwise(0)
+    classes = classes.withColumns({"below": next_to(F.lag, -1), "above": next_to(F.lead, 1)})
+    large = large.join(classes, ["group", "class"]).withColumn("block", F.pmod(F.xxhash64("row", F.lit("block")), F.col("blocks")).cast("int"))
+
+    def met(by: int, blocks: str):
+        own, other = F.struct(F.col("class").alias("class"), F.col("block").alias("block")), lambda k: F.struct((F.col("class") + by).alias("class"), k.cast("int").alias("block"))
+        pair = lambda k: F.struct(F.least(own, other(k)).alias("low"), F.greatest(own, other(k)).alias("high"))
+        return F.when(F.col(blocks) > 0, F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), pair)).otherwise(F.array().cast("array<struct<low:struct<class:int,block:int>,high:struct<class:int,block:int>>>"))
+
+    spread = large.withColumn("pair", F.explode(F.concat(met(0, "blocks"), met(-1, "below"), met(1, "above"))))
+    key = F.concat_ws(":", "group", "pair.low.class", "pair.low.block", "pair.high.class", "pair.high.block")
+    # the block's name within its group: class and number
+    spread = spread.select(key.alias("key"), "group", "row", (F.col("class") * 1_000_000 + F.col("block")).alias("block"), (F.col("pair.low") != F.col("pair.high")).alias("across"))
+    return packed.unionByName(spread)
+
+
+def groups_of(members: DataFrame, banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups to verify (group, row, n): whole components, and buckets of those that are large and where buckets are less work."""
+    large = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)) > 1
+    per = members.groupBy("component").agg(large.alias("large"), F.count(F.lit(1)).cast("double").alias("size"))
+    per = written(per.where("large"), "gram-large")
+    rows = members.join(per.select("component"), "component").select("row", "component", "n")
+    inside = written(banded.join(rows, "row"), "gram-banded")
+    sets = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("least"), F.max("row").alias("most"), F.bit_xor(F.xxhash64("row")).alias("all"))
+    buckets = sets.where("rows > 1").groupBy("component", "rows", "least", "most", "all").agg(F.min("bucket").alias("bucket"))
+    buckets = written(buckets.select("component", "bucket", F.col("rows").cast("double").alias("rows")), "gram-buckets")
+    work = buckets.groupBy("component").agg(F.sum(F.col("rows") * F.col("rows")).alias("work"))
+    split = written(per.join(work, "component").where("work < size * size").select("component"), "gram-split")
+    by_bucket = inside.join(split, "component").join(buckets.select("bucket"), "bucket").select(F.col("bucket").alias("group"), "row", "n")
+    whole = members.join(split, "component", "left_anti").select(F.col("component").alias("group"), "row", "n")
+    return whole, by_bucket
+
+
 def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A written row for each row of ``docs``: doc_id, text_hash, class_id, copy_of, n_links and is_first.
 
@@ -249,27 +313,24 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     met = banded.join(buckets, "bucket").where("row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b"))
     candidates = components(met).select(F.col("node").alias("row"), "component")
 
-    members = reps.select("row", "doc_id", "text_hash", "copies", "n").join(candidates, "row")
-    members = written(members, "gram-members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int")
-    per = written(members.groupBy("component").agg(blocks.alias("blocks"), F.sum("n").alias("grams")), "gram-components")
-    packs = int((per.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0) // BLOCK_GRAMS) + 1
-    dealt = members.join(per.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("row", F.lit("block")), F.col("blocks")).cast("int"))
-    # components of one block share tasks' groups: their key is a pack, below 0
-    dealt = dealt.withColumn("key", F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component")))
-    texts = keyed(docs).select("_id", "_text_hash", F.col("_text").alias("text"))
-    full = dealt.join(texts, (dealt["text_hash"] == texts["_text_hash"]) & dealt["doc_id"].eqNullSafe(texts["_id"]))
-    pairs = full.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "row", "component", "block", "copies", "text")
+    members = written(reps.select("row", "doc_id", "text_hash", "copies", "n").join(candidates, "row"), "gram-members")
+    whole, by_bucket = groups_of(members, banded)
     ship(docs.sparkSession)
+    tasks = dealt(whole, similarity).withColumn("bucket", F.lit(False)).unionByName(dealt(by_bucket, similarity).withColumn("bucket", F.lit(True)))
+    texts = keyed(docs).select("_id", "_text_hash", F.col("_text").alias("text"))
+    full = members.join(texts, (members["text_hash"] == texts["_text_hash"]) & members["doc_id"].eqNullSafe(texts["_id"])).select("row", "text")
+    sets = map_batches(full, lambda: lambda rows_, texts_: ((r, grams(t, words).tobytes()) for r, t in zip(rows_, texts_, strict=True)), "row long, gram binary")
+    sets = written(sets.dropDuplicates(["row"]).join(reps.select("row", "copies", "band"), "row"), "gram-sets")
+    sent = tasks.join(sets, "row").select("key", "bucket", "group", "row", "block", "across", "copies", "gram", F.when(F.col("bucket"), F.col("band")).alias("bands"))
 
     def verify(batch):
+        import numpy as np
         import pandas as pd
 
-        across = bool((batch["low"] != batch["high"]).any())
-        return pd.DataFrame(verify_block(list(batch[["row", "component", "block", "copies", "text"]].itertuples(index=False)), across, words, similarity), columns=["row", "partners", "reached"])
+        rows_ = [(g, r, b, c, np.frombuffer(x, "uint64"), None if v is None else list(v)) for g, r, b, c, x, v in batch[["group", "row", "block", "copies", "gram", "bands"]].itertuples(index=False)]
+        return pd.DataFrame(verify_block(rows_, bool(batch["across"].iloc[0]), similarity), columns=["row", "partners", "reached"])
 
-    found = written(pairs.groupBy("key", "low", "high").applyInPandas(verify, "row long, partners long, reached long"), "gram-links")
+    found = written(sent.groupBy("key", "bucket").applyInPandas(verify, "row long, partners long, reached long"), "gram-links")
     links = found.groupBy("row").agg(F.sum("partners").alias("partners"))
     groups = components(found.select(F.col("row").alias("a"), F.col("reached").alias("b"))).select(F.col("node").alias("rep"), "component")
 

@@ -65,10 +65,39 @@ def test_op5_near_copies(spark, monkeypatch):
     df = documents(spark, [(k, t, "en", "a") for k, t in texts.items()])
     want = brute(texts)
     assert joined(df) == want
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)  # components over many blocks
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)  # components and buckets over many blocks
     assert joined(df) == want
 
 
+def test_op5_chained_component(spark, monkeypatch):
+    """Texts that each share words with the next make one component; its rows go to tasks by bucket, in numbers that grow with the rows."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 20)
+    shipped, whole = [], ngram_join.dealt
+    monkeypatch.setattr(ngram_join, "dealt", lambda *a: (shipped.append(whole(*a)), shipped[-1])[1])
+    sent = []
+    for n in (200, 800):
+        texts = {k: " ".join(f"w{i}" for i in range(20 * k, 20 * k + 150)) for k in range(n)}
+        texts |= {n + k: texts[k] + " more" for k in range(0, n, 10)}
+        shipped.clear()
+        assert joined(documents(spark, [(k, t, "en", "a") for k, t in texts.items()])) == brute(texts)
+        sent.append(sum(df.count() for df in shipped))
+        assert shipped[1].count() > 0  # by bucket
+    assert sent[1] < 6 * sent[0], sent
+
+
+def test_op5_set_sizes(spark, monkeypatch):
+    """A large group of sets of many sizes: brute-force links, fewer rows sent than to all pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 10)
+    rows = spark.createDataFrame([(1, k, 5 + k) for k in range(300)], "group long, row long, n long")
+    got = ngram_join.dealt(rows, 0.8).collect()
+    met = set()
+    for key in {r.key for r in got}:
+        mine = [r for r in got if r.key == key]
+        met |= {(a.row, b.row) for a in mine for b in mine if a.row < b.row and (not a.across or a.block != b.block)}
+    assert {(a, b) for a in range(300) for b in range(a + 1, 300) if 5 + a >= 0.8 * (5 + b)} <= met
+    assert len(got) < 300 * 30 / 2
+
+
 def test_op5_whole_table(spark, sf, texts):
     assert {r.doc_id: (r.n_links, r.class_id) for r in queries.op5_ngram_join(spark, sf).collect()} == brute(texts)
 
