@@ -18,18 +18,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from . import bpe
+from .common import map_batches, text_of, written
 
 LEVELS = ("domain", "lang", "source")
+#: Rows of one id and text beyond which each is ordered by its row too.
+MANY = 1000
 
 
-def words_of(text: Column) -> Column:
-    """Words between ASCII blanks: the default size of a text."""
-    trimmed = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[^\x20\x09-\x0D]+", "w")
-    return (F.length(trimmed) - F.length(F.replace(trimmed, F.lit("w"), F.lit("")))).cast("long")
+#: Characters of a run with or without white space, from which on a piece may be so long that merging it takes a linear method.
+LONG_RUN = 3000
+
+
+def token_lengths(rows: DataFrame, columns: str, path: str | None, pattern: str | None) -> DataFrame:
+    """``rows`` (``columns`` and text) with n_tokens, the byte-level BPE tokens of the whole text, in place of the text."""
+    import public_tokenizers
+
+    path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+
+    def make():
+        count = token_counter(path, pattern)
+
+        def batch(keys, texts):
+            for key, text in zip(keys, texts, strict=True):
+                yield key, count(text)
+
+        return batch
+
+    names = [c for c in rows.columns if c != "text"]
+    return map_batches(rows.select(F.struct(*names).alias("key"), "text"), make, f"key struct<{columns}>, n_tokens long").select("key.*", "n_tokens")
+
+
+_loaded: dict[tuple, object] = {}
+
+
+def token_counter(path: str, pattern: str):
+    """Of a Python worker: a text's tokens by the library; texts with very long runs, which it merges in quadratic time, by prefix tables."""
+    if (path, pattern) not in _loaded:
+        import re
+
+        import tiktoken
+
+        encode = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={}).encode_ordinary
+        long_run = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}").search
+
+        def count(text: str) -> int:
+            if not text or not long_run(text):
+                return len(encode(text))
+            return bpe.text_encoder(path, pattern)[0]([text])[0].count(" ") + 1
+
+        _loaded[path, pattern] = count
+    return _loaded[path, pattern]
 
 
 def deal(nodes: DataFrame, parent: Sequence[str], weight: str = "weight", capacity: str = "capacity", budget: str = "budget") -> DataFrame:
@@ -80,6 +122,9 @@ def select(docs: DataFrame, total_share: float, weights: dict[tuple[str, str], f
     Ranges are made so narrow that the largest leaf has about ``range_rows`` rows in each.
     """
     docs = written(docs.select("row", "key", *levels, "n_tokens").where("n_tokens > 0"), "mix-rows")
+    many = written(docs.groupBy("key").count().where(F.col("count") > MANY).select("key", F.lit(True).alias("_many")), "mix-many")
+    if n := many.count():  # rows that repeat so often would all stand in one place of the order
+        docs = docs.join(F.broadcast(many) if n <= 100_000 else many, "key", "left").withColumn("key", F.when(F.col("_many"), F.concat_ws("#", "key", "row")).otherwise(F.col("key"))).drop("_many")
     leaves = written(docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "mix-leaves")
     tokens, most = leaves.agg(F.sum("tokens"), F.max("rows")).first()
     total, digits = total_share * (tokens or 0), 1
@@ -106,29 +151,44 @@ def select(docs: DataFrame, total_share: float, weights: dict[tuple[str, str], f
 PRODUCTION = {"total_share": 0.4, "weights": {("domain", "d0"): 3.0, ("domain", "d1"): 2.0, ("lang", "en"): 2.0}, "epochs": 3, "seed": "mix-1"}
 
 
-def with_tree(docs: DataFrame, domains: int = 3) -> DataFrame:
-    """doc_id, the levels and n_tokens of ``documents``, numbered by row.
+def with_tree(docs: DataFrame, domains: int = 3, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """row, doc_id, key (id and text), the levels and n_tokens of ``documents``, each row of which has a ``row`` or is numbered.
 
     A null source or language is the node "". The domain is the rest of the source's CRC by ``domains``.
     """
     name = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    return docs.select(
-        docs["doc_id"], F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("key"), name("lang").alias("lang"), name("source").alias("source"), words_of(docs["text"]).alias("n_tokens"),
-    ).withColumns({"domain": F.concat(F.lit("d"), (F.crc32("source") % domains).cast("string")), "row": F.monotonically_increasing_id()})
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.xxhash64(text_of(docs))).alias("key"), name("lang").alias("lang"), name("source").alias("source"),
+        (docs[ROW] if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"), text_of(docs).alias("text"),
+    )
+    counted = token_lengths(rows, "doc_id: long, key: string, lang: string, source: string, row: long", path, pattern)
+    return counted.withColumn("domain", F.concat(F.lit("d"), (F.crc32("source") % domains).cast("string")))
 
 
-def mix(docs: DataFrame, **targets) -> DataFrame:
+def mix(docs: DataFrame, path: str | None = None, pattern: str | None = None, **targets) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epoch and order of the chosen rows of ``documents``, a row for each epoch.
 
     Texts are whole; null and empty ones have no tokens and are never chosen. Ids that repeat are chosen row by row.
     """
-    rows = written(with_tree(docs), "mix-docs")
-    chosen = select(rows, **PRODUCTION | targets)
-    return chosen.join(rows.select("row", "doc_id"), "row").select("doc_id", *LEVELS, "n_tokens", "epoch", "order")
+    return chosen_rows(docs, path, pattern, targets).select("doc_id", *LEVELS, "n_tokens", "epoch", "order")
+
 
+def chosen_rows(docs: DataFrame, path: str | None, pattern: str | None, targets: dict) -> DataFrame:
+    rows = written(with_tree(docs, path=path, pattern=pattern), "mix-docs")
+    return select(rows, **PRODUCTION | targets).join(rows.select("row", "doc_id"), "row")
 
-def keep_chosen(docs: DataFrame, **targets) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is chosen; once for each epoch that chooses it (rows that repeat an id: once)."""
-    found = mix(docs, **targets).select(F.col("doc_id").alias("_chosen"), "epoch").distinct()
-    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_id"))
-    return rows.join(found, F.col("_id").eqNullSafe(F.col("_chosen"))).select("_row.*")
+
+#: The column that numbers the rows of a table, where they have to be found again.
+ROW = "_mix_row"
+
+
+def keep_chosen(docs: DataFrame, path: str | None = None, pattern: str | None = None, **targets) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are chosen; once for each epoch that chooses them.
+
+    Rows are numbered and written first, so that of rows with the same id, or a null
+    one, just those stay that the budget has room for.
+    """
+    rows = written(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias(ROW)), "mix-numbered")
+    tree = rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_row.lang").alias("lang"), F.col("_row.source").alias("source"), ROW)
+    found = chosen_rows(tree, path, pattern, targets).select(F.col("row").alias(ROW))
+    return rows.join(found, ROW).select("_row.*")

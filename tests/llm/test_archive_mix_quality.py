@@ -120,9 +120,34 @@ def test_op9_budgets_and_prefixes(spark, docs):
     assert abs(used - p["total_share"] * sum(tokens.values())) < len(want) * max(size.values())
 
 
+def test_op9_tokens_are_real(spark, docs, texts):
+    import public_tokenizers
+
+    count = mixing.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    long = ["a" * 5000, "word " * 5000, " " * 5000, "x" + "日本" * 4000, "\n" * 3500 + "a", "12" * 2000 + "é"]
+    df = documents(spark, [(k, t, "en", "a") for k, t in enumerate(long)])
+    for table, source in ((docs, texts), (df, dict(enumerate(long)))):
+        want = {r.doc_id: r.n_tokens for r in bpe.encode(table, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+        assert {r.doc_id: r.n_tokens for r in mixing.with_tree(table).collect()} == want == {k: count(t) for k, t in source.items()}
+
+
+def test_op9_rows_that_repeat(spark, monkeypatch):
+    """Of rows with one id and text, as many are chosen as the budget has room for, and they are spread over the order."""
+    monkeypatch.setattr(mixing, "MANY", 50)
+    rows = [(7, "the same row again and again", "en", "a")] * 400 + [(None, "no id", "en", "a")] * 60 + [(i, f"text {i}", "en", "a") for i in range(1000, 1100)]
+    df = documents(spark, rows).repartition(4)
+    total = sum(r.n_tokens for r in mixing.with_tree(df).collect())
+    chosen = mixing.mix(df, total_share=0.5, epochs=1).collect()
+    assert abs(sum(r.n_tokens for r in chosen) - total / 2) < 10 and len({r.order for r in chosen}) == len(chosen)
+    kept = mixing.with_tree(mixing.keep_chosen(df, total_share=0.5, epochs=1)).collect()
+    assert abs(sum(r.n_tokens for r in kept) - total / 2) < 10 and 150 < sum(r.doc_id == 7 for r in kept) < 250
+    ranges = Counter(r.order[0] for r in chosen)
+    assert max(ranges.values()) < 0.4 * len(chosen)
+
+
 def test_op9_odd_rows(odd, none):
     kept = mixing.keep_chosen(odd, total_share=1.0, epochs=1)
-    assert kept.columns == odd.columns and kept.where("epoch = 'mine'").count() == kept.count() == sum(1 for _, t, *_ in ODD if t and t.strip())
+    assert kept.columns == odd.columns and kept.where("epoch = 'mine'").count() == kept.count() == sum(1 for _, t, *_ in ODD if t)
     assert mixing.mix(none).count() == mixing.keep_chosen(none).count() == 0
 
 
