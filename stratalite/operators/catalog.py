@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joining import knn
+
 
 def range_filter(events: DataFrame, column: str, low: float, high: float, exclude: bool = False) -> DataFrame:
     """Events with a value inside (or, excluding, outside) a range; null is neither."""
@@ -32,10 +34,11 @@ def without_keywords(lines: DataFrame, column: str, words: Sequence[str]) -> Dat
 
 
 def frequency_magnitude(events: DataFrame, mag: str = "mag", step: float = 0.1) -> DataFrame:
-    """b-value: completeness (the first modal magnitude), least-squares fit of log10 N(>=M) from there, and the likelihood estimate."""
+    """b-value: completeness (the first modal magnitude), least-squares fit of log10 N(>=M) from there over every bin, and the likelihood estimate."""
     m = events.where(F.col(mag).isNotNull()).select(F.round(F.col(mag) / step).cast("int").alias("bin"), F.col(mag).alias("m"))
     h = m.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    up = h.withColumn("above", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("bin"))))
+    every = h.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("bin"))
+    up = every.join(h, "bin", "left").withColumn("above", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy(F.desc("bin"))))
     mode = h.orderBy(F.desc("n"), "bin").limit(1).select(F.col("bin").alias("_c"))
     line = up.crossJoin(F.broadcast(mode)).where("bin >= _c").agg(F.regr_slope(F.log10("above"), F.col("bin") * step).alias("slope"), F.regr_intercept(F.log10("above"), F.col("bin") * step).alias("a"), (F.min("_c") * step).alias("completeness"))
     mle = m.crossJoin(F.broadcast(mode)).where("bin >= _c").agg((F.lit(0.4342944819032518) / (F.avg("m") - F.min("m"))).alias("b_mle"))
@@ -68,11 +71,12 @@ def station_residuals(picks: DataFrame, event: str, station: str, value: str) ->
 
 
 def mercalli(mag: Column) -> Column:
-    """Intensity from magnitude by steps; 4, 6, 7 and 8 have their own."""
-    step = F.when(mag.isNull(), None)
-    for low, name in ((8, "XII"), (7, "X"), (6, "VIII"), (5, "VI"), (4, "IV"), (3, "III"), (2, "II")):
-        step = step.when(mag >= low, name)
-    return step.otherwise("I")
+    """Intensity from magnitude: whole magnitudes 4, 6, 7 and 8 have steps of their own."""
+    steps = ((mag < 2, "I"), (mag < 3, "II"), (mag < 4, "III"), (mag == 4, "IV"), (mag < 5, "V"), (mag < 6, "VI"), (mag == 6, "VII"), (mag < 7, "VIII"), (mag == 7, "IX"), (mag < 8, "X"), (mag == 8, "XI"), (mag > 8, "XII"))
+    found = F.when(mag.isNull(), None)
+    for at, name in steps:
+        found = found.when(at, name)
+    return found
 
 
 def magnitude_columns(events: DataFrame, event: str, kind: str, mag: str, kinds: Sequence[str]) -> DataFrame:
@@ -111,15 +115,24 @@ def drift_rate(readings: DataFrame, keys: Sequence[str], t: str, value: str) ->
     return readings.groupBy(*keys).agg(F.try_divide(F.max_by(value, t) - F.min_by(value, t), span).alias("rate"))
 
 
-def segments_of(lines: DataFrame, delimiter: Column, order: str, out: str = "block") -> DataFrame:
-    """Adds the number of delimiter rows so far: rows between two delimiters share a block."""
-    return lines.withColumn(out, F.sum(delimiter.cast("int")).over(Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def segments_of(lines: DataFrame, delimiter: Column, key: str, order: str, out: str = "block") -> DataFrame:
+    """Adds the number of delimiter rows so far in each ``key`` (file, line): rows between two delimiters share a block."""
+    return lines.withColumn(out, F.sum(delimiter.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
 
+def quarry_blasts(events: DataFrame, day: tuple[int, int], k: int = 50, radius: float = 0.2, ratio: float = 3.0, start: float | None = None) -> DataFrame:
+    """Events (event, lat, lon, hour) without those that look like blasts.
 
-def recluster_daylight(events: DataFrame, hour: str, cell: Sequence[str], day: tuple[int, int], ratio: float) -> DataFrame:
-    """Events of cells where daytime events (a blast's hours) outnumber the others by more than ``ratio`` are left out."""
-    is_day = F.col(hour).between(*day)
-    n = events.groupBy(*cell).agg(F.sum(is_day.cast("int")).alias("_d"), F.sum((~is_day).cast("int")).alias("_n"))
-    hours = day[1] - day[0] + 1
-    blasted = n.where(F.col("_d") * (24 - hours) > ratio * F.greatest("_n", F.lit(1)) * hours)
-    return events.join(blasted, list(cell), "left_anti")
+    Each event with its k - 1 nearest within ``radius`` degrees is a node; where the
+    rate of daytime events over that of the others exceeds ``ratio``, the node's
+    daytime events go. ``start`` is the first radius that is searched.
+    """
+    here = events.select(F.col("event").alias("lid"), F.col("lon").alias("lx"), F.col("lat").alias("ly"))
+    there = events.select(F.col("event").alias("rid"), F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.col("hour").between(*day).alias("is_day"))
+    near = knn(here, there, k, start or radius / 4, radius)
+    days = day[1] - day[0]
+    nodes = near.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_day").cast("int")).alias("d")).where(F.col("n") == k)
+    night = F.when(F.col("d") == k, 0.00001).otherwise(F.lit(k) - F.col("d"))
+    busy = nodes.where(F.col("d") * (24 - days) / (night * days) > ratio).select("lid")
+    blasts = near.where("is_day").join(busy, "lid", "left_semi").select(F.col("rid").alias("event")).distinct()
+    return events.join(blasts, "event", "left_anti")

@@ -48,8 +48,12 @@ def normalise(cells: DataFrame, how: str, value: str = "value") -> DataFrame:
     elif how == "mean":
         s = with_stats(cells, _a=F.avg(value), _b=F.stddev_pop(value))
     elif how == "median":
-        s = with_stats(cells, _a=F.median(value))
-        s = s.crossJoin(F.broadcast(s.agg(F.median(F.abs(F.col(value) - F.col("_a"))).alias("_b"))))
+        from .stats import medians
+
+        long = cells.select(F.lit("v").alias("band"), F.col(value).cast("double").alias("value"))
+        a = medians(long).get("v")
+        b = medians(long.withColumn("value", F.abs(F.col("value") - F.lit(a)))).get("v")
+        s = cells.withColumns({"_a": F.lit(a).cast("double"), "_b": F.lit(b).cast("double")})
     else:
         raise ValueError(how)
     return s.withColumn(value, F.try_divide(F.col(value) - F.col("_a"), F.col("_b"))).drop("_a", "_b")
@@ -57,8 +61,10 @@ def normalise(cells: DataFrame, how: str, value: str = "value") -> DataFrame:
 
 def clip_percentiles(cells: DataFrame, low: float, high: float, value: str = "value") -> DataFrame:
     """Values clamped to two interpolated percentiles (in percent, from below and from above)."""
-    s = with_stats(cells, _p=F.percentile(value, [low / 100, 1 - high / 100]))
-    return s.withColumn(value, F.least(F.greatest(F.col(value), F.col("_p")[0]), F.col("_p")[1])).drop("_p")
+    from .stats import exact_quantiles
+
+    limits = exact_quantiles(cells.select(F.lit("v").alias("band"), F.col(value).cast("double").alias("value")), [low / 100, 1 - high / 100]).get("v", [None, None])
+    return cells.withColumn(value, F.least(F.greatest(F.col(value), F.lit(limits[0]).cast("double")), F.lit(limits[1]).cast("double")))
 
 
 def norm2(cells: DataFrame, low: float | None = None, high: float | None = None, value: str = "value") -> DataFrame:
@@ -80,21 +86,20 @@ def histogram(cells: DataFrame, bins: int, value: str = "value") -> DataFrame:
     return s.groupBy(F.coalesce(at, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def equalise(cells: DataFrame, bins: int = 256, value: str = "value") -> DataFrame:
-    """Histogram equalisation: the share of values up to the bin's centre, between centres linearly."""
+def equalise(cells: DataFrame, bins: int = 32768, value: str = "value") -> DataFrame:
+    """Histogram equalisation: the cells in higher bins than the first, up to the value's own, scaled to 0..``bins``; between bin centres linearly.
+
+    A cell needs the counts up to the bins of the two centres around it: one window
+    over the bins, and one join with them.
+    """
     s = with_stats(cells, _a=F.min(value), _b=F.max(value))
-    counts = histogram(cells, bins, value)
-    up = counts.withColumn("c", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bin"))).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t"))))
-    curve = up.agg(F.map_from_entries(F.collect_list(F.struct("bin", (F.col("c") / F.col("t")).alias("c")))).alias("_m"))  # ``bins`` entries
-    full = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.element_at("_m", b))
-    filled = F.aggregate(full, F.array().cast("array<double>"), lambda acc, c: F.array_append(acc, F.coalesce(c, F.try_element_at(acc, F.lit(-1)), F.lit(0.0))))
-    s = s.crossJoin(F.broadcast(curve.select(filled.alias("_c"))))
-    place = F.try_divide((F.col(value) - F.col("_a")) * bins, F.col("_b") - F.col("_a")) - 0.5
-    low = F.greatest(F.least(F.floor(place), F.lit(bins - 1)), F.lit(0)).cast("int")
-    high = F.greatest(F.least(F.floor(place) + 1, F.lit(bins - 1)), F.lit(0)).cast("int")
-    weight = place - F.floor(place)
-    out = F.element_at("_c", low + 1) * (1 - weight) + F.element_at("_c", high + 1) * weight
-    return s.withColumn(value, F.when(F.col(value).isNotNull(), out)).drop("_a", "_b", "_c")
+    counts = s.select("_a", "_b").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(histogram(cells, bins, value), "bin", "left")
+    up = counts.select("bin", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("bin")).alias("c"))  # ``bins`` rows
+    scaled = with_stats(up, _c0=F.min("c"), _c1=F.max("c")).select("bin", (F.lit(float(bins)) * F.try_divide(F.col("c") - F.col("_c0"), F.col("_c1") - F.col("_c0"))).alias("c"))
+    scaled = scaled.select("bin", "c", F.coalesce(F.lead("c").over(Window.partitionBy(F.lit(0)).orderBy("bin")), "c").alias("next"))
+    place = F.greatest(F.least(F.try_divide((F.col(value) - F.col("_a")) * bins, F.col("_b") - F.col("_a")) - 0.5, F.lit(bins - 1.0)), F.lit(0.0))
+    s = s.withColumn("_place", place).withColumn("bin", F.floor("_place").cast("int")).join(F.broadcast(scaled), "bin", "left")
+    return s.withColumn(value, F.col("c") + (F.col("next") - F.col("c")) * (F.col("_place") - F.col("bin"))).drop("_a", "_b", "_place", "bin", "c", "next")
 
 
 def trim(cells: DataFrame, value: str = "value") -> DataFrame:
@@ -134,8 +139,10 @@ def mosaic(scenes: DataFrame, how: str, order: str = "scene", value: str = "valu
 def mosaic_median(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` over ``old``, moved by the difference of their medians where they overlap."""
     both = old.select("row", "col", F.col("value").alias("a")).join(new.select("row", "col", F.col("value").alias("b")), ["row", "col"], "full")
-    shift = both.where("a IS NOT NULL AND b IS NOT NULL").agg((F.median("a") - F.median("b")).alias("d"))
-    return both.crossJoin(F.broadcast(shift)).select("row", "col", F.coalesce(F.col("b") + F.coalesce("d", F.lit(0.0)), "a").alias("value"))
+    from .stats import medians
+
+    middle = medians(both.where("a IS NOT NULL AND b IS NOT NULL").select(*[F.col(c).cast("double").alias(c) for c in "ab"]).unpivot([], ["a", "b"], "band", "value"))
+    return both.select("row", "col", F.coalesce(F.col("b") + F.lit(middle.get("a", 0.0) - middle.get("b", 0.0)), "a").alias("value"))
 
 
 _ALLOWED = {"sqrt", "ln", "log", "exp", "sin", "cos", "tan", "atan2", "arctan2", "abs", "pow", "least", "greatest", "floor", "ceil", "case", "when", "then", "else", "end", "and", "or", "not", "is", "null", "between"}

@@ -14,20 +14,61 @@ def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "band", "value")
 
 
+def exact_quantiles(long: DataFrame, probabilities: Sequence[float], bins: int = 4096) -> dict[str, list[float]]:
+    """Of (band, value) rows: each band's exact quantiles, interpolated between neighbours.
+
+    Each round counts equal bins of the intervals that hold the wanted ranks, and
+    goes on with the bins that have them, until all their values are equal: a few
+    scans with bounded state, however many distinct values there are. The driver
+    gets ``bins`` counts for each interval.
+    """
+    known = long.where("value IS NOT NULL AND NOT isnan(value)")
+    bands = {r.band: r for r in known.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b")).collect()}
+    ranks = {b: [((r.n - 1) * p // 1, (r.n - 1) * p % 1) for p in probabilities] for b, r in bands.items()}
+    wanted = {(b, int(k) + d): (r.a, r.b, int(k) + d) for b, r in bands.items() for k, f in ranks[b] for d in ((0, 1) if f else (0,))}
+    while todo := sorted({(b, a, z) for (b, _), (a, z, _) in wanted.items() if a < z}):
+        parts = long.sparkSession.createDataFrame(todo, "band string, a double, b double")
+        at = F.least(F.floor((F.col("value") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)).alias("bin")
+        rows = known.join(F.broadcast(parts), "band").where("value BETWEEN a AND b").groupBy("band", "a", "b", at).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        held: dict = {}
+        for r in sorted(rows, key=lambda r: (r.band, r.a, r.b, r.bin)):
+            held.setdefault((r.band, r.a, r.b), []).append(r)
+        for key, (a, z, rank) in wanted.items():
+            if a < z:
+                for r in held[key[0], a, z]:
+                    if rank < r.n:
+                        wanted[key] = (r.low, r.high, rank)
+                        break
+                    rank -= r.n
+    value = lambda b, k: wanted[b, int(k)][0]
+    return {b: [value(b, k) + ((value(b, k + 1) - value(b, k)) * f if f else 0.0) for k, f in ranks[b]] for b in bands}
+
+
+def medians(long: DataFrame) -> dict[str, float]:
+    return {b: v[0] for b, v in exact_quantiles(long, [0.5]).items()}
+
+
+def by_band(values: dict[str, float], missing: float | None = None):
+    """A column with the value of each row's band."""
+    known = [x for b, v in values.items() for x in (F.lit(b), F.lit(v))]
+    return F.try_element_at(F.create_map(*known), F.col("band")) if known else F.lit(missing).cast("double")
+
+
 def band_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per band: least, greatest, mean, population deviation, median, median absolute deviation, count, biased skew and excess kurtosis."""
     long = unpivot(df, columns).where("value IS NOT NULL")
-    base = long.groupBy("band").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.median("value").alias("median"),
-        F.count("value").alias("n"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"),
-    )
-    mad = long.join(F.broadcast(base.select("band", "median")), "band").groupBy("band").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
-    return base.join(mad, "band")
+    middle = medians(long)
+    mad = medians(long.withColumn("value", F.abs(F.col("value") - by_band(middle))))
+    each = lambda c: {"min": F.min(c), "max": F.max(c), "mean": F.avg(c), "std": F.stddev_pop(c), "n": F.count(c), "skew": F.skewness(c), "kurtosis": F.kurtosis(c)}
+    one = df.agg(*[F.struct(*[f.alias(n) for n, f in each(F.col(c).cast("double")).items()]).alias(c) for c in columns])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("band"), F.col(c).alias("s")) for c in columns])).alias("x")).select("x.band", "x.s.*")
+    return rows.where("n > 0").withColumns({"median": by_band(middle), "mad": by_band(mad)})
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per numeric column: mean, sample deviation, median, least, greatest; nulls are skipped."""
-    return unpivot(df, columns).groupBy("band").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"))
+    long = unpivot(df, columns)
+    return long.groupBy("band").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")).withColumn("median", by_band(medians(long)))
 
 
 def class_statistics(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
@@ -65,7 +106,7 @@ def histogram_2d(df: DataFrame, x: str, y: str, nx: int, ny: int) -> DataFrame:
     return s.groupBy(at(x, "_x0", "_x1", nx).alias("bx"), at(y, "_y0", "_y1", ny).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def modal_value(df: DataFrame, column: str, bins: int = 255, zooms: int = 2) -> DataFrame:
+def modal_value(df: DataFrame, column: str, bins: int = 255, zooms: int = 1) -> DataFrame:
     """The middle of the fullest bin after zooming into the fullest bin ``zooms`` times (the first of equally full ones)."""
     known = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     limits = known.agg(F.min("v").alias("a"), F.max("v").alias("b"))
@@ -86,9 +127,9 @@ def display_limits(df: DataFrame, column: str, deviations: float = 2.0) -> DataF
 
 def class_breaks(df: DataFrame, column: str) -> DataFrame:
     """The quartile (1..4, right-closed) that each value lies in."""
-    q = df.agg(F.percentile(column, [0.25, 0.5, 0.75]).alias("_q"))
-    v = F.col(column)
-    return df.crossJoin(F.broadcast(q)).withColumn("quartile", F.when(v <= F.col("_q")[0], 1).when(v <= F.col("_q")[1], 2).when(v <= F.col("_q")[2], 3).when(v.isNotNull(), 4)).drop("_q")
+    found = exact_quantiles(df.select(F.lit("v").alias("band"), F.col(column).cast("double").alias("value")), [0.25, 0.5, 0.75]).get("v", [None] * 3)
+    v, q = F.col(column), [F.lit(x).cast("double") for x in found]
+    return df.withColumn("quartile", F.when(v <= q[0], 1).when(v <= q[1], 2).when(v <= q[2], 3).when(v.isNotNull(), 4))
 
 
 def confusion(df: DataFrame, truth: str, found: str) -> DataFrame:

@@ -12,24 +12,47 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def _row():
+from collections.abc import Sequence
+
+from .grid import with_stats
+
+
+def _row(keys: Sequence[str] = ()):
     """Along a row; a window needs a session, so none is made on import."""
-    return Window.partitionBy("row").orderBy("col")
+    return Window.partitionBy(*keys, "row").orderBy("col")
+
+
+def _col(keys: Sequence[str] = ()):
+    return Window.partitionBy(*keys, "col").orderBy("row")
+
+
+def _beside(w, place: str, value: str) -> tuple[Column, Column]:
+    """The values one place before and after; null where that cell is missing."""
+    here = F.col(place)
+    return F.when(F.lag(place).over(w) == here - 1, F.lag(value).over(w)), F.when(F.lead(place).over(w) == here + 1, F.lead(value).over(w))
 
 
-def _col():
-    return Window.partitionBy("col").orderBy("row")
+_EDGES = {"_r0": ("min", "row"), "_r1": ("max", "row"), "_c0": ("min", "col"), "_c1": ("max", "col")}
 
 
-def derivatives(cells: DataFrame, dx: float = 1.0, dy: float = 1.0, value: str = "value") -> DataFrame:
-    """Adds dx (along columns) and dy (along rows): central differences inside, one-sided at the edges."""
+def _with_edges(cells: DataFrame) -> DataFrame:
+    """First and last row and column of the whole raster, in each cell."""
+    return with_stats(cells, **{n: getattr(F, f)(c) for n, (f, c) in _EDGES.items()})
 
-    def along(w: Window, step: float) -> Column:
-        before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        first, last = F.row_number().over(w) == 1, F.lead(F.lit(1)).over(w).isNull()
+
+def derivatives(cells: DataFrame, dx: float = 1.0, dy: float = 1.0, value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """Adds dx (along columns) and dy (along rows): central differences inside, one-sided at the raster's edges.
+
+    Beside a missing cell or a null there is no derivative. ``keys`` (band, scene)
+    part rasters in one table that share their edges.
+    """
+
+    def along(w: Window, step: float, place: str, low: str, high: str) -> Column:
+        before, after = _beside(w, place, value)
+        here, first, last = F.col(value), F.col(place) == F.col(low), F.col(place) == F.col(high)
         return F.when(first & last, F.lit(0.0)).when(first, (after - here) / step).when(last, (here - before) / step).otherwise((after - before) / (2 * step))
 
-    return cells.withColumns({"dx": along(_row(), dx), "dy": along(_col(), dy)})
+    return _with_edges(cells).withColumns({"dx": along(_row(keys), dx, "col", "_c0", "_c1"), "dy": along(_col(keys), dy, "row", "_r0", "_r1")}).drop(*_EDGES)
 
 
 def directional(cells: DataFrame, azimuth: float, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
@@ -81,22 +104,80 @@ def disc_kernel(radius: int) -> dict[tuple[int, int], float]:
     return dict.fromkeys(inside, 1 / len(inside))
 
 
+def window_values(cells: DataFrame, offsets: Sequence[tuple[int, int]], value: str = "value") -> DataFrame:
+    """Of each cell that exists: the known values of its window as an array ``near``, by (row step, column step)."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
+    spread = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("v"), F.explode(steps).alias("k"))
+    near = spread.groupBy((F.col("row") - F.col("k.i")).alias("row"), (F.col("col") - F.col("k.j")).alias("col")).agg(F.sort_array(F.collect_list("v")).alias("near"))
+    return cells.join(near, ["row", "col"])
+
+
+def median_of(values: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
+def offsets(rows: int, cols: int | None = None) -> list[tuple[int, int]]:
+    """Steps of a window of rows by cols, with the cell in the middle."""
+    cols = cols or rows
+    return [(i - rows // 2, j - cols // 2) for i in range(rows) for j in range(cols)]
+
+
+def disc_offsets(radius: int) -> list[tuple[int, int]]:
+    return list(disc_kernel(radius))
+
+
+def moving_median(cells: DataFrame, steps: Sequence[tuple[int, int]]) -> DataFrame:
+    """Median of the known cells of each window; windows at the border are smaller, masked cells get the median around them."""
+    return window_values(cells, steps).select("row", "col", median_of(F.col("near")).alias("value"))
+
+
+def moving_sum(cells: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
+    """Correlation with a kernel, zeros outside the raster; a cell whose window has a masked cell is masked."""
+    bad = cells.where("value IS NULL").select("row", "col").withColumn("value", F.lit(float("nan")))
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in kernel.items()])
+    known = cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("double").alias("value")).unionByName(bad)
+    near = known.select("row", "col", "value", F.explode(entries).alias("k")).groupBy((F.col("row") - F.col("k.i")).alias("row"), (F.col("col") - F.col("k.j")).alias("col")).agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
+    return cells.select("row", "col").join(near, ["row", "col"]).withColumn("value", F.nanvl("value", F.lit(None)))
+
+
+def gaussian_kernel(rows: int, cols: int, sigma: float) -> dict[tuple[int, int], float]:
+    """Weights exp(-(r/s)^2 / 2) on the even grid of steps from -n/2 to n/2 - 1, adding up to 1."""
+    r2, c2 = (rows - 1) / 2, (cols - 1) / 2
+    steps = {(i, j): math.exp(-((i - r2) ** 2 + (j - c2) ** 2) / (2 * sigma * sigma)) for i in range(2 * int(r2)) for j in range(2 * int(c2))}
+    total = sum(steps.values())
+    return {(i - int(r2), j - int(c2)): w / total for (i, j), w in steps.items()}
+
+
 def gain_control(cells: DataFrame, radius: int, how: str = "mean") -> DataFrame:
-    """Value above the least one over the mean or root mean square of its window."""
-    low = cells.crossJoin(F.broadcast(cells.agg(F.min("value").alias("_m")))).select("row", "col", (F.col("value") - F.col("_m")).alias("value"))
-    stat = F.col("s") / F.col("n") if how == "mean" else F.sqrt(F.col("ss") / F.col("n"))
-    return low.join(around(low, radius), ["row", "col"]).select("row", "col", F.try_divide("value", stat).alias("value"))
+    """Value above the least one over the mean, median or root mean square of the unmasked cells of its window.
+
+    Cells nearer than ``radius`` to the raster's edge, and masked ones, have none;
+    where the window's is zero, the value above the least stays.
+    """
+    low = with_stats(_with_edges(cells), _m=F.min("value")).withColumn("value", F.col("value") - F.col("_m"))
+    near = window_values(low, offsets(2 * radius + 1)).where("value IS NOT NULL")
+    whole = (F.col("row") - F.col("_r0") >= radius) & (F.col("_r1") - F.col("row") >= radius) & (F.col("col") - F.col("_c0") >= radius) & (F.col("_c1") - F.col("col") >= radius)
+    n, total = F.size("near"), lambda f: F.aggregate("near", F.lit(0.0), lambda a, v: a + f(v))
+    stat = {"mean": lambda: total(lambda v: v) / n, "median": lambda: median_of(F.col("near")), "rms": lambda: F.sqrt(total(lambda v: v * v) / n)}[how]()
+    return near.where(whole).select("row", "col", F.when(stat == 0, F.col("value")).otherwise(F.col("value") / stat).alias("value"))
 
 
 def sobel(cells: DataFrame) -> DataFrame:
-    """Adds dzdx and dzdy of the 3x3 Sobel operator (over 8), the border repeated outwards."""
-    w = lambda k: {f"_{k}a": F.coalesce(F.lag("value").over(_row()), "value"), f"_{k}b": F.coalesce(F.lead("value").over(_row()), "value")}
-    c = cells.withColumns(w("r"))
+    """Adds dzdx and dzdy of the 3x3 Sobel operator (over 8), the border repeated outwards; null beside a missing cell."""
+    c = _with_edges(cells)
+
+    def ends(w, place: str, name: str, low: str, high: str) -> tuple[Column, Column]:
+        before, after = _beside(w, place, name)
+        return F.when(F.col(place) == F.col(low), F.col(name)).otherwise(before), F.when(F.col(place) == F.col(high), F.col(name)).otherwise(after)
+
+    left, right = ends(_row(), "col", "value", "_c0", "_c1")
+    c = c.withColumns({"_ra": left, "_rb": right})
     c = c.withColumns({"_dx": F.col("_rb") - F.col("_ra"), "_sx": F.col("_ra") + 2 * F.col("value") + F.col("_rb")})
-    up = lambda n: F.coalesce(F.lag(n).over(_col()), n)
-    down = lambda n: F.coalesce(F.lead(n).over(_col()), n)
-    c = c.withColumns({"dzdx": (up("_dx") + 2 * F.col("_dx") + down("_dx")) / 8, "dzdy": (up("_sx") - down("_sx")) / 8})
-    return c.drop("_ra", "_rb", "_dx", "_sx")
+    (up_d, down_d), (up_s, down_s) = ends(_col(), "row", "_dx", "_r0", "_r1"), ends(_col(), "row", "_sx", "_r0", "_r1")
+    c = c.withColumns({"dzdx": (up_d + 2 * F.col("_dx") + down_d) / 8, "dzdy": (up_s - down_s) / 8})
+    return c.drop("_ra", "_rb", "_dx", "_sx", *_EDGES)
 
 
 def aspect(cells: DataFrame) -> DataFrame:
@@ -107,10 +188,12 @@ def aspect(cells: DataFrame) -> DataFrame:
     return c.withColumn("value", F.when((F.col("dzdx") == 0) & (F.col("dzdy") == 0), F.lit(-1.0)).otherwise(turned)).drop("dzdx", "dzdy")
 
 
-def shade(cells: DataFrame, cell: float, azimuth: float, elevation: float, ambient: float = 0.0) -> DataFrame:
-    """Sunshaded relief: the cosine between the surface's normal and the sun, plus ambient light (angles in radians)."""
+def shade(cells: DataFrame, cell: float = 1.0, elevation: float = math.pi / 4, azimuth: float = -math.pi / 4, alpha: float = 1.0) -> DataFrame:
+    """Sunshaded relief by Blinn's model: the cosine to the sun, times (1 - alpha) plus alpha by the squared cosine to the half-way direction (radians)."""
     c = sobel(cells)
     p, q = F.col("dzdx") / cell, F.col("dzdy") / cell
-    ps, qs = math.cos(azimuth) * math.tan(math.pi / 2 - elevation), math.sin(azimuth) * math.tan(math.pi / 2 - elevation)
-    light = (1 + p * ps + q * qs) / (F.sqrt(1 + p * p + q * q) * math.sqrt(1 + ps * ps + qs * qs))
-    return c.withColumn("value", ambient + (1 - ambient) * F.greatest(light, F.lit(0.0))).drop("dzdx", "dzdy")
+    sun = (-math.cos(azimuth) * math.tan(elevation), -math.sin(azimuth) * math.tan(elevation))
+    half = tuple(x / (1 + math.hypot(1, *sun)) for x in sun)
+    cosine = lambda x, y: (1 + x * p + y * q) / (F.sqrt(1 + p * p + q * q) * math.hypot(1, x, y))
+    light = ((1 - alpha) + alpha * cosine(*half) * cosine(*half)) * cosine(*sun) / math.cos(elevation / 2)
+    return c.withColumn("value", light).drop("dzdx", "dzdy")

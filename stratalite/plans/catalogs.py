@@ -42,7 +42,7 @@ def keyword_delete(spark, sf_dir):
 
 
 @query("bvalue", f"""WITH {CATALOGUE}, m AS (SELECT CAST(round(mag / 0.1) AS INTEGER) AS bin, mag AS m FROM catalogue WHERE mag IS NOT NULL), h AS (SELECT bin, count(*) AS n FROM m GROUP BY 1),
-u AS (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above FROM h), c AS (SELECT bin AS c FROM h ORDER BY n DESC, bin LIMIT 1),
+e0 AS (SELECT unnest(range((SELECT min(bin) FROM h), (SELECT max(bin) + 1 FROM h))) AS bin), u AS (SELECT bin, sum(coalesce(n, 0)) OVER (ORDER BY bin DESC) AS above FROM e0 LEFT JOIN h USING (bin)), c AS (SELECT bin AS c FROM h ORDER BY n DESC, bin LIMIT 1),
 l AS (SELECT regr_slope(log10(above), bin * 0.1) AS s, regr_intercept(log10(above), bin * 0.1) AS a, min(c) * 0.1 AS completeness FROM u, c WHERE bin >= c), e AS (SELECT 0.4342944819032518 / (avg(m) - min(m)) AS b_mle FROM m, c WHERE bin >= c)
 SELECT round(CAST(completeness AS DOUBLE), 4) AS completeness, round(-s, 5) AS b, round(a, 5) AS a, round(b_mle, 5) AS b_mle FROM l, e""")
 def bvalue(spark, sf_dir):
@@ -71,7 +71,7 @@ def residual_by_station(spark, sf_dir):
     return _rounded(catalog.station_residuals(catalogue(spark, sf_dir), "station", "phase", "value"), "mean", "std", places=5)
 
 
-@query("mercalli", f"""WITH {CATALOGUE} SELECT CASE WHEN mag >= 8 THEN 'XII' WHEN mag >= 7 THEN 'X' WHEN mag >= 6 THEN 'VIII' WHEN mag >= 5 THEN 'VI' WHEN mag >= 4 THEN 'IV' WHEN mag >= 3 THEN 'III' WHEN mag >= 2 THEN 'II' ELSE 'I' END AS intensity, count(*) AS n FROM catalogue GROUP BY 1""")
+@query("mercalli", f"""WITH {CATALOGUE} SELECT CASE WHEN mag < 2 THEN 'I' WHEN mag < 3 THEN 'II' WHEN mag < 4 THEN 'III' WHEN mag = 4 THEN 'IV' WHEN mag < 5 THEN 'V' WHEN mag < 6 THEN 'VI' WHEN mag = 6 THEN 'VII' WHEN mag < 7 THEN 'VIII' WHEN mag = 7 THEN 'IX' WHEN mag < 8 THEN 'X' WHEN mag = 8 THEN 'XI' ELSE 'XII' END AS intensity, count(*) AS n FROM catalogue GROUP BY 1""")
 def mercalli(spark, sf_dir):
     return catalogue(spark, sf_dir).groupBy(catalog.mercalli(F.col("mag")).alias("intensity")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -113,16 +113,22 @@ def drift_rate(spark, sf_dir):
 
 @query("block_segments", f"""WITH {LINES} SELECT line, id, CAST(sum(CASE WHEN base THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM lines""")
 def block_segments(spark, sf_dir):
-    from pyspark.sql import Window
+    return catalog.segments_of(lines(spark, sf_dir), F.col("base"), "line", "t").select("line", "id", F.col("block").cast("long").alias("block"))
 
-    w = Window.partitionBy("line").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines(spark, sf_dir).select("line", "id", F.sum(F.col("base").cast("int")).over(w).cast("long").alias("block"))
 
+_EPICENTRES = """e AS (SELECT event_id AS event, CAST(event_id * 7919 % 40009 AS DOUBLE) / 10000 AS lat, CAST(event_id * 104729 % 40013 AS DOUBLE) / 10000 AS lon, CASE WHEN event_id * 7919 % 40009 < 9000 THEN 8 + event_id % 9 ELSE event_id % 24 END AS hour FROM events)"""
 
-@query("quarry_removal", f"""WITH {CATALOGUE}, n AS (SELECT station, mag, sum(CASE WHEN hour BETWEEN 9 AND 15 THEN 1 ELSE 0 END) AS d, sum(CASE WHEN hour BETWEEN 9 AND 15 THEN 0 ELSE 1 END) AS n FROM catalogue GROUP BY 1, 2)
-SELECT c.event FROM catalogue c JOIN n ON c.station = n.station AND c.mag = n.mag WHERE NOT (d * 17 > 1.5 * greatest(n, 1) * 7)""")
+
+@query("quarry_removal", f"""WITH {_EPICENTRES}, w AS (SELECT a.event AS lid, b.event AS rid, b.hour BETWEEN 9 AND 15 AS is_day, row_number() OVER (PARTITION BY a.event ORDER BY power(a.lon - b.lon, 2) + power(a.lat - b.lat, 2), b.event) AS rank
+FROM e a JOIN e b ON b.lat BETWEEN a.lat - 0.21 AND a.lat + 0.21 AND b.lon BETWEEN a.lon - 0.21 AND a.lon + 0.21 WHERE power(a.lon - b.lon, 2) + power(a.lat - b.lat, 2) <= 0.2 * 0.2),
+k AS (SELECT * FROM w WHERE rank <= 50), n AS (SELECT lid, count(*) AS n, CAST(sum(CASE WHEN is_day THEN 1 ELSE 0 END) AS DOUBLE) AS d FROM k GROUP BY 1),
+x AS (SELECT lid FROM n WHERE n = 50 AND d * 18 / (CASE WHEN d = 50 THEN 0.00001 ELSE 50 - d END * 6) > 3.0)
+SELECT event FROM e WHERE event NOT IN (SELECT rid FROM k WHERE is_day AND lid IN (SELECT lid FROM x))""")
 def quarry_removal(spark, sf_dir):
-    return catalog.recluster_daylight(catalogue(spark, sf_dir), "hour", ["station", "mag"], (9, 15), 1.5).select("event")
+    k = F.col("event_id")
+    lat, lon = (k * 7919) % 40009, (k * 104729) % 40013
+    e = table(spark, sf_dir, "events").select(k.alias("event"), (lat.cast("double") / 10000).alias("lat"), (lon.cast("double") / 10000).alias("lon"), F.when(lat < 9000, 8 + k % 9).otherwise(k % 24).alias("hour"))
+    return catalog.quarry_blasts(e, (9, 15), start=0.1).select("event")
 
 
 @query("magnitude_rollup", f"""WITH {CATALOGUE} SELECT phase, hour, count(*) AS n FROM catalogue GROUP BY ROLLUP (phase, hour)""")

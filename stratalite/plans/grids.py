@@ -38,12 +38,12 @@ def normalise_median(spark, sf_dir):
 _LEVELS = " ".join(f"""LEFT JOIN (SELECT "row" // {2**k} AS r, col // {2**k} AS c, sum(s) / sum(n) AS v FROM fine GROUP BY 1, 2) l{k} ON l{k}.r = lattice."row" // {2**k} AND l{k}.c = lattice.col // {2**k}""" for k in range(4))
 
 
-@query("quickgrid_multilevel", f"""WITH {POINTS}, p AS (SELECT * FROM points WHERE z > 60000),
+@query("quickgrid_multilevel", f"""WITH {POINTS}, p AS (SELECT * FROM points),
 fine AS (SELECT CAST(floor((y - (SELECT min(y) FROM p)) / 0.5) AS INTEGER) AS "row", CAST(floor((x - (SELECT min(x) FROM p)) / 0.5) AS INTEGER) AS col, sum(z) AS s, count(*) AS n FROM p GROUP BY 1, 2),
 lattice AS (SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM (SELECT unnest(range(0, (SELECT max("row") + 1 FROM fine))) AS r) a, (SELECT unnest(range(0, (SELECT max(col) + 1 FROM fine))) AS c) b)
 SELECT lattice."row", lattice.col, round(coalesce(l0.v, l1.v, l2.v, l3.v), 4) AS value FROM lattice {_LEVELS}""")
 def quickgrid_multilevel(spark, sf_dir):
-    return _rounded(grid.quickgrid(points(spark, sf_dir).where("z > 60000"), 0.5), places=4)
+    return _rounded(grid.quickgrid(points(spark, sf_dir), 0.5), places=4)
 
 
 @query("histcomp_clip", f"""WITH {RASTER}, s AS (SELECT quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM raster)
@@ -63,14 +63,15 @@ def norm255_cells(spark, sf_dir):
     return grid.norm255(raster(spark, sf_dir))
 
 
-@query("histeq_cells", f"""WITH {RASTER}, s AS (SELECT min(value) AS a, max(value) AS b, count(*) AS t FROM raster),
-h AS (SELECT least(floor((value - a) * 256 / (b - a)), 255) AS bin, count(*) AS n FROM raster, s GROUP BY 1),
-c AS (SELECT k.bin, coalesce((SELECT sum(n) FROM h WHERE h.bin <= k.bin), 0) / (SELECT t FROM s) AS c FROM (SELECT unnest(range(0, 256)) AS bin) k),
-p AS (SELECT "row", col, (value - a) * 256 / (b - a) - 0.5 AS place FROM raster, s)
-SELECT "row", col, round(lo.c * (1 - (place - floor(place))) + hi.c * (place - floor(place)), 6) AS value
-FROM p JOIN c lo ON lo.bin = greatest(least(floor(place), 255), 0) JOIN c hi ON hi.bin = greatest(least(floor(place) + 1, 255), 0)""")
+@query("histeq_cells", f"""WITH {RASTER}, s AS (SELECT min(value) AS a, max(value) AS b FROM raster),
+h AS (SELECT least(floor((value - a) * 32768 / (b - a)), 32767) AS bin, count(*) AS n FROM raster, s GROUP BY 1),
+k AS (SELECT bin, sum(coalesce(n, 0)) OVER (ORDER BY bin) AS c FROM (SELECT unnest(range(0, 32768)) AS bin) LEFT JOIN h USING (bin)),
+c AS (SELECT bin, 32768.0 * CAST(c - (SELECT min(c) FROM k) AS DOUBLE) / CAST((SELECT max(c) - min(c) FROM k) AS DOUBLE) AS c FROM k),
+p AS (SELECT "row", col, greatest(least((value - a) * 32768 / (b - a) - 0.5, 32767), 0) AS place FROM raster, s)
+SELECT "row", col, round(lo.c + (hi.c - lo.c) * (place - floor(place)), 4) AS value
+FROM p JOIN c lo ON lo.bin = floor(place) JOIN c hi ON hi.bin = least(floor(place) + 1, 32767)""")
 def histeq_cells(spark, sf_dir):
-    return _rounded(grid.equalise(raster(spark, sf_dir)))
+    return _rounded(grid.equalise(raster(spark, sf_dir)), places=4)
 
 
 @query("trim_raster", f"""WITH {RASTER}, m AS (SELECT "row", col, CASE WHEN "row" BETWEEN 2 AND 8 AND col BETWEEN 5 AND 40 THEN value END AS value FROM raster),
@@ -215,12 +216,12 @@ def box_mean3(spark, sf_dir):
     return _rounded(stencil.box_mean(raster(spark, sf_dir), 1), places=4)
 
 
-@query("gain_control_mean", f"""WITH {_NEAR} SELECT "row", col, round(vm / nullif(sm / n, 0), 6) AS value FROM n WHERE n = 9""")
+@query("gain_control_mean", f"""WITH {_NEAR} SELECT "row", col, round(coalesce(vm / nullif(sm / n, 0), vm), 6) AS value FROM n WHERE n = 9""")
 def gain_control_mean(spark, sf_dir):
     return _rounded(stencil.gain_control(raster(spark, sf_dir), 1))
 
 
-@query("gain_control_rms", f"""WITH {_NEAR} SELECT "row", col, round(vm / nullif(sqrt(ss / n), 0), 6) AS value FROM n WHERE n = 9""")
+@query("gain_control_rms", f"""WITH {_NEAR} SELECT "row", col, round(coalesce(vm / nullif(sqrt(ss / n), 0), vm), 6) AS value FROM n WHERE n = 9""")
 def gain_control_rms(spark, sf_dir):
     return _rounded(stencil.gain_control(raster(spark, sf_dir), 1, "rms"))
 
@@ -236,10 +237,48 @@ def aspect(spark, sf_dir):
     return _rounded(stencil.aspect(raster(spark, sf_dir)), places=4)
 
 
-@query("sun_shade", f"""WITH {_SOBEL}, k AS (SELECT cos(0.5) * tan(pi() / 2 - 0.8) AS ps, sin(0.5) * tan(pi() / 2 - 0.8) AS qs)
-SELECT "row", col, round(0.1 + 0.9 * greatest((1 + dzdx / 1000 * ps + dzdy / 1000 * qs) / (sqrt(1 + power(dzdx / 1000, 2) + power(dzdy / 1000, 2)) * sqrt(1 + ps * ps + qs * qs)), 0), 6) AS value FROM s, k""")
+@query("sun_shade", f"""WITH {_SOBEL}, k AS (SELECT -cos(0.5) * tan(0.8) AS p0, -sin(0.5) * tan(0.8) AS q0), u AS (SELECT p0, q0, p0 / (1 + sqrt(1 + p0 * p0 + q0 * q0)) AS p1, q0 / (1 + sqrt(1 + p0 * p0 + q0 * q0)) AS q1 FROM k),
+l AS (SELECT "row", col, (1 + p0 * dzdx / 1000 + q0 * dzdy / 1000) / (sqrt(1 + power(dzdx / 1000, 2) + power(dzdy / 1000, 2)) * sqrt(1 + p0 * p0 + q0 * q0)) AS cosi,
+(1 + p1 * dzdx / 1000 + q1 * dzdy / 1000) / (sqrt(1 + power(dzdx / 1000, 2) + power(dzdy / 1000, 2)) * sqrt(1 + p1 * p1 + q1 * q1)) AS coss FROM s, u)
+SELECT "row", col, round((0.3 + 0.7 * coss * coss) * cosi / cos(0.4), 6) AS value FROM l""")
 def sun_shade(spark, sf_dir):
-    return _rounded(stencil.shade(raster(spark, sf_dir), 1000, 0.5, 0.8, 0.1))
+    return _rounded(stencil.shade(raster(spark, sf_dir), 1000, elevation=0.8, azimuth=0.5, alpha=0.7))
+
+
+_MASKED = f"""{RASTER}, m AS (SELECT "row", col, CASE WHEN ("row" * 7 + col * 3) % 11 <> 0 THEN value END AS value FROM raster)"""
+
+
+def _masked(spark, sf_dir):
+    return raster(spark, sf_dir).withColumn("value", F.when((F.col("row") * 7 + F.col("col") * 3) % 11 != 0, F.col("value")))
+
+
+@query("box_median3", f"""WITH {_MASKED} SELECT a."row", a.col, round(median(b.value), 4) AS value FROM m a JOIN m b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1, 2""")
+def box_median3(spark, sf_dir):
+    return _rounded(stencil.moving_median(_masked(spark, sf_dir), stencil.offsets(3)), places=4)
+
+
+@query("disc_mean5", f"""WITH {_MASKED} SELECT a."row", a.col, round(CASE WHEN count(*) = count(b.value) THEN sum(b.value) / 79 END, 4) AS value FROM m a JOIN m b ON power(b."row" - a."row", 2) + power(b.col - a.col, 2) <= 25 AND b."row" - a."row" < 5 AND b.col - a.col < 5 GROUP BY 1, 2""")
+def disc_mean5(spark, sf_dir):
+    return _rounded(stencil.moving_sum(_masked(spark, sf_dir), stencil.disc_kernel(5)), places=4)
+
+
+@query("gaussian_smooth5", f"""WITH {RASTER}, w AS (SELECT i, j, exp(-(power(i, 2) + power(j, 2)) / 32.0) AS w FROM (SELECT unnest(range(-2, 2)) AS i) a, (SELECT unnest(range(-2, 2)) AS j) b)
+SELECT a."row", a.col, round(sum(b.value * w.w) / (SELECT sum(w) FROM w), 4) AS value FROM raster a, w JOIN raster b ON b."row" = a."row" + w.i AND b.col = a.col + w.j GROUP BY 1, 2""")
+def gaussian_smooth5(spark, sf_dir):
+    return _rounded(stencil.moving_sum(raster(spark, sf_dir), stencil.gaussian_kernel(5, 5, 4.0)), places=4)
+
+
+@query("gain_control_median", f"""WITH {RASTER}, l AS (SELECT "row", col, value - (SELECT min(value) FROM raster) AS value FROM raster), n AS (SELECT a."row", a.col, a.value AS v, count(*) AS n, median(b.value) AS m FROM l a JOIN l b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1, 2, 3)
+SELECT "row", col, round(coalesce(v / nullif(m, 0), v), 6) AS value FROM n WHERE n = 9""")
+def gain_control_median(spark, sf_dir):
+    return _rounded(stencil.gain_control(raster(spark, sf_dir), 1, "median"))
+
+
+@query("gradient_gaps", f"""WITH {_MASKED}, n AS (SELECT a."row", a.col, a.value AS v, w.value AS w, e.value AS e FROM m a LEFT JOIN m w ON w."row" = a."row" AND w.col = a.col - 1 LEFT JOIN m e ON e."row" = a."row" AND e.col = a.col + 1), x AS (SELECT min(col) AS c0, max(col) AS c1 FROM raster)
+SELECT "row", col, round(CASE WHEN col = c0 THEN e - v WHEN col = c1 THEN v - w ELSE (e - w) / 2 END, 4) AS dx FROM n, x WHERE v IS NOT NULL""")
+def gradient_gaps(spark, sf_dir):
+    """Derivatives of a raster with missing cells."""
+    return _rounded(stencil.derivatives(_masked(spark, sf_dir).where("value IS NOT NULL")), "dx", places=4).select("row", "col", "dx")
 
 
 @query("decimated_read", f"""WITH {RASTER} SELECT "row", col, round(value, 6) AS value FROM raster WHERE "row" % 2 = 0 AND col % 5 = 0""")

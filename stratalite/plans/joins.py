@@ -101,11 +101,11 @@ def carve_air(spark, sf_dir):
     return voxel.carve(voxels(spark, sf_dir), surface, 5000.0, 50000.0)
 
 
-@query("borehole_intervals", """WITH l AS (SELECT l_orderkey AS hole, l_linenumber * 4.0 - 4 AS a, l_linenumber * 4.0 - 4 + CAST(l_quantity AS DOUBLE) / 5 AS b, l_returnflag AS label FROM lineitem WHERE l_orderkey < 2000),
+@query("borehole_intervals", """WITH l AS (SELECT l_orderkey AS hole, l_linenumber * 4.0 - 4 AS a, l_linenumber * 4.0 - 4 + CAST(l_quantity AS DOUBLE) / 5 AS b, l_returnflag AS label FROM lineitem),
 k AS (SELECT hole, label, unnest(range(CAST(floor(a / 3) AS BIGINT), CAST(greatest(ceil(b / 3) - 1, floor(a / 3)) AS BIGINT) + 1)) AS layer FROM l)
 SELECT hole, CAST(layer AS INTEGER) AS layer, string_agg(DISTINCT label, '/' ORDER BY label) AS labels FROM k GROUP BY 1, 2""")
 def borehole_intervals(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    t = table(spark, sf_dir, "lineitem")
     top = F.col("l_linenumber") * 4.0 - 4
     logs = t.select(F.col("l_orderkey").alias("hole"), top.alias("depth_from"), (top + F.col("l_quantity").cast("double") / 5).alias("depth_to"), F.col("l_returnflag").alias("label"))
     return voxel.interval_labels(logs, 3.0)
@@ -121,17 +121,17 @@ def _places(spark, sf_dir):
     return a, b
 
 
-_WITHIN = f"""{_PLACES}, w AS (SELECT lid, rid, power(lx - rx, 2) + power(ly - ry, 2) AS d2 FROM a, b WHERE power(lx - rx, 2) + power(ly - ry, 2) <= 400)"""
+_APART = f"""{_PLACES}, w AS (SELECT lid, rid, power(lx - rx, 2) + power(ly - ry, 2) AS d2 FROM a, b)"""
 
 
-@query("nearest_point", f"""WITH {_WITHIN} SELECT lid, rid, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY d2, rid) AS rn FROM w) WHERE rn = 1""")
+@query("nearest_point", f"""WITH {_APART} SELECT lid, rid, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY d2, rid) AS rn FROM w) WHERE rn = 1""")
 def nearest_point(spark, sf_dir):
-    return _rounded(joining.nearest(*_places(spark, sf_dir), 20.0), "d2")
+    return _rounded(joining.nearest(*_places(spark, sf_dir), 2.0), "d2")
 
 
-@query("knn_points", f"""WITH {_WITHIN} SELECT lid, rid, round(d2, 6) AS d2, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY d2, rid) AS rn FROM w) WHERE rn <= 3""")
+@query("knn_points", f"""WITH {_APART} SELECT lid, rid, round(d2, 6) AS d2, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY d2, rid) AS rn FROM w) WHERE rn <= 3""")
 def knn_points(spark, sf_dir):
-    return _rounded(joining.knn(*_places(spark, sf_dir), 3, 20.0).select("lid", "rid", "d2", "rank"), "d2")
+    return _rounded(joining.knn(*_places(spark, sf_dir), 3, 4.0).select("lid", "rid", "d2", "rank"), "d2")
 
 
 @query("point_in_polygon", f"""WITH {_PLACES}, t(polygon, x1, y1, x2, y2, x3, y3) AS (VALUES (1, 10.05, 10.05, 60.05, 12.05, 30.05, 70.05), (2, 55.05, 50.05, 95.05, 60.05, 70.05, 95.05))
@@ -161,17 +161,17 @@ def band_nearest(spark, sf_dir):
     return joining.nearest_band(b, [500.0, 861.0, 2200.0])
 
 
-_SEGMENTS = """s AS (SELECT c_custkey AS id, (c_custkey * 7919 % 1000) / 10.0 AS x1, (c_custkey * 104729 % 1000) / 10.0 AS y1, (c_custkey * 7919 % 1000) / 10.0 + (c_custkey * 31 % 70) / 10.0 - 3.05 AS x2, (c_custkey * 104729 % 1000) / 10.0 + (c_custkey * 37 % 80) / 10.0 - 4.05 AS y2 FROM customer WHERE c_custkey <= 600)"""
+_SEGMENTS = """s AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 1000 AS DOUBLE) / 10 AS x1, CAST(c_custkey * 104729 % 1000 AS DOUBLE) / 10 AS y1, CAST(c_custkey * 7919 % 1000 AS DOUBLE) / 10 + (CAST(c_custkey * 31 % 70 AS DOUBLE) / 10 - CAST(3.05 AS DOUBLE)) AS x2, CAST(c_custkey * 104729 % 1000 AS DOUBLE) / 10 + (CAST(c_custkey * 37 % 80 AS DOUBLE) / 10 - CAST(4.05 AS DOUBLE)) AS y2 FROM customer)"""
 
 
 @query("segment_crossings", f"""WITH {_SEGMENTS}, p AS (SELECT a.id AS a, b.id AS b, a.x1, a.y1, a.x2 - a.x1 AS rx, a.y2 - a.y1 AS ry, b.x2 - b.x1 AS sx, b.y2 - b.y1 AS sy, b.x1 - a.x1 AS qx, b.y1 - a.y1 AS qy FROM s a JOIN s b ON a.id < b.id),
 t AS (SELECT *, (qx * sy - qy * sx) / nullif(rx * sy - ry * sx, 0) AS t, (qx * ry - qy * rx) / nullif(rx * sy - ry * sx, 0) AS u FROM p)
-SELECT a, b, round(x1 + t * rx, 4) AS x, round(y1 + t * ry, 4) AS y FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""")
+SELECT a, b, round(x1 + t * rx, 9) AS x, round(y1 + t * ry, 9) AS y FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""")
 def segment_crossings(spark, sf_dir):
     k = F.col("c_custkey")
-    s = table(spark, sf_dir, "customer").where(k <= 600).select(k.alias("id"), (((k * 7919) % 1000) / 10.0).alias("x1"), (((k * 104729) % 1000) / 10.0).alias("y1"), ((k * 31) % 70 / 10.0 - 3.05).alias("dx"), ((k * 37) % 80 / 10.0 - 4.05).alias("dy"))
+    s = table(spark, sf_dir, "customer").select(k.alias("id"), (((k * 7919) % 1000) / 10.0).alias("x1"), (((k * 104729) % 1000) / 10.0).alias("y1"), ((k * 31) % 70 / 10.0 - 3.05).alias("dx"), ((k * 37) % 80 / 10.0 - 4.05).alias("dy"))
     s = s.select("id", "x1", "y1", (F.col("x1") + F.col("dx")).alias("x2"), (F.col("y1") + F.col("dy")).alias("y2"))
-    return _rounded(joining.segment_crossings(s, 10.0), "x", "y", places=4)
+    return _rounded(joining.segment_crossings(s, 5.0), "x", "y", places=9)
 
 
 @query("cell_residual", f"""WITH {CELLS} SELECT a."row", a.col, round(a.price - b.price, 4) AS residual FROM cells a JOIN cells b ON a."row" = b."row" AND a.col = b.col AND a.scene = 1995 AND b.scene = 1999""")

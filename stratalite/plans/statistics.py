@@ -87,8 +87,8 @@ def _zoom(k: int) -> str:
 z{k + 1} AS (SELECT a + (b - a) / 255 * bin AS a, a + (b - a) / 255 * (bin + 1) AS b FROM h{k})"""
 
 
-@query("histogram_mode", f"""WITH v AS (SELECT CAST(value AS DOUBLE) AS v FROM events), z0 AS (SELECT min(v) AS a, max(v) AS b FROM v), {_zoom(0)}, {_zoom(1)}, {_zoom(2)}
-SELECT round((a + b) / 2, 5) AS mode FROM z3""")
+@query("histogram_mode", f"""WITH v AS (SELECT CAST(value AS DOUBLE) AS v FROM events), z0 AS (SELECT min(v) AS a, max(v) AS b FROM v), {_zoom(0)}, {_zoom(1)}
+SELECT round((a + b) / 2, 5) AS mode FROM z2""")
 def histogram_mode(spark, sf_dir):
     return _rounded(stats.modal_value(table(spark, sf_dir, "events"), "value"), "mode", places=5)
 

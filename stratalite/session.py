@@ -36,3 +36,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def settled(df):
+    """``df`` as a written checkpoint, where its lineage ends: in ``spark.checkpoint.dir``, or in local tests without one in a folder made here."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratalite-"))
+    return df.checkpoint()
