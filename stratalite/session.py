@@ -38,11 +38,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; in local tests without one, a folder made here."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="stratalite-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def settled(df):
-    """``df`` as a written checkpoint, where its lineage ends: in ``spark.checkpoint.dir``, or in local tests without one in a folder made here."""
+    """``df`` as a written checkpoint in the shared folder, where its lineage ends."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratalite-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -1 +1 @@
-"""sources of the stratalite library."""
+"""Readers and writers of the domain's text formats, as DataFrames."""
