@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. A null text counts as empty, a null source or
+language as "". Extra columns are passed on. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -16,27 +17,33 @@ from stratalite.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and so do lines that too many documents of a source share."""
+    """Documents that the quality rules reject go (null and empty texts among them), and so do lines that too many documents of a source share.
+
+    Rows that repeat an id, source and text share a verdict.
+    """
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the first document stays."""
+    """Of each class of near duplicates the document with the least id stays, once if its row repeats; a null id comes last.
+
+    Texts without words have no near duplicates; rows that share an id and such a text stay once.
+    """
     return ngram_join.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind."""
+    """Personal data in texts is replaced by its kind; every row stays, null texts as they are."""
     return pii.mask_personal_data(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Seven tenths of all tokens stay, by the target weights, each document once at most."""
+    """Seven tenths of all tokens stay, by the target weights, each row once at most; rows with one id are chosen one by one, empty texts never."""
     return mixing.keep_chosen(docs, total_share=0.7, epochs=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of the text that decoding them gives."""
+    """doc_id, n_tokens, ids and the digest of the text that decoding them gives, for every row; an empty text has no ids."""
     found = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
