@@ -1,4 +1,4 @@
 """All queries of the library over the driver tables."""
 
-from . import catalogs, formats, grids, joins, models, scalars, statistics  # noqa: F401  (they register their queries)
+from . import catalogs, formats, grids, joins, models, scalars, statistics, streams  # noqa: F401  (they register their queries)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -1 +1 @@
-"""streaming of the stratalite library."""
+"""Structured streams: tables that grow by files, statistics that run along, windows of time."""
