@@ -104,13 +104,12 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return written(map_batches(rows, make, schema).withColumn("row", F.monotonically_increasing_id()), "quality-measures")
 
 
-def judge(measured: DataFrame, min_docs: int, share: float, min_words: int, min_left: float) -> DataFrame:
+def judge(measured: DataFrame, min_docs: int, min_words: int, min_left: float) -> DataFrame:
     """Add base_failed, ``n_left`` (words in lines that stay), ``removed_lines`` (hashes of the others, null if none) and kept to the rows of :func:`measure`.
 
     A line is frequent if more than ``min_docs`` distinct documents of the host have
-    it, however large the host is: ``share`` is taken but is no condition, as it would
-    let the lines of large hosts pass. A document is rejected if it fails the
-    base rules, or keeps fewer than ``min_words`` words or less than ``min_left`` of them.
+    it, however large the host is. A document is rejected if it fails the base
+    rules, or keeps fewer than ``min_words`` words or less than ``min_left`` of them.
     """
     lines = measured.select("row", "doc_id", "host", "same", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select(
         "row", "doc_id", "host", "same", F.col("l.line").alias("line"), F.col("l.line_words").alias("words")
@@ -128,8 +127,8 @@ def judge(measured: DataFrame, min_docs: int, share: float, min_words: int, min_
     )
 
 
-#: A line that over 20 documents of a host share is boilerplate (the share of the host doesn't count); a document needs 8 words, and three tenths of its own, without it.
-PRODUCTION = {"min_docs": 20, "share": 0.1, "min_words": 8, "min_left": 0.3}
+#: A line that over 20 documents of a host share is boilerplate, whatever share of the host that is; a document needs 8 words, and three tenths of its own, without it.
+PRODUCTION = {"min_docs": 20, "min_words": 8, "min_left": 0.3}
 
 
 def quality(docs: DataFrame, host: str = "source", **limits) -> DataFrame:

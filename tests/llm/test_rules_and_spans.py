@@ -32,13 +32,12 @@ def test_op3_base(spark, sf, texts):
     assert got == {k: base_rules(t) for k, t in texts.items()}
 
 
-def line_rules(rows, min_docs, share, min_words, min_left):
+def line_rules(rows, min_docs, min_words, min_left):
     """kept by the method, over (doc_id, text, host)."""
     normal = lambda line: " ".join(re.sub("[1-9]", "0", "".join(c.lower() if c.isascii() else c for c in line)).split(" "))
     keys = lambda text: [" ".join(WORD.findall(normal(x))) for x in (text or "").split("\n") if WORD.search(x)]
-    having, hosts = defaultdict(dict), defaultdict(set)
+    having = defaultdict(dict)
     for k, text, host in rows:
-        hosts[host].add(text or "")
         for line in set(keys(text)):
             having[host, line].setdefault(text or "", []).append(k)
     out = {}
@@ -46,8 +45,7 @@ def line_rules(rows, min_docs, share, min_words, min_left):
         left = 0
         for line in keys(text):
             docs = having[host, line]
-            frequent = len(docs) > min_docs and len(docs) > share * len(hosts[host])
-            if not frequent or k == min(x for ids in docs.values() for x in ids):
+            if len(docs) <= min_docs or k == min(x for ids in docs.values() for x in ids):
                 left += len(line.split(" "))
         n, *_, failed = base_rules(text)
         out[k] = not failed and left >= min_words and left >= min_left * n
@@ -57,8 +55,8 @@ def line_rules(rows, min_docs, share, min_words, min_left):
 def test_op3_lines(spark):
     own = [" ".join(f"w{i}x{chr(97 + j % 26)}{j}" for j in range(25)) for i in range(12)]
     rows = [(i, f"BOILER  plate 12 of the Site {i % 10} all rights reserved by us\n{own[i] if i % 3 else own[i][:60]}\n{'menu home about us news contact help' if i % 2 else ''}", "en", "h" if i < 9 else "g") for i in range(12)]
-    got = {r.doc_id: r.kept for r in quality_rules.quality(documents(spark, rows), min_docs=3, share=0.3, min_words=12, min_left=0.5).collect()}
-    want = line_rules([(k, t, h) for k, t, _, h in rows], 3, 0.3, 12, 0.5)
+    got = {r.doc_id: r.kept for r in quality_rules.quality(documents(spark, rows), min_docs=3, min_words=12, min_left=0.5).collect()}
+    want = line_rules([(k, t, h) for k, t, _, h in rows], 3, 12, 0.5)
     assert got == want and len(set(want.values())) == 2
 
 
@@ -78,7 +76,7 @@ def test_op3_lines_are_removed(spark):
     own = [" ".join(chr(97 + i) * 3 + chr(97 + j) for j in range(25)) for i in range(10)]
     rows = [(i, f"{shared.replace('12', str(30 + i))}\n{own[i]}\n\n{shared}\n", "en", "h") for i in range(8)]
     rows += [(3, f"{own[8]} \u00e9\n{shared}", "en", "h"), (3, own[9], "en", "h"), (20, f"{shared}\n{own[0]}", "en", "g"), (21, "too short\n" + shared, "en", "h")]
-    got = quality_rules.keep_good(documents(spark, rows), min_docs=3, share=0.1, min_words=8, min_left=0.3)
+    got = quality_rules.keep_good(documents(spark, rows), min_docs=3, min_words=8, min_left=0.3)
     want = [(0, rows[0][1], "h")] + [(i, f"{own[i]}\n\n", "h") for i in range(1, 8)] + [(3, own[8] + " \u00e9", "h"), (3, own[9], "h"), (20, rows[10][1], "g")]
     assert sorted((r.doc_id, r.text, r.source) for r in got.collect()) == sorted(want)
     assert got.where("n_chars <> length(text)").count() == 0
