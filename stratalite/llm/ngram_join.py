@@ -274,17 +274,21 @@ def dealt(groups: DataFrame, similarity: float) -> DataFrame:
 
 
 def groups_of(members: DataFrame, banded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The groups to verify (group, row, n): whole components, and buckets of those that are large and where buckets are less work."""
-    large = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)) > 1
-    per = members.groupBy("component").agg(large.alias("large"), F.count(F.lit(1)).cast("double").alias("size"))
-    per = written(per.where("large"), "gram-large")
+    """The groups to verify (group, row, n): whole components, and buckets of those that are large and where buckets are less work.
+
+    Less work is fewer pairs to compare and no more sets to send: a whole component
+    sends each row to as many tasks as it has blocks, buckets to as many as its row is in.
+    """
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("double")
+    per = members.groupBy("component").agg(blocks.alias("blocks"), F.count(F.lit(1)).cast("double").alias("size"))
+    per = written(per.where("blocks > 1"), "gram-large")
     rows = members.join(per.select("component"), "component").select("row", "component", "n")
     inside = written(banded.join(rows, "row"), "gram-banded")
     sets = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("least"), F.max("row").alias("most"), F.bit_xor(F.xxhash64("row")).alias("all"))
     buckets = sets.where("rows > 1").groupBy("component", "rows", "least", "most", "all").agg(F.min("bucket").alias("bucket"))
     buckets = written(buckets.select("component", "bucket", F.col("rows").cast("double").alias("rows")), "gram-buckets")
-    work = buckets.groupBy("component").agg(F.sum(F.col("rows") * F.col("rows")).alias("work"))
-    split = written(per.join(work, "component").where("work < size * size").select("component"), "gram-split")
+    work = buckets.groupBy("component").agg(F.sum(F.col("rows") * F.col("rows")).alias("work"), F.sum("rows").alias("sent"))
+    split = written(per.join(work, "component").where("work < size * size AND sent <= size * blocks").select("component"), "gram-split")
     by_bucket = inside.join(split, "component").join(buckets.select("bucket"), "bucket").select(F.col("bucket").alias("group"), "row", "n")
     whole = members.join(split, "component", "left_anti").select(F.col("component").alias("group"), "row", "n")
     return whole, by_bucket
