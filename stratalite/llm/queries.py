@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression_quality, imatch, mixing, ngram_join, pii, quality_rules, secret_scan, token_counts, warc
+from . import bpe, collocations, compression_quality, fill_in_middle, imatch, mixing, ngram_join, pii, quality_rules, secret_scan, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_warc_archive, op3_line_frequency, op4_weak_supervision_pii, op5_ngram_join, op6_token_counts, op7_compression_quality, op8_imatch, op9_source_mix, op10_secret_scan)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by their cohesion."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op2_warc_archive": warc.ORACLE}
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at lines into prefix, middle and suffix, and restored."""
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_warc_archive, op3_line_frequency, op4_weak_supervision_pii, op5_ngram_join, op6_token_counts, op7_compression_quality, op8_imatch, op9_source_mix, op10_secret_scan, op11_collocations, op13_fill_in_middle)}
+
+ORACLE_SQL: dict[str, str] = {"op2_warc_archive": warc.ORACLE, "op11_collocations": collocations.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}
