@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, compression_quality, fill_in_middle, imatch, mixing, ngram_join, pii, quality_rules, secret_scan, token_counts, warc
+from . import bpe, collocations, compression_quality, fill_in_middle, imatch, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +68,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that documents with smaller ids have, taken out of every text."""
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut at lines into prefix, middle and suffix, and restored."""
     return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_warc_archive, op3_line_frequency, op4_weak_supervision_pii, op5_ngram_join, op6_token_counts, op7_compression_quality, op8_imatch, op9_source_mix, op10_secret_scan, op11_collocations, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_warc_archive, op3_line_frequency, op4_weak_supervision_pii, op5_ngram_join, op6_token_counts, op7_compression_quality, op8_imatch, op9_source_mix, op10_secret_scan, op11_collocations, op12_suffix_dedup, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc_archive": warc.ORACLE, "op11_collocations": collocations.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}
