@@ -8,13 +8,16 @@
    linked with the bucket's first row; the connected components of these links
    hold every pair that shares a bucket.
 4. A component that fits a block is verified whole: its full n-gram sets are
-   intersected by counting shared n-grams. A larger one, which unrelated buckets may
-   have chained, is verified bucket by bucket where that is less work: buckets of the
-   same rows once, and each pair in the least bucket it shares. Groups that are
-   still larger than a block are dealt over blocks of rows of like set sizes; only
-   blocks whose sizes allow the similarity meet, each pair of blocks in a task, to
-   which hashed n-grams go, not texts. Only each row's number of partners and a
-   spanning tree leave a task. So no pair is lost and none is counted twice.
+   intersected by counting shared n-grams. In a larger one of near copies each row is
+   sent as its difference from the component's first row, which tells intersections as
+   exactly: |A and B| = |R| - |R less A| - |R less B| + what both lack + what both add.
+   One that unrelated buckets have chained has no such row; it is verified bucket by
+   bucket where that is less work: buckets of the same rows once, and each pair in the
+   least bucket it shares. Groups that are still larger than a block are dealt over
+   blocks of rows of like set sizes; only blocks whose sizes allow the similarity meet,
+   each pair of blocks in a task, to which hashed n-grams go, not texts. Only each row's
+   number of partners and a spanning tree leave a task. So no pair is lost and none is
+   counted twice.
 5. The components of the verified links are the near-duplicate groups.
 """
 
@@ -181,12 +184,32 @@ def shared_counts(sets: list):
     return out
 
 
-def similar(sets: list, side: list[int] | None, similarity: float):
-    """The 0/1 matrix of pairs that are similar; with ``side``, only of pairs on different sides."""
+#: What turns an n-gram that a set lacks into an element of its difference from another set.
+LACKED = 0xA24BAED4963EE407
+
+
+def difference(gram, base):
+    """The difference of one sorted set from another, with what it lacks marked, and how many those are."""
+    import numpy as np
+
+    lacked = np.setdiff1d(base, gram, assume_unique=True)
+    added = np.setdiff1d(gram, base, assume_unique=True)
+    return np.sort(np.concatenate((added, lacked ^ np.uint64(LACKED)))), len(lacked)
+
+
+def similar(sets: list, side: list[int] | None, similarity: float, sizes=None, lacked=None, base: int = 0):
+    """The 0/1 matrix of pairs that are similar; with ``side``, only of pairs on different sides.
+
+    Differences from a base of ``base`` n-grams come with the sizes of their sets and
+    how many n-grams of the base each lacks.
+    """
     import numpy as np
 
-    size = np.array([len(s) for s in sets], "float64")
+    size = np.array([len(s) for s in sets] if sizes is None else sizes, "float64")
     shared = shared_counts(sets).astype("float64")
+    if base:
+        lacked = np.asarray(lacked, "float64")
+        shared += base - lacked[:, None] - lacked[None, :]
     near = shared * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-6
     np.fill_diagonal(near, False)
     if side is not None:
@@ -210,7 +233,7 @@ def least_reached(near):
 
 
 def verify_block(rows: list[tuple], across: bool, similarity: float) -> Iterator[tuple[int, int, int]]:
-    """Of the rows of a task (group, row, block, copies, sorted n-grams, bands): row, partners found, least row reached.
+    """Of the rows of a task (group, row, block, copies, sorted n-grams, bands, size of the set, base n-grams lacked, size of the base): row, partners found, least row reached.
 
     With ``across``, pairs inside one block are another task's, even if the other
     block is empty. Rows with bands are a bucket's (``group``): a pair counts only in
@@ -219,13 +242,14 @@ def verify_block(rows: list[tuple], across: bool, similarity: float) -> Iterator
     import numpy as np
 
     by: dict[int, dict[int, tuple]] = {}
-    for group, row, block, copies, gram, bands in rows:
-        by.setdefault(group, {})[row] = (block, copies, gram, bands)  # a repeated row of the table comes once
+    for group, row, *rest in rows:
+        by.setdefault(group, {})[row] = tuple(rest)  # a repeated row of the table comes once
     for group, members in by.items():
         keys = sorted(members)
         if len(keys) < 2:
             continue
-        near = similar([members[k][2] for k in keys], [members[k][0] for k in keys] if across else None, similarity)
+        block, _, sets, _, sizes, lacked, base = zip(*(members[k] for k in keys), strict=True)
+        near = similar(list(sets), list(block) if across else None, similarity, sizes, lacked, base[0])
         if members[keys[0]][3] is not None:
             bands = np.array([members[k][3] for k in keys], "int64")
             i, j = np.nonzero(np.triu(near, 1))
@@ -240,15 +264,16 @@ def verify_block(rows: list[tuple], across: bool, similarity: float) -> Iterator
 
 
 def dealt(groups: DataFrame, similarity: float) -> DataFrame:
-    """The rows of groups (group, row, n) by task: key, group, row, block, across.
+    """The rows of groups (group, row, n, and weight, the n-grams to send, by default n) by task: key, group, row, block, across.
 
     Groups of one block share tasks, whose keys are packs. The rows of a larger group
     are dealt over blocks within classes of set sizes, a class being a factor of
     1 / similarity wide: similar sets are in the same or in neighbouring classes, and
     only blocks of such classes meet.
     """
-    size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int")
-    per = written(groups.groupBy("group").agg(size.alias("blocks"), F.sum("n").alias("grams")), "gram-groups")
+    groups = groups if "weight" in groups.columns else groups.withColumn("weight", F.col("n"))
+    size = _blocks("weight").cast("int")
+    per = written(groups.groupBy("group").agg(size.alias("blocks"), F.sum("weight").alias("grams")), "gram-groups")
     packs = int((per.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0) // BLOCK_GRAMS) + 1
     small = groups.join(per.where("blocks = 1").select("group"), "group")
     pack = F.concat_ws(":", F.lit("pack"), F.pmod(F.xxhash64("group"), F.lit(packs)))
@@ -273,25 +298,48 @@ def dealt(groups: DataFrame, similarity: float) -> DataFrame:
     return packed.unionByName(spread)
 
 
-def groups_of(members: DataFrame, banded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The groups to verify (group, row, n): whole components, and buckets of those that are large and where buckets are less work.
+def _blocks(weight: str):
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(weight) / BLOCK_GRAMS))
+
+
+def differences(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of components larger than a block: (component, size) of all, and a written table of the rows of those in which differences from the first row are less than the sets."""
+    sizes = sets.groupBy("component").agg(_blocks("n").alias("blocks"), F.count(F.lit(1)).cast("double").alias("size"), F.min("row").alias("first"), F.sum("n").alias("grams"))
+    large = written(sizes.where("blocks > 1"), "gram-large")
+    bases = sets.join(large.select(F.col("first").alias("row")), "row").select("component", F.col("gram").alias("base"))
+    met = sets.join(bases, "component").select("row", "component", "n", "gram", "base")
+
+    def make():
+        import numpy as np
+
+        def batch(rows, components_, sizes_, grams_, bases_):
+            for row, component, n, gram, base in zip(rows, components_, sizes_, grams_, bases_, strict=True):
+                other = np.frombuffer(base, "uint64")
+                apart, lacked = difference(np.frombuffer(gram, "uint64"), other)
+                yield row, component, n, len(apart), lacked, len(other), apart.tobytes()
+
+        return batch
+
+    schema = "row long, component long, n long, weight long, lacked long, base long, gram binary"
+    apart = written(map_batches(met, make, schema, 64), "gram-differences")
+    less = apart.groupBy("component").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).where("2 * weight < n").select("component")
+    return large, apart.join(less, "component", "left_semi")
+
+
+def buckets_of(large: DataFrame, sets: DataFrame, banded: DataFrame) -> DataFrame:
+    """The rows of chained components (component, size) in buckets (group, row, n, weight, component), of those in which buckets are less work.
 
     Less work is fewer pairs to compare and no more sets to send: a whole component
     sends each row to as many tasks as it has blocks, buckets to as many as its row is in.
     """
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("double")
-    per = members.groupBy("component").agg(blocks.alias("blocks"), F.count(F.lit(1)).cast("double").alias("size"))
-    per = written(per.where("blocks > 1"), "gram-large")
-    rows = members.join(per.select("component"), "component").select("row", "component", "n")
+    rows = sets.join(large.select("component"), "component").select("row", "component", "n")
     inside = written(banded.join(rows, "row"), "gram-banded")
-    sets = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("least"), F.max("row").alias("most"), F.bit_xor(F.xxhash64("row")).alias("all"))
-    buckets = sets.where("rows > 1").groupBy("component", "rows", "least", "most", "all").agg(F.min("bucket").alias("bucket"))
+    found = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("least"), F.max("row").alias("most"), F.bit_xor(F.xxhash64("row")).alias("all"))
+    buckets = found.where("rows > 1").groupBy("component", "rows", "least", "most", "all").agg(F.min("bucket").alias("bucket"))
     buckets = written(buckets.select("component", "bucket", F.col("rows").cast("double").alias("rows")), "gram-buckets")
     work = buckets.groupBy("component").agg(F.sum(F.col("rows") * F.col("rows")).alias("work"), F.sum("rows").alias("sent"))
-    split = written(per.join(work, "component").where("work < size * size AND sent <= size * blocks").select("component"), "gram-split")
-    by_bucket = inside.join(split, "component").join(buckets.select("bucket"), "bucket").select(F.col("bucket").alias("group"), "row", "n")
-    whole = members.join(split, "component", "left_anti").select(F.col("component").alias("group"), "row", "n")
-    return whole, by_bucket
+    split = large.join(work, "component").where("work < size * size AND sent <= size * blocks").select("component")
+    return written(inside.join(split, "component").join(buckets.select("bucket"), "bucket").select(F.col("bucket").alias("group"), "row", "n", F.col("n").alias("weight"), "component"), "gram-by-bucket")
 
 
 def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -317,21 +365,30 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     met = banded.join(buckets, "bucket").where("row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b"))
     candidates = components(met).select(F.col("node").alias("row"), "component")
 
-    members = written(reps.select("row", "doc_id", "text_hash", "copies", "n").join(candidates, "row"), "gram-members")
-    whole, by_bucket = groups_of(members, banded)
+    members = written(reps.select("row", "doc_id", "text_hash", "copies", "n", "band").join(candidates, "row"), "gram-members")
     ship(docs.sparkSession)
-    tasks = dealt(whole, similarity).withColumn("bucket", F.lit(False)).unionByName(dealt(by_bucket, similarity).withColumn("bucket", F.lit(True)))
     texts = keyed(docs).select("_id", "_text_hash", F.col("_text").alias("text"))
-    full = members.join(texts, (members["text_hash"] == texts["_text_hash"]) & members["doc_id"].eqNullSafe(texts["_id"])).select("row", "text")
-    sets = map_batches(full, lambda: lambda rows_, texts_: ((r, grams(t, words).tobytes()) for r, t in zip(rows_, texts_, strict=True)), "row long, gram binary")
-    sets = written(sets.dropDuplicates(["row"]).join(reps.select("row", "copies", "band"), "row"), "gram-sets")
-    sent = tasks.join(sets, "row").select("key", "bucket", "group", "row", "block", "across", "copies", "gram", F.when(F.col("bucket"), F.col("band")).alias("bands"))
+    full = texts.join(members.select("row", "doc_id", "text_hash"), (F.col("text_hash") == texts["_text_hash"]) & F.col("doc_id").eqNullSafe(texts["_id"])).select("row", "text")
+    grams_of = map_batches(full, lambda: lambda rows_, texts_: ((r, grams(t, words).tobytes()) for r, t in zip(rows_, texts_, strict=True)), "row long, gram binary")
+    sets = written(grams_of.dropDuplicates(["row"]).join(members.select("row", "component", "n"), "row"), "gram-sets")
+
+    large, apart = differences(sets)
+    near = apart.select("component").distinct()
+    chained = buckets_of(large.join(near, "component", "left_anti"), sets, banded)
+    rest = sets.join(near, "component", "left_anti")
+    whole = rest.join(chained.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("group"), "row", "n", F.col("n").alias("weight"))
+    whole = whole.unionByName(apart.select(F.col("component").alias("group"), "row", "n", "weight"))
+    tasks = dealt(whole, similarity).withColumn("bucket", F.lit(False)).unionByName(dealt(chained.drop("component"), similarity).withColumn("bucket", F.lit(True)))
+    payload = rest.select("row", "n", F.lit(0).cast("long").alias("lacked"), F.lit(0).cast("long").alias("base"), "gram").unionByName(apart.select("row", "n", "lacked", "base", "gram"))
+    payload = payload.join(members.select("row", "copies", "band"), "row")
+    fields = ["group", "row", "block", "copies", "gram", "bands", "n", "lacked", "base"]
+    sent = tasks.join(payload, "row").withColumn("bands", F.when(F.col("bucket"), F.col("band"))).select("key", "bucket", "across", *fields)
 
     def verify(batch):
         import numpy as np
         import pandas as pd
 
-        rows_ = [(g, r, b, c, np.frombuffer(x, "uint64"), None if v is None else list(v)) for g, r, b, c, x, v in batch[["group", "row", "block", "copies", "gram", "bands"]].itertuples(index=False)]
+        rows_ = [(g, r, b, c, np.frombuffer(x, "uint64"), None if v is None else list(v), *rest) for g, r, b, c, x, v, *rest in batch[fields].itertuples(index=False)]
         return pd.DataFrame(verify_block(rows_, bool(batch["across"].iloc[0]), similarity), columns=["row", "partners", "reached"])
 
     found = written(sent.groupBy("key", "bucket").applyInPandas(verify, "row long, partners long, reached long"), "gram-links")

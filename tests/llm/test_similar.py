@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+
+import numpy as np
 import re
 from collections import Counter
 from itertools import combinations
@@ -226,3 +228,37 @@ def test_op8_odd_rows(odd, none):
 def test_op8_plan_is_native(odd):
     plan = imatch.fingerprints(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_op5_differences(spark, monkeypatch):
+    """Large components of near copies go as differences from one row: brute-force links, and far less sent than whole sets."""
+    draw = random.Random(3)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 15)
+    texts, key = {}, 0
+    for group in range(3):
+        words = [f"g{group}w{i}" for i in range(300)]
+        for _ in range(70):
+            own = list(words)
+            for _ in range(draw.choice([0, 1, 1, 2, 3, 7])):
+                own[draw.randrange(300)] = f"x{draw.randrange(40)}"
+            texts[key] = " ".join(own[: draw.choice([300, 300, 290, 250])])
+            key += 1
+    found = []
+    whole = ngram_join.differences
+    monkeypatch.setattr(ngram_join, "differences", lambda sets: (found.append(whole(sets)), found[-1])[1])
+    assert joined(documents(spark, [(k, t, "en", "a") for k, t in texts.items()])) == brute(texts)
+    r = found[0][1].groupBy().sum("weight", "n").first()
+    assert found[0][1].select("component").distinct().count() == 3
+    assert 3 * r[0] < r[1], r
+
+
+def test_op5_difference_tells_intersections():
+    draw = random.Random(4)
+    for _ in range(50):
+        base, *sets = [np.unique(np.array([draw.randrange(60) for _ in range(draw.randrange(40))], "uint64")) for _ in range(5)]
+        apart, lacked = zip(*(ngram_join.difference(s, base) for s in sets), strict=True)
+        near = ngram_join.similar(list(apart), None, 0.3, [len(s) for s in sets], lacked, len(base)) if len(base) else ngram_join.similar(sets, None, 0.3)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if i != j and len(a) + len(b):
+                    assert near[i, j] == (len(np.intersect1d(a, b)) >= 0.3 * len(np.union1d(a, b)) - 1e-9), (a, b, base)
