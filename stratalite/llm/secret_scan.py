@@ -17,6 +17,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -40,15 +41,23 @@ PLACEHOLDER = re.compile(r"(?ai)example|sample|dummy|changeme|placeholder|your[_
 
 _SIGNS = re.compile(r"[:=]")
 _CONSTANT = re.compile(r"[A-Z]+(?:_[A-Z]+)+")  # as an argument, the name of a setting
-_LEXER = re.compile(
-    r"""(?P<blank>[ \t\r]+|//.*|&'[a-z_]+\b(?!')|(?<![\w])\#(?!\w{3,8}\b).*)
-    |(?P<string>"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|`[^`]*+`)
-    |(?P<sign>=>|:=|:(?!:)|=(?!=))
-    |(?P<name>[^\W\d][\w.-]*+)
-    |(?P<bare>[\w+/=.~-]++)
-    |(?P<other>.)""",
-    re.VERBOSE,
-)
+_QUOTED = {'"': r'"(?:[^"\\]|\\.)*+"', "'": r"'(?:[^'\\]|\\.)*+'", "`": r"`[^`]*+`"}
+
+
+def _lexer(open_: str) -> re.Pattern:
+    """Of a line, or the rest of one in which some kinds of quotes aren't closed."""
+    return re.compile(
+        rf"""(?P<blank>[ \t\r]+|//.*|&'[a-z_]+\b(?!')|(?<![\w])\#(?!\w{{3,8}}\b).*)
+        |(?P<string>{"|".join(p for q, p in _QUOTED.items() if q not in open_)})
+        |(?P<sign>=>|:=|:(?!:)|=(?!=))
+        |(?P<name>[^\W\d][\w.-]*+)
+        |(?P<bare>(?!\+(?:[\s"'`]|$))[\w+/=.~-]++)
+        |(?P<other>.)""",
+        re.VERBOSE,
+    )
+
+
+_LEXERS = {frozenset(q): _lexer(q) for q in ("", '"', "'", "\"'")}
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -91,7 +100,49 @@ def pairs(text: str) -> list[tuple[float, list[tuple[str, int, int]]]]:
     weight: dict[int, float] = {}
     for g in given:  # outer ones come first
         weight[id(g)] = max(name_score(g.target), weight[id(g.outer)] if g.outer else 0)
-    return [(weight[id(g)], group) for g, groups in zip(given, _resolved(given), strict=True) if weight[id(g)] for group in groups]
+    number = {id(g): i for i, g in enumerate(given)}
+    own, stands_for = _resolved(given, number)
+    out = []
+    seen, seen_inside = [False] * len(given), [False] * len(given)
+    for first in sorted(range(len(given)), key=lambda i: -weight[id(given[i])]):  # what is reached, is reached by its greatest weight
+        w = weight[id(given[first])]
+        todo = [(first, False)] if w else []
+        while todo:
+            i, inside = todo.pop()
+            if inside and not seen_inside[i]:
+                seen_inside[i] = True
+                todo += [(number[id(g)], True) for g in given[i].inside]
+            if not seen[i]:
+                seen[i] = True
+                out += [(w, _terms(group)) for group in own[i]]
+                todo += [(j, True) for j in stands_for[i]]
+    return out
+
+
+def _terms(group: list) -> list[tuple[str, int, int]]:
+    """The literals of a sum (value, start, end), those of its parts in their places, each once."""
+    terms, todo, met = {}, list(reversed(group)), set()
+    while todo:
+        t = todo.pop()
+        if isinstance(t, list):
+            if id(t) not in met:
+                met.add(id(t))
+                todo += reversed(t)
+        else:
+            terms[t[1], t[2]] = t[0]
+    return [(v, a, e) for (a, e), v in terms.items()]
+
+
+def _tokens(text: str, start: int, stop: int) -> Iterator[re.Match]:
+    """The tokens of a line. A quote that nothing closes leaves all later ones of its kind unclosed, so they aren't tried again."""
+    open_, more = frozenset(), True
+    while more:
+        more = False
+        for m in _LEXERS[open_].finditer(text, start, stop):
+            yield m
+            if m.lastgroup == "other" and m.group() in "\"'" and m.group() not in open_:
+                open_, start, more = open_ | {m.group()}, m.end(), True
+                break
 
 
 def _read(text: str, start: int, out: list[_Given]) -> int:
@@ -117,7 +168,7 @@ def _read(text: str, start: int, out: list[_Given]) -> int:
     while True:
         stop = text.find("\n", start)
         stop = len(text) if stop < 0 else stop
-        tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEXER.finditer(text, start, stop) if m.lastgroup != "blank"]
+        tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _tokens(text, start, stop) if m.lastgroup != "blank"]
         indent = tokens[0][2] - start if tokens else 0
         carried = stack[-1] if stack and stack[-1].waits else None
         if not tokens:  # ends what waits for a value, and the paragraph
@@ -206,10 +257,13 @@ def _read(text: str, start: int, out: list[_Given]) -> int:
         start = stop + 1
 
 
-def _resolved(given: list[_Given]) -> list[list[list[tuple[str, int, int]]]]:
-    """The groups of literals of each, with names as the last assignment before (or the first behind) gives them."""
+def _resolved(given: list[_Given], number: dict[int, int]) -> tuple[list[list[list]], list[list[int]]]:
+    """Of each assignment its own groups, and those it stands for with all they hold, as names were last assigned before (or first behind).
+
+    A group is a list of literals (value, start, end) and of groups that names in a sum
+    stand for. A name for one group is a part of the sum, one for several is all of them.
+    """
     places: dict[str, list[int]] = {}
-    number = {id(g): i for i, g in enumerate(given)}
     for i, g in enumerate(given):
         if g.groups or g.inside:
             places.setdefault(g.target, []).append(i)
@@ -222,51 +276,70 @@ def _resolved(given: list[_Given]) -> list[list[list[tuple[str, int, int]]]]:
         j = at[k - 1] if k else next((x for x in at[:2] if x != i), None)
         return j
 
-    def whole(i: int) -> list:
-        """All groups given to a name, those of assignments inside too."""
-        if not given[i].inside:
-            return out[i] or []
-        found, todo = {}, [i]
-        while todo:
-            k = todo.pop()
-            found |= {tuple(x): x for x in out[k] or []}
-            todo += [number[id(g)] for g in given[k].inside]
-        return list(found.values())
+    own: list[list | None] = [None] * len(given)
+    stands_for: list[list[int]] = [[] for _ in given]
+    whole: list[list] = [[] for _ in given]  # up to two groups given to each so far, those of assignments inside too
 
-    out: list = [None] * len(given)
     begun: set[int] = set()
+    left = [len(g.inside) for g in given]  # assignments inside that may not have begun, counted from the first
     for first in range(len(given)):
         todo = [first]
         while todo:  # what a name stands for is resolved before it; circles end
             i = todo[-1]
-            if out[i] is None and i not in begun:
+            if i < 0:  # those inside of another, the last first
+                inside = given[~i].inside
+                while left[~i] and number[id(inside[left[~i] - 1])] in begun:
+                    left[~i] -= 1
+                if left[~i]:
+                    todo.append(number[id(inside[left[~i] - 1])])
+                else:
+                    todo.pop()
+                continue
+            if own[i] is None and i not in begun:
                 begun.add(i)
                 needed = {j for group in given[i].groups for t in group if t[0] and (j := source(t[1], i)) is not None}
                 for j in needed:
-                    todo += [k for k in (j, *(number[id(g)] for g in given[j].inside)) if k not in begun]
+                    todo += [j, ~j] if j not in begun else [~j]
                 continue
             todo.pop()
-            if out[i] is not None:
+            if own[i] is not None:
                 continue
-            groups: dict[tuple, list] = {}
+            groups, names = [], []
             for group in given[i].groups:
-                joined: dict[tuple[int, int], str] = {}
+                joined: list = []
                 for is_name, value, at, end, inner in group:
                     j = source(value, i) if is_name else None
                     if j is None:
                         if not inner:
-                            joined[at, end] = value
+                            joined.append((value, at, end))
                         continue
-                    known = whole(j)
+                    known = whole[j]
                     if len(known) == 1:
-                        joined |= {(a, e): v for v, a, e in known[0]}
-                    else:
-                        groups |= {tuple(x): x for x in known}
+                        joined.append(known[0])
+                    elif known:
+                        stands_for[i].append(j)
+                        names += known
                 if joined:
-                    terms = [(v, a, e) for (a, e), v in joined.items()]
-                    groups[tuple(terms)] = terms
-            out[i] = list(groups.values())
-    return out
+                    groups.append(joined[0] if len(joined) == 1 and isinstance(joined[0], list) else joined)
+            own[i] = groups
+            more, k = groups + names, i
+            while more and k is not None:  # what is inside of others counts for them
+                more = _added(whole[k], more)
+                k = number[id(given[k].outer)] if given[k].outer else None
+    return [o or [] for o in own], stands_for
+
+
+def _added(held: list, groups: list) -> list:
+    """Add what is new of ``groups`` to a list of two at most, and return that."""
+    same = lambda a, b: a is b or (len(a) == len(b) and all(x is y or (isinstance(x, tuple) and x == y) for x, y in zip(a, b, strict=True)))
+    new = []
+    for g in groups:
+        if len(held) == 2:
+            break
+        if not any(same(g, h) for h in held):
+            held.append(g)
+            new.append(g)
+    return new
 
 
 def found(text: str, threshold: float = 2.2) -> list[tuple[int, int, str]]:

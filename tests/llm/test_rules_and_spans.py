@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -269,3 +270,53 @@ def test_op10_no_forms(text):
 
 def test_op10_empty(none):
     assert secret_scan.scan(none).count() == 0
+
+
+# Secret scans: growth, and constants by a plain model
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        lambda n: "d = {" + ", ".join(f'k{i}: "x9Kq{i}TzLm4Qw7Rt{i}"' for i in range(n)) + "}\n" + "\n".join(f"api_key_{i} = d" for i in range(n)),
+        lambda n: 'a = "' + '\\"' * (4 * n),
+        lambda n: 'x0 = "aQ9"\n' + "\n".join(f'x{i} = "b7Z" + x{i - 1}' for i in range(1, n)) + f"\napi_key = x{n - 1}",
+        lambda n: "d = {" + ", ".join(f"k{i}: d" for i in range(n)) + "}\n",
+    ],
+)
+def test_op10_is_linear(form):
+    """Names for large mappings, unclosed quotes, long chains and circles: ten times the text takes about ten times as long."""
+    took = []
+    for n in (1500, 15000):
+        begin = time.process_time()
+        secret_scan.found(form(n))
+        took.append(time.process_time() - begin)
+    assert took[1] < 30 * max(took[0], 0.05), took
+
+
+def test_op10_constants_by_a_plain_model():
+    """Programs of assignments without circles: a literal counts where some sensitive name gets it, alone or in a sum."""
+    draw = random.Random(8)
+    literals = ["x9KqTzLm4Qw7Rt", "aZ3kLm9QpRt5", "hello", "Zx81mNq0PwLs", "k"]
+    for _ in range(400):
+        lines, held, want, at = [], {}, set(), 0
+        for n in range(draw.randrange(1, 12)):
+            name = f"{draw.choice(['api_key', 'password', 'color', 'x'])}_{'abcdefghijkl'[n]}"
+            line, terms, several = f"{name} = ", [], None
+            for k in range(draw.randrange(1, 3)):
+                line += " + " if k else ""
+                if held and draw.random() < 0.5:
+                    other = draw.choice(sorted(held))
+                    line += other
+                    terms += [t for t in held[other] if t not in terms]
+                else:
+                    value = draw.choice(literals)
+                    terms.append((value, at + len(line) + 1, at + len(line) + 1 + len(value)))
+                    line += f'"{value}"'
+            held[name] = terms
+            score = secret_scan.literal_score("".join(t[0] for t in terms))
+            if score and secret_scan.name_score(name) and secret_scan.name_score(name) + score >= 2.2:
+                want |= {(a, e) for _, a, e in terms}
+            lines.append(line)
+            at += len(line) + 1
+        assert {(a, e) for a, e, kind in secret_scan.found("\n".join(lines)) if kind == "literal"} == want, lines
