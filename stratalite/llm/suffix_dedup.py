@@ -36,7 +36,9 @@ from .ngram_join import _mixed, _powers
 #: Bytes of a repeated string and of an anchor.
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text of a chunk and of the part that is hashed at once, anchors of a bucket, contexts of an anchor that go on by single windows.
-CHUNK_BYTES, PART_BYTES, BUCKET, HOT = 16 << 20, 2 << 20, 1_000_000, 20_000
+CHUNK_BYTES, PART_BYTES, BUCKET, HOT = 8 << 20, 1 << 20, 1_000_000, 20_000
+#: Pieces of text that are gathered or sorted at once, whole groups at least.
+PIECES = 20_000
 #: A null id counts as this one, after all others.
 NO_ID = (1 << 63) - 1
 SINGLE, SORTED, WINDOWS = 0, 1, 2
@@ -167,8 +169,11 @@ def gathered(data, start, size):
     """The bytes of many pieces behind each other."""
     import numpy as np
 
-    before = np.cumsum(size) - size
-    return data[np.repeat(start - before, size) + np.arange(int(size.sum()))] if len(size) else data[:0]
+    out = [data[:0]]
+    for k in range(0, len(size), PIECES):
+        n = size[k : k + PIECES]
+        out.append(data[np.repeat(start[k : k + PIECES] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+    return np.concatenate(out)
 
 
 def merge_sorted(items, start, size, compare: Callable):
@@ -200,6 +205,21 @@ def shared_windows(data, sizes, left, doc, group, length: int = LENGTH):
     """Of pieces of text: a bit for each window that also is in a piece of the group, of a smaller document, at the same distance from the anchor."""
     import numpy as np
 
+    out = np.zeros(len(sizes), "int64")
+    order, begin = np.argsort(group, kind="stable"), np.cumsum(sizes) - sizes
+    edges = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1]))) if len(order) else order
+    at = 0
+    while at < len(order):  # some groups at a time
+        stop = edges[np.searchsorted(edges, at + PIECES)] if at + PIECES <= edges[-1] else len(order)
+        some = order[at:stop]
+        out[some] = _shared(gathered(data, begin[some], sizes[some]), sizes[some], left[some], doc[some], group[some], length)
+        at = stop
+    return out
+
+
+def _shared(data, sizes, left, doc, group, length: int):
+    import numpy as np
+
     count = sizes - length + 1
     piece = np.repeat(np.arange(len(sizes)), count)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)

@@ -2,12 +2,11 @@
 
 import hashlib
 import random
-
-import numpy as np
 import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from conftest import documents
 from odd_rows import ODD
