@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -20,6 +21,7 @@ def builder(app: str = "stratalite") -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
     )
 
 
@@ -56,3 +58,10 @@ def settled(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df, name: str):
+    """``df`` as Parquet in the shared folder, read back: its lineage ends here."""
+    path = f"{shared_folder(df.sparkSession)}/stratalite/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
