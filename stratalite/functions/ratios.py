@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .formula import formula
+
 # The published ratios in ASTER band numbers (B0 stands for a blue band), each with its label.
 CATALOGUE = """
 (B7+B9)/B8 carbonate chlorite epidote
@@ -69,7 +71,6 @@ SENSORS = {
     "Unknown": {},
 }
 _BAND = re.compile(r"B\d+[A-Z]?")
-_TERM = r"(?:\w*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|[\w.]+)"
 
 
 def landsat_sensor(file: str) -> str:
@@ -81,15 +82,12 @@ def for_sensor(sensor: str, catalogue: list[str] = CATALOGUE) -> list[tuple[str,
     """(formula, label) of the ratios whose bands the sensor has, in its own band names."""
     bands = SENSORS[sensor]
     parts = [entry.split(" ", 1) for entry in catalogue]
-    return [(_BAND.sub(lambda m: bands[m[0]], formula), label) for formula, label in parts if all(b in bands for b in _BAND.findall(formula))]
+    return [(_BAND.sub(lambda m: bands[m[0]], text), label) for text, label in parts if all(b in bands for b in _BAND.findall(text))]
 
 
-def ratio(formula: str) -> Column:
+def ratio(text: str) -> Column:
     """The formula as a column over the bands it names; null where it divides by zero."""
-    text = re.sub(rf"({_TERM})\*\*({_TERM})", r"pow(\1, \2)", formula)
-    while (changed := re.sub(rf"({_TERM})/({_TERM})", r"try_divide(\1, \2)", text, count=1)) != text:
-        text = changed
-    return F.expr(text).cast("double")
+    return formula(text, lambda name: F.col(f"`{name}`").cast("double")).cast("double")
 
 
 def with_ratios(cells: DataFrame, sensor: str, catalogue: list[str] = CATALOGUE) -> DataFrame:
@@ -98,9 +96,9 @@ def with_ratios(cells: DataFrame, sensor: str, catalogue: list[str] = CATALOGUE)
     return cells.withColumns({f"r{i}": ratio(f) for i, f in enumerate(formulas, 1)})
 
 
-def by_wavelength(formula: str, wavelengths: dict[str, float]) -> str:
+def by_wavelength(text: str, wavelengths: dict[str, float]) -> str:
     """A formula over wavelengths (``R650``, nanometres) in terms of the bands nearest to them, the first of equally near ones."""
-    return re.sub(r"R(\d+)", lambda m: min(wavelengths, key=lambda b: abs(wavelengths[b] - float(m[1]))), formula)
+    return re.sub(r"R(\d+)", lambda m: min(wavelengths, key=lambda b: abs(wavelengths[b] - float(m[1]))), text)
 
 
 def landslide_colours(ndvi: Column, ndwi: Column, swir: Column, bsi: Column) -> dict[str, Column]:

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalite.functions.formula import formula
+
 
 def with_stats(cells: DataFrame, **stats: Column) -> DataFrame:
     """Each cell with the same one row of whole-raster aggregates."""
@@ -145,25 +147,22 @@ def mosaic_median(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("row", "col", F.coalesce(F.col("b") + F.lit(middle.get("a", 0.0) - middle.get("b", 0.0)), "a").alias("value"))
 
 
-_ALLOWED = {"sqrt", "ln", "log", "exp", "sin", "cos", "tan", "atan2", "arctan2", "abs", "pow", "least", "greatest", "floor", "ceil", "case", "when", "then", "else", "end", "and", "or", "not", "is", "null", "between"}
-
-
 def equation(cells: DataFrame, text: str, bands: Iterable[str], out: str = "value") -> DataFrame:
-    """A new band by an expression over ``i0, i1, ...`` (the bands in order) and band names.
+    """A new band by a formula over ``i0, i1, ...`` (the bands in order) and band names; what a formula may hold: ``functions.formula``.
 
-    Other names than those and a few functions are refused. A null in a band that is
-    used makes the result null; so does a division by zero.
+    Other names are refused. A null in a band that is used makes the result null; so
+    does a division by zero.
     """
     names = list(bands)
-    for word in set(re.findall(r"[A-Za-z_]\w*", text)):
-        if word not in names and not re.fullmatch(r"i\d+", word) and word.lower() not in _ALLOWED:
-            raise ValueError(f"not allowed in an equation: {word}")
-    text = re.sub(r"\bi(\d+)\b", lambda m: f"`{names[int(m[1])]}`", text)
-    text = re.sub(r"\barctan2\b", "atan2", re.sub(r"\blog\b", "ln", text)).replace("^", "**")
-    while m := re.search(r"([\w.`]+|\([^()]*\))\s*\*\*\s*([\w.`]+|\([^()]*\))", text):
-        text = f"{text[: m.start()]}pow({m[1]}, {m[2]}){text[m.end() :]}"
-    text = re.sub(r"([\w.`]+|\([^()]*\))\s*/\s*([\w.`]+|\([^()]*\))", r"try_divide(\1, \2)", text)
-    return cells.withColumn(out, F.expr(text).cast("double"))
+
+    def band(name: str) -> Column | None:
+        if name in names:
+            return F.col(f"`{name}`").cast("double")
+        if re.fullmatch(r"i\d+", name) and int(name[1:]) < len(names):
+            return F.col(f"`{names[int(name[1:])]}`").cast("double")
+        return None
+
+    return cells.withColumn(out, formula(text, band).cast("double"))
 
 
 def ratio(numerator: Column, denominator: Column, least: float = 1e-8) -> Column:

@@ -27,15 +27,22 @@ def vectors(cells: DataFrame, bands: Sequence[str], scaling: str | None = "stand
 
 
 def clusters(cells: DataFrame, bands: Sequence[str], k: int, method: str = "kmeans", scaling: str | None = "standard", seed: int = 1, rounds: int = 100) -> DataFrame:
-    """Cells with ``label`` from 1 to k; labels are ordered by the mean of the first band."""
+    """Cells with ``label`` from 1 to k; labels are ordered by the mean of the first band. No cells give no rows."""
     from pyspark.ml.clustering import BisectingKMeans, KMeans
 
+    if cells.dropna(subset=list(bands)).isEmpty():
+        return _none(cells, label="int")
     data = vectors(cells, bands, scaling)
     kind = KMeans if method == "kmeans" else BisectingKMeans
     found = kind(k=k, seed=seed, maxIter=rounds, featuresCol="features", predictionCol="_k").fit(data).transform(data).drop("features")
     return ordered_labels(found, "_k", bands[0])
 
 
+def _none(cells: DataFrame, **columns: str) -> DataFrame:
+    """No rows, with further columns."""
+    return cells.where("false").withColumns({n: F.lit(None).cast(kind) for n, kind in columns.items()})
+
+
 def ordered_labels(cells: DataFrame, raw: str, band: str) -> DataFrame:
     means = sorted((r.m, r[raw]) for r in cells.groupBy(raw).agg(F.avg(band).alias("m")).collect())
     places = F.create_map(*[x for n, (_, k) in enumerate(means) for x in (F.lit(k), F.lit(n + 1))]) if means else F.create_map()
@@ -101,8 +108,11 @@ def crisp_means(cells: DataFrame, bands: Sequence[str], k: int, metric: str = "e
     """Cells with the ``label`` of the nearest centre, by Lloyd's rounds of one aggregate each.
 
     Ends when the sum of distances falls by less than ``threshold`` percent, or
-    rises (then the round before counts). An empty class takes the farthest cell.
+    rises (then the round before counts). An empty class takes the farthest cell. No
+    cells give no rows.
     """
+    if cells.dropna(subset=list(bands)).isEmpty():
+        return _none(cells, label="int")
     data = cells.dropna(subset=list(bands)).select("*", *[F.col(b).cast("double").alias(f"_b{i}") for i, b in enumerate(bands)])
     own = [f"_b{i}" for i in range(len(bands))]
     centres = centres or start_centres(data, own, k)
@@ -124,7 +134,9 @@ def crisp_means(cells: DataFrame, bands: Sequence[str], k: int, metric: str = "e
 
 
 def fuzzy_means(cells: DataFrame, bands: Sequence[str], k: int, exponent: float = 2.0, metric: str = "euclidean", rounds: int = 50, threshold: float = 0.01, centres=None) -> DataFrame:
-    """Cells with memberships u1..uk (d^(-1/(m-1)) over their sum, of squared distances), the ``label`` of the greatest, and ``entropy``, their normalised class entropy."""
+    """Cells with memberships u1..uk (d^(-1/(m-1)) over their sum, of squared distances), the ``label`` of the greatest, and ``entropy``, their normalised class entropy. No cells give no rows."""
+    if cells.dropna(subset=list(bands)).isEmpty():
+        return _none(cells, **{f"u{n + 1}": "double" for n in range(k)}, label="int", entropy="double")
     data = cells.dropna(subset=list(bands)).select("*", *[F.col(b).cast("double").alias(f"_b{i}") for i, b in enumerate(bands)])
     own = [f"_b{i}" for i in range(len(bands))]
     centres = centres or start_centres(data, own, k)
@@ -154,7 +166,9 @@ def fuzzy_means(cells: DataFrame, bands: Sequence[str], k: int, exponent: float
 
 
 def compactness(members: DataFrame, bands: Sequence[str], k: int, exponent: float = 2.0) -> DataFrame:
-    """The Xie-Beni index of memberships u1..uk (distances within over the least squared distance of two centres) and the mean class entropy."""
+    """The Xie-Beni index of memberships u1..uk (distances within over the least squared distance of two centres) and the mean class entropy; no row without members."""
+    if members.isEmpty():
+        return members.select(F.lit(0.0).alias("xie_beni"), F.lit(0.0).alias("class_entropy")).where("false")
     found = _moments(members, list(bands), [F.pow(f"u{n + 1}", F.lit(exponent)) for n in range(k)])
     centres = [m for _, m, _ in found]
     apart = min(float(((a - b) ** 2).sum()) for i, a in enumerate(centres) for b in centres[:i])
@@ -216,12 +230,15 @@ def reconstruct(components: DataFrame, cells: DataFrame, bands: Sequence[str], n
     return components.withColumns({b: sum((F.lit(float(axes[k][i])) * F.col(f"pc{k + 1}") for k in range(n)), F.lit(float(mean[i]))) for i, b in enumerate(bands)})
 
 
-def noise_fractions(cells: DataFrame, bands: Sequence[str], n: int | None = None) -> tuple[DataFrame, list[float]]:
-    """Cells (row, col, bands) with mnf1..: components by their signal over the noise, which the differences of diagonal neighbours show; and these ratios."""
+def noise_fractions(cells: DataFrame, bands: Sequence[str], n: int | None = None, keys: Sequence[str] = ()) -> tuple[DataFrame, list[float]]:
+    """Cells (row, col, bands) with mnf1..: components by their signal over the noise, which the differences of diagonal neighbours show; and these ratios.
+
+    ``keys`` (scene) part rasters in one table; neighbours are of one raster.
+    """
     import numpy as np
 
-    other = cells.select((F.col("row") - 1).alias("row"), (F.col("col") - 1).alias("col"), *[F.col(b).alias(f"_{b}") for b in bands])
-    steps = cells.join(other, ["row", "col"]).select(*[((F.col(b) - F.col(f"_{b}")) / 2**0.5).alias(b) for b in bands])
+    other = cells.select(*keys, (F.col("row") - 1).alias("row"), (F.col("col") - 1).alias("col"), *[F.col(b).alias(f"_{b}") for b in bands])
+    steps = cells.join(other, [*keys, "row", "col"]).select(*[((F.col(b) - F.col(f"_{b}")) / 2**0.5).alias(b) for b in bands])
     mean, cov = covariance_of(cells, bands)
     noise_values, noise_axes = _axes(covariance_of(steps, bands)[1])
     whiten = noise_axes / np.sqrt(np.maximum(noise_values, 1e-12 * noise_values.max()))[:, None]

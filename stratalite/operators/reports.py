@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalite.session import ship
+from stratalite.session import ship, written
 
 
 def phase_residuals(picks: DataFrame, phase: str = "phase", residual: str = "residual", weight: str = "weight") -> DataFrame:
@@ -110,33 +110,18 @@ def error_ellipse(dx: Column, dy: Column, dz: Column, xy: Column, xz: Column, yz
     return ellipse(dx, dy, dz, xy, xz, yz)
 
 
-def intensity_hulls(points: DataFrame, levels: Sequence[float], sectors: int = 3600) -> DataFrame:
-    """level, hull: the convex hull (counter-clockwise, from its lowest left point) of the points felt at each level or above.
+def intensity_hulls(points: DataFrame, levels: Sequence[float], at_once: int = 20_000) -> DataFrame:
+    """level, hull: the convex hull (counter-clockwise, from its leftmost lowest point) of the points felt at each level or above.
 
-    Each task keeps the points that are the furthest in some of many directions, then
-    64 tasks do so with what all kept: one task gets 64 times ``sectors`` points of a
-    level at most, from any number. The hull is within 1 part in ``sectors`` squared
-    of the exact one, relative to its size.
+    Hulls of hulls: a task reduces every ``at_once`` points of a level to their hull, then
+    tasks of a quarter as many groups do so again with what was kept, until one is left.
+    Only vertices go on, and every vertex of the whole hull is one of its part's.
     """
-    import numpy as np
-
     ship(points.sparkSession)
-    felt = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.explode(F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda v: v <= F.col("intensity"))).alias("level"))
-    turns = np.arange(sectors) * 2 * math.pi / sectors
-    cos, sin = np.cos(turns), np.sin(turns)
+    felt = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.explode(F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda v: v <= F.col("intensity"))).alias("level"))
 
-    def furthest(batches):
-        kept = {}
-        for batch in batches:
-            for level, part in batch.groupby("level"):
-                p = np.concatenate([part[["x", "y"]].to_numpy(), kept.get(level, np.empty((0, 2)))])
-                far = [(np.outer(c, p[:, 0]) + np.outer(s, p[:, 1])).argmax(axis=1) for c, s in zip(np.array_split(cos, 36), np.array_split(sin, 36), strict=True)]
-                kept[level] = p[np.unique(np.concatenate(far))]
-        for level, p in kept.items():
-            yield pd.DataFrame({"level": level, "x": p[:, 0], "y": p[:, 1]})
-
-    def hull(part: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(zip(part["x"], part["y"], strict=True)))
+    def ring(p) -> list:
+        p = sorted(set(p))
 
         def half(seq):
             out = []
@@ -146,12 +131,34 @@ def intensity_hulls(points: DataFrame, levels: Sequence[float], sectors: int = 3
                 out.append(q)
             return out[:-1]
 
-        ring = (half(p) + half(p[::-1])) or p
-        return pd.DataFrame({"level": [part["level"].iloc[0]], "hull": [[{"x": float(x), "y": float(y)} for x, y in ring]]})
+        return (half(p) + half(p[::-1])) or p
+
+    def reduced(batches):
+        kept: dict = {}
+        for batch in batches:
+            for level, part in batch.groupby("level"):
+                held = kept.setdefault(level, [])
+                held += zip(part["x"], part["y"], strict=True)
+                if len(held) >= at_once:
+                    kept[level] = ring(held)
+        for level, p in kept.items():
+            p = ring(p)
+            yield pd.DataFrame({"level": level, "x": [q[0] for q in p], "y": [q[1] for q in p]})
+
+    def hull(part: pd.DataFrame) -> pd.DataFrame:
+        p = ring(zip(part["x"], part["y"], strict=True))
+        return pd.DataFrame({"level": [part["level"].iloc[0]], "hull": [[{"x": float(x), "y": float(y)} for x, y in p]]})
 
     shape = "level double, x double, y double"
-    thinned = felt.select("level", "x", "y").mapInPandas(furthest, shape).repartition(64).mapInPandas(furthest, shape)
-    return thinned.groupBy("level").applyInPandas(hull, "level double, hull array<struct<x: double, y: double>>")
+    left = written(felt.select("level", "x", "y").mapInPandas(reduced, shape), "hulls")
+    groups = math.ceil((left.groupBy("level").count().agg(F.max("count")).first()[0] or 0) / at_once)
+    while groups > 1:
+        groups = math.ceil(groups / 4)
+        before = left.count()
+        left = written(left.withColumn("_g", F.pmod(F.xxhash64("x", "y"), F.lit(groups))).repartition(max(1, groups) * len(levels), "level", "_g").select("level", "x", "y").mapInPandas(reduced, shape), "hulls")
+        if left.count() > 0.9 * before:  # nearly all points are vertices of the hull itself
+            break
+    return left.groupBy("level").applyInPandas(hull, "level double, hull array<struct<x: double, y: double>>")
 
 
 def robust_scale(rows: DataFrame, column: str, lines: DataFrame | None = None) -> DataFrame:

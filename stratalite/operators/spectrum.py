@@ -184,6 +184,88 @@ def downward(cells: DataFrame, depth: float, dx: float = 1.0, dy: float = 1.0) -
     return cells.where("value IS NOT NULL").join(change, ["row", "col"]).withColumn("value", F.col("value") + F.col("_change")).drop("_change")
 
 
+def edge_derivative(cells: DataFrame, order: float = 1.0, step: float = 1.0) -> DataFrame:
+    """The vertical derivative of an order, the raster set in a square of a power of two and its edges repeated outwards; less the median first.
+
+    Cells that are null, or missing from the rectangle of the others, count as the
+    median, and get a value too. A raster without values gives no rows.
+    """
+    import numpy as np
+
+    from .stats import medians
+
+    known = cells.select("row", "col", F.col("value").cast("double").alias("value"))
+    r0, r1, c0, c1 = known.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    middle = medians(known.select(F.lit("v").alias("band"), "value")).get("v")
+    if middle is None:
+        return known.where("false")
+    nr, nc = r1 - r0 + 1, c1 - c0 + 1
+    n = 1 << (max(nr, nc) - 1).bit_length()
+    top, left = (n - nr) // 2, (n - nc) // 2
+    wave = np.fft.fftfreq(n) * n * (2 * math.pi / (step * (n - 1))) if n > 1 else np.zeros(1)
+    held = known.where("value IS NOT NULL").groupBy((F.col("row") - r0).cast("int").alias("_row")).agg(F.collect_list(F.struct((F.col("col") - c0).cast("int").alias("c"), F.col("value").alias("v"))).alias("l"))
+    every = cells.sparkSession.range(n).select(F.col("id").cast("int").alias("at"), F.least(F.greatest(F.col("id") - top, F.lit(0)), F.lit(nr - 1)).cast("int").alias("_row"))
+    nothing = F.array().cast("array<double>")
+    lines = every.join(held, "_row", "left").select("at", F.coalesce(F.transform("l", lambda x: x["c"].cast("double")), nothing).alias("c"), F.coalesce(F.transform("l", lambda x: x["v"]), nothing).alias("v"))
+
+    def forward(at, c, v):
+        z = np.zeros(nc)
+        z[c.astype(int)] = v - middle
+        f = np.fft.fft(np.pad(z, (left, n - left - nc), "edge"))
+        return f.real, f.imag
+
+    def answered(at, re, im):
+        f = np.fft.ifft(np.fft.fft(re + 1j * im) * np.hypot(wave[at], wave) ** order)
+        return f.real, f.imag
+
+    def backward(at, re, im):
+        return (np.fft.ifft(re + 1j * im).real[left : left + nc],)
+
+    spectrum = _each(across(_each(lines, forward, ["re", "im"]), ["re", "im"]), answered, ["re", "im"])
+    back = settled(_each(across(spectrum, ["re", "im"]).where(F.col("at").between(top, top + nr - 1)), backward, ["z"]))
+    return back.select((F.col("at") - top + r0).cast("int").alias("row"), F.posexplode("z").alias("_c", "value")).select("row", (F.col("_c") + c0).cast("int").alias("col"), "value")
+
+
+def tilt_angles(cells: DataFrame, azimuth: float = 0.0, smooth: int = 0, factor: float = 2.0) -> DataFrame:
+    """Edge maps of a field (row, col, value): tilt, hyperbolic, second, directional, total, horizontal, enhanced; null where an angle is of nothing.
+
+    ``azimuth`` in degrees from east for the directional tilt; ``smooth`` an odd window
+    whose mean is taken first, its border lost; ``factor`` that of the enhanced amplitude.
+    Null cells count as half way between the extremes. The hyperbolic tilt exists below a
+    ratio of one; the second order tilt is that of the tilt's mean over 3 x 3 cells (or
+    the window), zeros around.
+    """
+    from .stencil import box_mean, derivatives
+    from .grid import with_stats
+
+    c = with_stats(cells.select("row", "col", F.col("value").cast("double").alias("value")), _a=F.min("value"), _b=F.max("value"))
+    c = c.select("row", "col", F.coalesce("value", (F.col("_a") + F.col("_b")) / 2).alias("value"))
+    c = settled(box_mean(c, smooth // 2) if smooth > 1 else c)
+    a = math.radians(azimuth)
+    length = lambda *x: F.sqrt(sum((v * v for v in x[1:]), x[0] * x[0]))
+    rise = lambda df: edge_derivative(df).withColumnRenamed("value", "dz")
+    first = settled(derivatives(c).join(rise(c), ["row", "col"]).withColumn("flat", length(F.col("dx"), F.col("dy"))))
+    ratio = F.try_divide("dz", "flat")
+    along, over = F.col("dx") * math.cos(a) + F.col("dy") * math.sin(a), F.col("dx") * math.cos(a + math.pi / 2) + F.col("dy") * math.sin(a + math.pi / 2)
+    maps = first.select(
+        "row", "col", F.atan(ratio).alias("tilt"), F.when(F.abs(ratio) < 1, F.atanh(ratio)).alias("hyperbolic"),
+        F.atan(F.try_divide(along, length(over, F.col("dz")))).alias("directional"), F.atan(F.try_divide(F.col("flat"), F.abs("dz"))).alias("total"),
+    )
+    radius = max(smooth, 3) // 2
+    size = (2 * radius + 1) ** 2
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
+    spread = maps.select("row", "col", "tilt", F.explode(steps).alias("i")).select("row", "col", "tilt", "i", F.explode(steps).alias("j"))
+    near = spread.groupBy((F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).agg((F.sum("tilt") / size).alias("value"))
+    mean = settled(maps.select("row", "col").join(near, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))))
+    second = derivatives(mean).join(rise(mean), ["row", "col"]).select("row", "col", F.atan(F.try_divide(F.col("dz"), length(F.col("dx"), F.col("dy")))).alias("second"))
+    slope = first.select("row", "col", F.col("flat").alias("value"))
+    third = derivatives(slope).join(rise(slope), ["row", "col"])
+    flat, whole = length(F.col("dx"), F.col("dy")), length(F.col("dx"), F.col("dy"), F.col("dz"))
+    share = factor * (F.try_divide(F.col("dz"), whole) - 1) + 1
+    third = third.select("row", "col", F.atan(F.try_divide(F.col("dz"), flat)).alias("horizontal"), F.asin(F.greatest(share, F.lit(-1.0))).alias("enhanced"))
+    return maps.join(second, ["row", "col"]).join(third, ["row", "col"])
+
+
 def to_pole(cells: DataFrame, inclination: float, declination: float, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     """A magnetic field reduced to the pole, by the inclination and declination in degrees."""
     i, d = math.radians(inclination), math.radians(declination)

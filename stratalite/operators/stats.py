@@ -2,37 +2,60 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalite.session import written
+
 
 def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Rows of (keys, band, value) for the given columns."""
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "band", "value")
 
 
-def exact_quantiles(long: DataFrame, probabilities: Sequence[float], bins: int = 4096) -> dict[str, list[float]]:
-    """Of (band, value) rows: each band's exact quantiles, interpolated between neighbours.
+def _keys(long: DataFrame) -> DataFrame:
+    """(band, key) of the known values: the bits of a double as a whole number of the same order."""
+    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.col("value") + 0.0).cast("long")  # -0.0 is 0.0
+    known = long.where("value IS NOT NULL AND NOT isnan(value)").select("band", bits.alias("bits"))
+    return written(known, "quantile-bits").select("band", F.when(F.col("bits") < 0, F.col("bits").bitwiseXOR((1 << 63) - 1)).otherwise(F.col("bits")).alias("key"))
+
+
+def _value(key: int) -> float:
+    """The double of a key."""
+    return struct.unpack("<d", struct.pack("<q", key ^ ((1 << 63) - 1) if key < 0 else key))[0]
+
+
+def _between(a: float, b: float, f: float) -> float:
+    if not f or a == b:
+        return a
+    return a + (b - a) * f if math.isfinite(b - a) or math.isinf(a) or math.isinf(b) else a * (1 - f) + b * f
+
+
+def exact_quantiles(long: DataFrame, probabilities: Sequence[float], bits: int = 12) -> dict[str, list[float]]:
+    """Of (band, value) rows: each band's exact quantiles, interpolated between neighbours; nulls and NaN are skipped.
 
-    Each round counts equal bins of the intervals that hold the wanted ranks, and
-    goes on with the bins that have them, until all their values are equal: a few
-    scans with bounded state, however many distinct values there are. The driver
-    gets ``bins`` counts for each interval.
+    Values are ordered as whole numbers of 64 bits, which are written once. Each round
+    counts the next ``bits`` of them in the intervals that hold the wanted ranks, so
+    that six rounds end for any values, infinite and denormal ones too. The driver gets
+    2 ** ``bits`` counts for each interval. Between infinities of both signs lies NaN.
     """
-    known = long.where("value IS NOT NULL AND NOT isnan(value)")
-    bands = {r.band: r for r in known.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b")).collect()}
+    keys = _keys(long)
+    bands = {r.band: r for r in keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()}
     ranks = {b: [((r.n - 1) * p // 1, (r.n - 1) * p % 1) for p in probabilities] for b, r in bands.items()}
     wanted = {(b, int(k) + d): (r.a, r.b, int(k) + d) for b, r in bands.items() for k, f in ranks[b] for d in ((0, 1) if f else (0,))}
     while todo := sorted({(b, a, z) for (b, _), (a, z, _) in wanted.items() if a < z}):
-        parts = long.sparkSession.createDataFrame(todo, "band string, a double, b double")
-        at = F.least(F.floor((F.col("value") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)).alias("bin")
-        rows = known.join(F.broadcast(parts), "band").where("value BETWEEN a AND b").groupBy("band", "a", "b", at).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        parts = [(b, a, z, max(0, (z - a).bit_length() - bits)) for b, a, z in todo]
+        known = keys.join(F.broadcast(keys.sparkSession.createDataFrame(parts, "band string, a long, z long, shift int")), "band").where("key BETWEEN a AND z")
+        at = F.expr("shiftright(key, shift) - shiftright(a, shift)").alias("bin")  # shifted first, as a difference of 64 bits may overflow
+        rows = known.groupBy("band", "a", "z", at).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
         held: dict = {}
-        for r in sorted(rows, key=lambda r: (r.band, r.a, r.b, r.bin)):
-            held.setdefault((r.band, r.a, r.b), []).append(r)
+        for r in sorted(rows, key=lambda r: (r.band, r.a, r.z, r.bin)):
+            held.setdefault((r.band, r.a, r.z), []).append(r)
         for key, (a, z, rank) in wanted.items():
             if a < z:
                 for r in held[key[0], a, z]:
@@ -40,8 +63,8 @@ def exact_quantiles(long: DataFrame, probabilities: Sequence[float], bins: int =
                         wanted[key] = (r.low, r.high, rank)
                         break
                     rank -= r.n
-    value = lambda b, k: wanted[b, int(k)][0]
-    return {b: [value(b, k) + ((value(b, k + 1) - value(b, k)) * f if f else 0.0) for k, f in ranks[b]] for b in bands}
+    value = lambda b, k: _value(wanted[b, int(k)][0])
+    return {b: [_between(value(b, k), value(b, k + 1) if f else value(b, k), f) for k, f in ranks[b]] for b in bands}
 
 
 def medians(long: DataFrame) -> dict[str, float]:

@@ -30,13 +30,13 @@ def visibility(cells: DataFrame, size: int, height: float) -> DataFrame:
     """row, col, total, deviation, resultant: places seen from ``height`` above each cell in eight directions of an odd window.
 
     A direction to later rows or columns (or diagonal ones) counts the cell itself
-    too. A window of 3 has only the cell's own count in those, and none in the
+    too. A window of 1 or 3 has only the cell's own count in those, and none in the
     others. Places without a value count as the mean of all; they, and cells whose
     window leaves the raster, don't come out.
     """
     reach = size // 2
-    if size < 3 or size % 2 == 0:
-        raise ValueError("the window must be odd, and 3 at least")
+    if size < 1 or size % 2 == 0:
+        raise ValueError("the window must be odd")
     c = complete(cells)
     ways = {"s": (F.col("col"), F.col("row")), "e": (F.col("row"), F.col("col")), "d": (F.col("row") - F.col("col"), F.col("col")), "u": (F.col("row") + F.col("col"), F.col("col"))}
     c = c.withColumns({f"_{n}": line for n, (line, _) in ways.items()})

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratalite.session import shared_folder
-from stratalite.sources import grids, nordic, points
+from stratalite.sources import grids, nordic, points, raw
 
 from .registry import query
 from .views import LINES, RASTER, VOXELS, lines, raster, table, voxels
@@ -71,3 +71,20 @@ def nordic_round_trip(spark, sf_dir):
     nordic.write_events(events, phases, folder)
     got = nordic.denormalised(*nordic.read_events(spark, folder))
     return got.select(F.col("event").cast("long").alias("event"), *[F.col(c).cast("long").alias(c) for c in ("year", "month", "day")], "latitude", "longitude", "magnitude_1", F.col("phase_station").alias("station"), F.col("phase_phase").alias("phase"), F.col("phase_second").alias("second"))
+
+
+@query("raw_raster_round_trip", f"""WITH {RASTER}, s AS (SELECT max("row") AS r, max(col) AS c FROM raster), l AS (SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM (SELECT unnest(range(0, (SELECT r + 1 FROM s))) AS r), (SELECT unnest(range(0, (SELECT c + 1 FROM s))) AS c))
+SELECT l."row", l.col, round(CASE WHEN l.col % 7 <> 0 THEN value END, 6) AS b1, round(value / 2, 6) AS b2 FROM l LEFT JOIN raster USING ("row", col)""")
+def raw_raster_round_trip(spark, sf_dir):
+    cells, folder = raster(spark, sf_dir).select("row", "col", F.when(F.col("col") % 7 != 0, F.col("value")).alias("a"), (F.col("value") / 2).alias("b")), _folder(spark, "raw")
+    options = raw.write_raw(cells, folder, ["a", "b"], "<f8", rows_a_part=4)
+    return raw.read_raw(spark, folder, **options).select("row", "col", F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"))
+
+
+@query("raw_raster_window", f"""WITH {RASTER} SELECT "row", col, round(value, 6) AS b1 FROM raster WHERE "row" BETWEEN 3 AND 6 AND col BETWEEN 10 AND 20""")
+def raw_raster_window(spark, sf_dir):
+    """A window of a raw raster, pushed to the byte ranges that are read."""
+    folder = _folder(spark, "raw")
+    options = raw.write_raw(raster(spark, sf_dir), folder, ["value"], "<f8", "pixel", rows_a_part=4)
+    found = raw.read_raw(spark, folder, **options).where("row BETWEEN 3 AND 6 AND col BETWEEN 10 AND 20")
+    return found.where("b1 IS NOT NULL").withColumn("b1", F.round("b1", 6))

@@ -4,29 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import raw
+
 
 def read_interleaved(spark: SparkSession, path: str, bands: int, cols: int, dtype: str = "<f4", interleave: str = "line", window: tuple[int, int, int, int] | None = None, nodata: float | None = None) -> DataFrame:
-    """row, col, b1, b2, ... of a raster of ``bands`` and ``cols`` in NumPy's ``dtype``, interleaved by "line" or by "pixel".
+    """row, col, b1, b2, ... of a raster of ``bands`` and ``cols`` in NumPy's ``dtype``, interleaved by "line", "pixel" or "band".
 
-    A row of all bands is a record of fixed length, so Spark splits the file anywhere
-    between rows. ``window`` (first row, first column, rows, columns) keeps a part.
-    ``nodata`` and what isn't a number are null. A record reader of that kind exists for RDDs alone.
+    The file's size tells its rows. ``window`` (first row, first column, rows, columns)
+    keeps a part, and only its bytes are read. ``nodata`` and what isn't a number are null.
     """
     import numpy as np
 
-    kind = np.dtype(dtype)
-    shape = (bands, cols) if interleave == "line" else (cols, bands)
-    r0, c0, rows, wide = window or (0, 0, None, cols)
-    names = [f"b{i}" for i in range(1, bands + 1)]
-
-    def cells(record):
-        data, row = record
-        values = np.frombuffer(bytes(data), kind).reshape(shape).astype("float64")
-        values = values if interleave == "line" else values.T
-        bad = np.isnan(values) if nodata is None else np.isnan(values) | (values == nodata)
-        for col in range(c0, min(c0 + wide, cols)):
-            yield (row, col, *(None if bad[b, col] else float(values[b, col]) for b in range(bands)))
-
-    lines = spark.sparkContext.binaryRecords(path, bands * cols * kind.itemsize).zipWithIndex()
-    kept = lines.filter(lambda line: line[1] >= r0 and (rows is None or line[1] < r0 + rows))
-    return spark.createDataFrame(kept.flatMap(cells), "row long, col int, " + ", ".join(f"{n} double" for n in names))
+    system, inner = raw.open_file(path)
+    rows = system.get_file_info(inner).size // (bands * cols * np.dtype(dtype).itemsize)
+    shown = None if window is None else ",".join(map(str, window))
+    return raw.read_raw(spark, path, rows=rows, cols=cols, bands=bands, dtype=dtype, interleave=interleave, window=shown, nodata=nodata)
