@@ -46,8 +46,10 @@ def frequency_magnitude(events: DataFrame, mag: str = "mag", step: float = 0.1)
 
 
 def reverse_cumulative(events: DataFrame, column: str) -> DataFrame:
-    """Count of events at each value, and at or above it."""
-    return events.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc(column))))
+    """Count of events at each value, and at or above it; events without a value aren't counted."""
+    from .components import running_totals
+
+    return running_totals(events.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "n", "above", falling=True)
 
 
 def travel_time_pairs(picks: DataFrame, event: str, station: str, p: str, s: str) -> DataFrame:
@@ -99,8 +101,12 @@ def line_azimuth(readings: DataFrame, line: str, order: str, x: str, y: str) ->
 
 
 def day_index(readings: DataFrame, day: str, line: str | None = None) -> DataFrame:
-    """Adds ``day_no``: 1 for the first day, one more with each other day."""
-    return readings.withColumn("day_no", F.dense_rank().over(Window.partitionBy(line if line else F.lit(0)).orderBy(day)))
+    """Adds ``day_no``: 1 for the first day, one more with each other day (of each line, if one is named); null for a null day."""
+    from .components import numbered
+
+    if not line:
+        return readings.join(numbered(readings, day, "day_no").withColumn("day_no", F.col("day_no").cast("int")), day, "left")
+    return readings.withColumn("day_no", F.dense_rank().over(Window.partitionBy(line).orderBy(day)))
 
 
 def rename_duplicates(names: DataFrame, name: str, order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalite.session import written
@@ -62,3 +62,18 @@ def numbered(values: DataFrame, column: str, name: str = "number") -> DataFrame:
         total += n
     first = values.sparkSession.createDataFrame(starts or [(0, 1)], "_part long, _start long")
     return ordered.join(F.broadcast(first), part == F.col("_part")).select(column, (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def running_totals(values: DataFrame, column: str, of: str, name: str, falling: bool = False) -> DataFrame:
+    """Adds the sum of ``of`` over rows whose ``column`` (distinct, not null) comes no later in order: sums in sorted ranges, and those of whole ranges before."""
+    ranges = max(1, values.sparkSession._jsc.sc().defaultParallelism())
+    order = F.desc(column) if falling else F.asc(column)
+    dealt = written(values.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()), "totals")
+    start, starts = 0, []
+    for r in sorted(dealt.groupBy("_part").agg(F.sum(of)).collect()):  # a row for each range
+        starts.append((r[0], start))
+        start += r[1] or 0
+    kind = dict(dealt.groupBy().agg(F.sum(of).alias("s")).dtypes)["s"]
+    first = values.sparkSession.createDataFrame([(p, s) for p, s in starts] or [(0, 0)], f"_part int, _start {kind}")
+    here = F.sum(of).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn(name, here).join(F.broadcast(first), "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")

@@ -36,14 +36,16 @@ def _between(a: float, b: float, f: float) -> float:
     return a + (b - a) * f if math.isfinite(b - a) or math.isinf(a) or math.isinf(b) else a * (1 - f) + b * f
 
 
-def exact_quantiles(long: DataFrame, probabilities: Sequence[float], bits: int = 12) -> dict[str, list[float]]:
+def exact_quantiles(long: DataFrame, probabilities: Sequence[float], bins: int = 4096) -> dict[str, list[float]]:
     """Of (band, value) rows: each band's exact quantiles, interpolated between neighbours; nulls and NaN are skipped.
 
     Values are ordered as whole numbers of 64 bits, which are written once. Each round
-    counts the next ``bits`` of them in the intervals that hold the wanted ranks, so
-    that six rounds end for any values, infinite and denormal ones too. The driver gets
-    2 ** ``bits`` counts for each interval. Between infinities of both signs lies NaN.
+    counts the next bits of them, ``bins`` equal parts of the intervals that hold the
+    wanted ranks, so that six rounds end for any values, infinite and denormal ones too.
+    The driver gets ``bins`` counts for each interval. Between infinities of both signs
+    lies NaN.
     """
+    bits = max(1, bins.bit_length() - 1)
     keys = _keys(long)
     bands = {r.band: r for r in keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()}
     ranks = {b: [((r.n - 1) * p // 1, (r.n - 1) * p % 1) for p in probabilities] for b, r in bands.items()}

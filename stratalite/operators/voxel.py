@@ -16,7 +16,7 @@ def lithology_statistics(voxels: DataFrame, dxy: float, dz: float) -> DataFrame:
 
 def with_properties(voxels: DataFrame, properties: DataFrame) -> DataFrame:
     """Voxels with the physical properties of their lithology."""
-    return voxels.join(F.broadcast(properties), "lith", "left")
+    return voxels.join(properties, "lith", "left")
 
 
 def merge(master: DataFrame, other: DataFrame, background: str) -> DataFrame:

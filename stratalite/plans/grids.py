@@ -93,6 +93,18 @@ def band_equation(spark, sf_dir):
     return _rounded(c.select("scene", "row", "col", "value"), places=4)
 
 
+_FORMULAS = {"chain": ("price / tax / qty", "price / nullif(tax, 0) / nullif(qty, 0)"), "nested": ("(price + sqrt(tax)) / (qty - (qty + 0) + where(i0 > 35000, 1, 0))", "CASE WHEN price > 35000 THEN price + sqrt(tax) END"), "power": ("i2**2 / (i1^2 + 1)", "qty * qty / (tax * tax + 1)")}
+
+
+@query("band_equations", f"""WITH {CELLS} SELECT scene, "row", col, {", ".join(f"round({sql}, 4) AS {n}" for n, (_, sql) in _FORMULAS.items())} FROM cells""")
+def band_equations(spark, sf_dir):
+    """Chained, nested and power formulas, with zero divisors."""
+    c = cells(spark, sf_dir)
+    for name, (text, _) in _FORMULAS.items():
+        c = grid.equation(c, text, ["price", "tax", "qty"], name)
+    return _rounded(c.select("scene", "row", "col", *_FORMULAS), *_FORMULAS, places=4)
+
+
 @query("band_mean_std", f"""WITH {CELLS}, b AS (SELECT scene, "row", col, tax, qty, CASE WHEN "row" > 3 THEN price / 10000 END AS p FROM cells),
 l AS (SELECT scene, "row", col, unnest([p, tax, qty]) AS v FROM b)
 SELECT scene, "row", col, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std FROM l GROUP BY ALL""")

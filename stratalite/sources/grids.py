@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import read_lines, running, write_lines
+from .lines import read_lines, with_running, write_lines
 
 HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize", "nodata_value")
 
@@ -13,16 +13,16 @@ HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter",
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """file, row (from the top), col, x, y (cell centres) and value of each cell; nodata cells are null.
 
-    Header lines have a name and a number. Cells are told by their rows, so that a
-    row's number needs one pass over the file in order.
+    Header lines have a name and a number. A row's number is the count of rows in the
+    blocks before its own and in its own up to it.
     """
     lines = read_lines(spark, path).withColumn("word", F.split(F.trim("text"), r"\s+")).where("text <> ''")
     is_head = F.lower(F.get("word", F.lit(0))).isin(*HEADER)
     found = F.when(is_head, F.get("word", F.lit(1)).try_cast("double"))
     head = lines.where(is_head).groupBy("file").agg(*[F.max(F.when(F.lower(F.get("word", F.lit(0))) == h, found)).alias(h) for h in HEADER])
-    rows = lines.withColumn("row", running((~is_head).cast("int")) - 1).where(~is_head)
+    rows = with_running(lines, "row", (~is_head).cast("int")).withColumn("row", F.col("row") - 1).where(~is_head)
     cells = rows.select("file", F.col("row").cast("int").alias("row"), F.posexplode("word").alias("col", "v")).withColumn("value", F.col("v").try_cast("double"))
-    out = cells.join(F.broadcast(head), "file")  # a row for each file
+    out = cells.join(head, "file")
     x0 = F.coalesce(F.col("xllcorner") + F.col("cellsize") / 2, F.col("xllcenter"))
     y0 = F.coalesce(F.col("yllcorner") + F.col("cellsize") / 2, F.col("yllcenter"))
     return out.select(

@@ -18,14 +18,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.struct("p", "b", "i").alias("at"), "text")
 
 
-def running(of: Column, key: str = "file") -> Column:
-    """The sum of ``of`` over a file's lines so far: one task for each file, as its blocks follow each other."""
-    return F.sum(of).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _blocks(lines: DataFrame, total: Column, upto: Column, name: str) -> DataFrame:
+    """Of each block of a file (a split's byte range): what the blocks before it come to. A row for each block, however long the lines."""
+    blocks = lines.groupBy("file", F.col("at.p").alias("_p"), F.col("at.b").alias("_b")).agg(total.alias("_of"))
+    return blocks.select("file", "_p", "_b", upto.over(Window.partitionBy("file").orderBy("_p", "_b").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
 
 
-def latest(of: Column, key: str = "file") -> Column:
-    """The last value of ``of`` that isn't null, over a file's lines so far."""
-    return F.last(of, ignorenulls=True).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _within():
+    return Window.partitionBy("file", "at.p", "at.b").orderBy("at.i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _with_carried(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    here = lines.withColumns({"_p": F.col("at.p"), "_b": F.col("at.b")})
+    return here.join(blocks, ["file", "_p", "_b"], "left").drop("_p", "_b")
+
+
+def with_running(lines: DataFrame, name: str, of: Column) -> DataFrame:
+    """Adds the sum of ``of`` over a file's lines so far: sums within blocks, and before them those of whole blocks."""
+    blocks = _blocks(lines, F.sum(of), F.sum("_of"), "_before")
+    return _with_carried(lines.withColumn(name, F.sum(of).over(_within())), blocks).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
+
+
+def with_latest(lines: DataFrame, name: str, of: Column) -> DataFrame:
+    """Adds the last value of ``of`` that isn't null, over a file's lines so far."""
+    blocks = _blocks(lines, F.max_by(of, F.when(of.isNotNull(), F.col("at"))), F.last("_of", ignorenulls=True), "_before")
+    return _with_carried(lines.withColumn(name, F.last(of, ignorenulls=True).over(_within())), blocks).withColumn(name, F.coalesce(name, "_before")).drop("_before")
 
 
 def fixed(start: int, stop: int, kind: str = "string") -> Column:

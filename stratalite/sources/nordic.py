@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import fixed, read_lines, running, write_lines
+from .lines import fixed, read_lines, with_running, write_lines
 
 # Places of the fields, counted from 0, and their types.
 EVENT = (
@@ -25,7 +25,7 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Events are numbered by the blank lines of their file. An event without a
     type-1 line has nulls. A blank or unreadable field is null.
     """
-    lines = read_lines(spark, path).withColumn("event", running((F.trim("text") == "").cast("int"))).where("trim(text) <> ''")
+    lines = with_running(read_lines(spark, path), "event", (F.trim("text") == "").cast("int")).where("trim(text) <> ''")
     lines = lines.select("file", "event", "at", F.rpad("text", 80, " ").alias("text")).withColumn("kind", F.substring("text", 80, 1))
     first = lambda kind, value: F.min_by(value, F.when(F.col("kind") == kind, F.col("at")))
     head = F.struct(*[fixed(a, b, t).alias(n) for n, a, b, t in EVENT])

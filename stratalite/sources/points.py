@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import fixed, latest, read_lines, running, write_lines
+from .lines import fixed, read_lines, with_latest, with_running, write_lines
 
 # Names of coordinate columns in the order they are looked for, and the columns of a CG-5 file.
 PLACES = (("longitude", "latitude"), ("long", "lat"), ("lon", "lat"), ("easting", "northing"), ("x", "y"), ("e", "n"))
@@ -45,9 +45,9 @@ def read_geosoft_xyz(spark: SparkSession, path: str) -> DataFrame:
     words = F.split("text", r"\s+")
     marker = F.lower(F.get(words, F.lit(0))).isin("line", "tie")
     head = lines.where("text LIKE '/%'").groupBy("file").agg(F.max_by(F.split(F.lower(F.trim(F.substring("text", 2, 1_000_000))), r"\s+"), "at").alias("names"))
-    rows = lines.withColumn("line", latest(F.when(marker, F.array_join(F.slice(words, 2, F.size(words)), " ")))).where(~marker & ~F.col("text").startswith("/"))
+    rows = with_latest(lines, "line", F.when(marker, F.array_join(F.slice(words, 2, F.size(words)), " "))).where(~marker & ~F.col("text").startswith("/"))
     number = lambda v: F.when(v != "*", v.try_cast("double"))
-    return rows.join(F.broadcast(head), "file").select("file", "line", "at", F.map_from_arrays("names", F.transform(F.slice(words, 1, F.size("names")), number)).alias("values"))
+    return rows.join(head, "file").select("file", "line", "at", F.map_from_arrays("names", F.transform(F.slice(words, 1, F.size("names")), number)).alias("values"))
 
 
 def write_geosoft_xyz(readings: DataFrame, folder: str, line: str, order: str, columns: list[str]) -> None:
@@ -121,7 +121,7 @@ def read_fault_planes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_intensities(spark: SparkSession, path: str) -> DataFrame:
     """lat, lon, intensity, code, postalcode, location of a macroseismic file: two header lines, then fixed columns; a plus at the intensity goes."""
-    lines = read_lines(spark, path).withColumn("n", running(F.lit(1))).where("n > 2 AND trim(text) <> ''")
+    lines = with_running(read_lines(spark, path), "n", F.lit(1)).where("n > 2 AND trim(text) <> ''")
     return lines.select(fixed(0, 10, "double").alias("lat"), fixed(10, 20, "double").alias("lon"), F.replace(fixed(20, 25), F.lit("+"), F.lit("")).try_cast("double").alias("intensity"), fixed(25, 30).alias("code"), fixed(30, 40).alias("postalcode"), fixed(40, 80).alias("location"))
 
 

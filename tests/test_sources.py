@@ -2,6 +2,8 @@
 
 import struct
 
+from pyspark.sql import functions as F
+
 from stratalite.sources import grids, nordic, points
 
 F32 = lambda v: struct.unpack("f", struct.pack("f", v))[0]
@@ -56,3 +58,34 @@ def test_nordic_odd_lines(spark, tmp_path):
     got = events.orderBy("event").collect()
     assert [(r.event, r.year, r.latitude, r.longitude, r.depth, r.region) for r in got] == [(0, 2005, -27.5, 25.25, 10.0, "Somewhere"), (1, None, None, None, None, None)]
     assert phases.count() == 0
+
+
+def test_order_over_many_splits(spark, tmp_path):
+    """Sums and last values over a file that is read in many splits and by many tasks, and over several files."""
+    from stratalite.sources import lines
+
+    texts = [f"{k} {'mark' if k % 37 == 5 else 'x'} {'y' * (k % 50)}" for k in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(texts) + "\n")
+    (tmp_path / "b.txt").write_text("1 mark\n2 x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = lines.read_lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 10
+        k = F.split("text", " ")[0].cast("long")
+        found = lines.with_latest(lines.with_running(read, "n", F.lit(1)), "mark", F.when(F.col("text").contains("mark"), k)).select(k.alias("k"), "n", "mark", F.col("file").endswith("a.txt").alias("a")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.k, r.n, r.mark) for r in found if r.a) == [(k, k + 1, None if k < 5 else (k - 5) // 37 * 37 + 5) for k in range(4000)]
+    assert sorted((r.k, r.n, r.mark) for r in found if not r.a) == [(1, 1, 1), (2, 2, 1)]
+
+
+def test_sorted_totals(spark):
+    """Running totals over ranges, and day numbers, without one window over a table."""
+    from stratalite.operators import catalog
+
+    values = [float(v) for v in (3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "mag double")
+    assert {(r.mag, r.n, r.above) for r in catalog.reverse_cumulative(df, "mag").collect()} == {(v, values.count(v), sum(x >= v for x in values)) for v in values}
+    assert {(r.mag, r.day_no) for r in catalog.day_index(df, "mag").collect()} == {(v, sorted(set(values)).index(v) + 1) for v in values} | {(None, None)}
+    assert catalog.reverse_cumulative(df.where("false"), "mag").count() == 0
