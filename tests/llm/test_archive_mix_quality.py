@@ -199,10 +199,29 @@ def test_pipeline(spark, sf, docs, odd):
     assert set(out) == kept
     text = {r.doc_id: r.text for r in now.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(text[k].encode()).hexdigest() for k, r in out.items())
-    for _, stage in c.STAGES:
-        odd_out = stage(spark, odd, sf)
-        assert odd_out.count() >= 0
-        assert stage(spark, odd.where("false"), sf).count() == 0
+
+
+def test_pipeline_odd_rows(spark, sf, odd):
+    """What becomes of nulls, empty and very long texts and repeated rows in each stage."""
+    import corpus_pipeline as c
+
+    ids = sorted((i for i, *_ in ODD), key=str)
+    stages = dict(c.STAGES)
+    kept = {name: stage(spark, odd, sf) for name, stage in stages.items()}
+    found = {name: sorted((r.doc_id for r in df.select("doc_id").collect()), key=str) for name, df in kept.items()}
+    assert found["quality"] == []  # all have fewer than twenty words or repeat theirs
+    assert found["near_duplicates"] == sorted({i for i in ids if i != 7}, key=str)  # 7 is a copy of 6, whose row is there twice
+    assert found["personal_data"] == found["encode"] == ids
+    texts = {(i, t) for i, t, *_ in ODD}
+    masked = {(r.doc_id, r.text) for r in kept["personal_data"].collect()}
+    assert {x for x in masked if x[0] != 8} == {x for x in texts if x[0] != 8} and (8, "mail me at <EMAIL> or <PHONE>") in masked
+    chosen = Counter(found["source_mix"])
+    assert not chosen - Counter(i for i, t, *_ in ODD if t) and chosen
+    tokens = {r.doc_id: r.n_tokens for r in kept["encode"].collect()}
+    assert tokens[1] == tokens[2] == 0 and tokens[6] == tokens[7] == 4 and tokens[5] > 90_000
+    for name, df in kept.items():
+        assert name == "encode" or df.columns == odd.columns
+    assert all(stage(spark, odd.where("false"), sf).count() == 0 for stage in stages.values())
 
 
 def test_rest_works_without_this_package(tmp_path):
