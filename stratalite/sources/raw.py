@@ -140,20 +140,6 @@ class RawReader(DataSourceReader):
         wanted = options.get("wanted")
         self.bands = [int(b) for b in wanted.split(",")] if wanted else list(range(1, self.layout.bands + 1))
 
-    def pushFilters(self, filters):
-        for f in filters:
-            name = ".".join(getattr(f, "attribute", ()))
-            value = getattr(f, "value", None)
-            if name in self.window and isinstance(value, int) and type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual):
-                limits = self.window[name]
-                if type(f) is not LessThan and type(f) is not LessThanOrEqual:
-                    limits[0] = max(limits[0], value + (type(f) is GreaterThan))
-                if type(f) is not GreaterThan and type(f) is not GreaterThanOrEqual:
-                    high = value - (type(f) is LessThan)
-                    limits[1] = high if limits[1] is None else min(limits[1], high)
-            else:
-                yield f
-
     def _columns(self) -> tuple[int, int]:
         """The columns to read: all of a row if less than half of it would be left out."""
         first, last = self.window["col"]
@@ -231,6 +217,24 @@ class RawReader(DataSourceReader):
         return [np.stack([read(*layout.segments(r, b - 1, first, last)) for r in rows]) for b in self.bands]
 
 
+class FilteringReader(RawReader):
+    """The same with filters taken into the plan; sessions without that setting refuse such a reader."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = ".".join(getattr(f, "attribute", ()))
+            value = getattr(f, "value", None)
+            if name in self.window and isinstance(value, int) and type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual):
+                limits = self.window[name]
+                if type(f) is not LessThan and type(f) is not LessThanOrEqual:
+                    limits[0] = max(limits[0], value + (type(f) is GreaterThan))
+                if type(f) is not GreaterThan and type(f) is not GreaterThanOrEqual:
+                    high = value - (type(f) is LessThan)
+                    limits[1] = high if limits[1] is None else min(limits[1], high)
+            else:
+                yield f
+
+
 class Wrote(WriterCommitMessage):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -279,7 +283,7 @@ class RawRaster(DataSource):
         return "row int, col int, " + ", ".join(f"b{b} double" for b in bands)
 
     def reader(self, schema) -> DataSourceReader:
-        return RawReader(self.options["path"], dict(self.options))
+        return (FilteringReader if self.options.get("pushes") == "true" else RawReader)(self.options["path"], dict(self.options))
 
     def writer(self, schema, overwrite: bool):
         return RawWriter(self.options["path"])
@@ -294,10 +298,12 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     """row, col, b1, b2, ... of a raster; what is no number or the null value is null.
 
     Comparisons of ``row`` and ``col`` with numbers reach the plan of byte ranges where
-    ``spark.sql.python.filterPushdown.enabled`` is set, as ``session.builder`` does.
+    ``spark.sql.python.filterPushdown.enabled`` is set, as ``session.builder`` does;
+    elsewhere Spark applies them to what is read, and ``window`` still prunes.
     """
     _ready(spark)
-    return spark.read.format("raw_raster").options(**{k: v for k, v in options.items() if v is not None}).load(path)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+    return spark.read.format("raw_raster").option("pushes", pushes).options(**{k: v for k, v in options.items() if v is not None}).load(path)
 
 
 def write_raw(cells: DataFrame, path: str, bands: list[str], dtype: str = "<f4", interleave: str = "line", nodata: float = -99999.0, rows_a_part: int = 1024) -> dict:

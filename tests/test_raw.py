@@ -46,7 +46,7 @@ def test_filters_prune_bytes(tmp_path, values, interleave, all_bands):
     """A window of a large raster reads no other rows, and of narrow windows no other columns."""
     (tmp_path / "r.raw").write_bytes(stored(values, interleave))
     options = {"rows": "40", "cols": "17", "bands": "3", "dtype": ">i2", "interleave": interleave, "wanted": "2"}
-    reader = raw.RawReader(str(tmp_path / "r.raw"), options)
+    reader = raw.FilteringReader(str(tmp_path / "r.raw"), options)
     other = GreaterThan(("b2",), 5)
     left = list(reader.pushFilters([GreaterThanOrEqual(("row",), 10), LessThan(("row",), 14), GreaterThan(("col",), 3), LessThanOrEqual(("col",), 6), other]))
     assert left == [other]
@@ -82,7 +82,7 @@ def test_filters_prune_bytes(tmp_path, values, interleave, all_bands):
         raw.open_file = before
     assert sum(opened) == sum(reader.bytes_of(p) for p in parts)
     assert {(r["row"], r["col"]): r["b2"] for r in rows} == {(r, c): float(values[1, r, c]) for r in range(10, 14) for c in range(4, 7)}
-    reader = raw.RawReader(str(tmp_path / "r.raw"), options)
+    reader = raw.FilteringReader(str(tmp_path / "r.raw"), options)
     assert list(reader.pushFilters([EqualTo(("row",), 7)])) == [] and [(p.first, p.last) for p in reader.partitions()] == [(7, 7)]
 
 
@@ -142,3 +142,15 @@ def test_parts_round_trip(spark, tmp_path, interleave):
     df = raw.read_raw(spark, path, **options)
     assert cells_of(df) == want
     assert cells_of(df.where("row BETWEEN 18 AND 21 AND col = 3")) == {k: v for k, v in want.items() if 18 <= k[0] <= 21 and k[1] == 3}
+
+
+def test_without_pushed_filters(spark, tmp_path, values):
+    """A session that doesn't push filters gets the same rows."""
+    (tmp_path / "r.raw").write_bytes(stored(values, "line"))
+    options = {"rows": 40, "cols": 17, "bands": 3, "dtype": ">i2"}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        got = cells_of(raw.read_raw(spark, str(tmp_path / "r.raw"), **options).where("row = 7 AND col < 3"))
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert got == {(7, c): tuple(map(float, values[:, 7, c])) for c in range(3)}
