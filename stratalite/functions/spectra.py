@@ -59,3 +59,24 @@ def sensor_reflectance(dn: Column, scale: float, offset: float, nodata: float |
 def brightness_temperature(dn: Column, mult: float, add: float, k1: float, k2: float) -> Column:
     """Kelvin, from thermal numbers by radiance and Planck's law."""
     return k2 / F.ln(k1 / (dn * mult + add) + 1)
+
+
+def upper_hulls(count: int):
+    """A vectorised function: the upper convex hull of spectra of ``count`` values at equal steps; null for a null, or where a value is missing."""
+
+    @F.pandas_udf("array<double>")
+    def hulls(spectra: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(s):
+            if s is None or len(s) != count or np.isnan(y := np.asarray(s, float)).any():
+                return None
+            hull = [0]
+            while hull[-1] < count - 1:  # the steepest way on; of equally steep ones the nearest
+                rest = np.arange(hull[-1] + 1, count)
+                hull.append(int(rest[np.argmax((y[rest] - y[hull[-1]]) / (rest - hull[-1]))]))
+            return np.interp(np.arange(count), hull, y[hull]).tolist()
+
+        return spectra.map(one)
+
+    return hulls

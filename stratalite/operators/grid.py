@@ -62,17 +62,18 @@ def normalise(cells: DataFrame, how: str, value: str = "value") -> DataFrame:
 
 
 def clip_percentiles(cells: DataFrame, low: float, high: float, value: str = "value") -> DataFrame:
-    """Values clamped to two interpolated percentiles (in percent, from below and from above)."""
+    """Values clamped to two interpolated percentiles (in percent, from below and from above); nulls stay."""
     from .stats import exact_quantiles
 
     limits = exact_quantiles(cells.select(F.lit("v").alias("band"), F.col(value).cast("double").alias("value")), [low / 100, 1 - high / 100]).get("v", [None, None])
-    return cells.withColumn(value, F.least(F.greatest(F.col(value), F.lit(limits[0]).cast("double")), F.lit(limits[1]).cast("double")))
+    return cells.withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(limits[0]).cast("double")), F.lit(limits[1]).cast("double"))))
 
 
 def norm2(cells: DataFrame, low: float | None = None, high: float | None = None, value: str = "value") -> DataFrame:
-    """Values between two limits (of the data by default) to 0..1, clamped."""
+    """Values between two limits (of the data by default) to 0..1, clamped; nulls stay."""
     s = with_stats(cells, _a=F.min(value) if low is None else F.first(F.lit(float(low))), _b=F.max(value) if high is None else F.first(F.lit(float(high))))
-    return s.withColumn(value, F.least(F.greatest(F.try_divide(F.col(value) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)), F.lit(1.0))).drop("_a", "_b")
+    share = F.try_divide(F.col(value) - F.col("_a"), F.col("_b") - F.col("_a"))
+    return s.withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))).drop("_a", "_b")
 
 
 def norm255(cells: DataFrame, value: str = "value") -> DataFrame:
