@@ -66,6 +66,21 @@ def wadati(picks: DataFrame, event: str = "event", station: str = "station", p:
     return fit.where(F.col("vpvs").between(low, high))
 
 
+def last_picks(readings: DataFrame, order: str, event: str = "event", station: str = "station", phase: str = "phase", time: str = "time", weight: str | None = "weight") -> DataFrame:
+    """event, station, p, s: of each station with both the last P and the last S time of an event, by ``order`` (of equal ones the latest time).
+
+    Blanks around phase names don't count; readings of weight 9 are out of use. Readings
+    without an event, station, time or order are left out.
+    """
+    name = F.trim(F.col(phase))
+    known = readings.where(name.isin("P", "S") & F.col(event).isNotNull() & F.col(station).isNotNull() & F.col(time).isNotNull() & F.col(order).isNotNull())
+    if weight is not None:
+        known = known.where(~F.col(weight).eqNullSafe(F.lit(9)))
+    last = lambda which: F.max(F.when(name == which, F.struct(F.col(order).alias("o"), F.col(time).alias("t"))))
+    both = known.groupBy(event, station).agg(last("P").alias("_p"), last("S").alias("_s")).where("_p IS NOT NULL AND _s IS NOT NULL")
+    return both.select(F.col(event).alias("event"), F.col(station).alias("station"), F.col("_p.t").alias("p"), F.col("_s.t").alias("s"))
+
+
 def station_residuals(picks: DataFrame, event: str, station: str, value: str) -> DataFrame:
     """Mean and deviation, per station, of what each pick differs from its event's mean."""
     r = picks.withColumn("_r", F.col(value) - F.avg(value).over(Window.partitionBy(event)))

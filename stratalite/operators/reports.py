@@ -161,6 +161,19 @@ def intensity_hulls(points: DataFrame, levels: Sequence[float], at_once: int = 2
     return left.groupBy("level").applyInPandas(hull, "level double, hull array<struct<x: double, y: double>>")
 
 
+def intensity_bands(hulls: DataFrame) -> DataFrame:
+    """level, rings of what is felt at a level and not at the next one: its hull with the next hull as a hole.
+
+    ``hulls`` are :func:`intensity_hulls`, each inside the one before, so the difference is
+    the two rings together, as polygons with holes are here. Rings are closed; the last
+    level has no hole, and a hull of less than three points has no ring and makes none.
+    """
+    closed = F.when(F.size("hull") > 2, F.concat("hull", F.slice("hull", 1, 1)))
+    rings = hulls.select("level", closed.alias("_ring"))
+    after = rings.withColumn("_hole", F.lead("_ring").over(Window.orderBy("level")))  # a row for each level asked for
+    return after.where("_ring IS NOT NULL").select("level", F.filter(F.array("_ring", "_hole"), lambda r: r.isNotNull()).alias("rings"))
+
+
 def robust_scale(rows: DataFrame, column: str, lines: DataFrame | None = None) -> DataFrame:
     """One row: median and scale (2.5 times the scaled median deviation, 1 if that is 0) of a column."""
     from .stats import medians

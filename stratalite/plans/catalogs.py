@@ -66,6 +66,16 @@ def wadati(spark, sf_dir):
     return _rounded(catalog.wadati(picks, least_stations=3), "vpvs", places=9)  # five places would be ties
 
 
+@query("wadati_last_picks", """WITH r AS (SELECT l_partkey % 500 AS event, l_suppkey % 9 AS station, CASE l_linenumber % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'S' ELSE 'PN' END AS phase, l_orderkey AS o, CAST(l_quantity AS DOUBLE) * CASE l_linenumber % 3 WHEN 1 THEN 1.7::DOUBLE ELSE 1 END AS t FROM lineitem WHERE round(l_discount * 100) <> 9),
+last AS (SELECT event, station, phase, t FROM r QUALIFY row_number() OVER (PARTITION BY event, station, phase ORDER BY o DESC, t DESC) = 1)
+SELECT p.event, p.station, p.t AS p, s.t AS s FROM last p JOIN last s ON p.event = s.event AND p.station = s.station AND p.phase = 'P' AND s.phase = 'S'""")
+def wadati_last_picks(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    kind = F.col("l_linenumber") % 3
+    r = t.select((F.col("l_partkey") % 500).alias("event"), (F.col("l_suppkey") % 9).alias("station"), F.when(kind == 0, " P").when(kind == 1, "S ").otherwise("PN").alias("phase"), F.col("l_orderkey").alias("o"), (F.col("l_quantity").cast("double") * F.when(kind == 1, 1.7).otherwise(1.0)).alias("time"), F.round(F.col("l_discount") * 100).cast("int").alias("weight"))
+    return catalog.last_picks(r, "o")
+
+
 @query("residual_by_station", f"""WITH {CATALOGUE}, r AS (SELECT phase, value - avg(value) OVER (PARTITION BY station) AS r FROM catalogue) SELECT phase, round(avg(r), 5) AS mean, round(stddev_pop(r), 5) AS std, count(r) AS n FROM r GROUP BY 1""")
 def residual_by_station(spark, sf_dir):
     return _rounded(catalog.station_residuals(catalogue(spark, sf_dir), "station", "phase", "value"), "mean", "std", places=5)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stratalite.operators import magnetics, reports
+from stratalite.operators import joining, magnetics, reports
 from stratalite.session import shared_folder
 from stratalite.sources import harmonics
 
@@ -141,6 +141,15 @@ def intensity_hulls(spark, sf_dir):
     return reports.intensity_hulls(p, [2, 4, 6]).select("level", F.transform("hull", lambda q: F.concat_ws(" ", q["x"], q["y"])).alias("hull"))
 
 
+@query("intensity_bands")
+def intensity_bands(spark, sf_dir):
+    """Places, and their mean intensity, between the hulls of felt levels: bands as polygons."""
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k.alias("id"), ((k * 7919) % 1000).cast("double").alias("x"), ((k * 104729) % 1000).cast("double").alias("y"), (k % 7).alias("intensity"))
+    bands = reports.intensity_bands(reports.intensity_hulls(p, [2, 4, 6])).withColumnRenamed("level", "polygon")
+    return joining.points_in_polygons(p, bands, 250.0).groupBy(F.col("polygon").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("intensity"), 6).alias("mean"))
+
+
 def model_text(spark, rows: list[str], name: str = "field-model") -> str:
     """A small model file in the shared folder."""
     folder = f"{shared_folder(spark)}/stratalite/{name}-{uuid.uuid4().hex}"
