@@ -134,7 +134,7 @@ def _circle() -> tuple[Column, Column, Column]:
 def linear_grid(points: DataFrame, dxy: float, blank: float | None = None, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """Values between points, linear on their Delaunay triangles: row, col (from the least y and x, cell centres there and every ``dxy``), value.
 
-    Cells outside the points' hull have no row, nor with ``blank`` (up to 16) those
+    Cells outside the points' hull have no row (within some millionths of the raster's width of it they may have one or not), nor with ``blank`` (up to 16) those
     farther than so many cells from a cell with a point. Points with a null or NaN are
     left out, of equal places the least value counts. Where four points and more lie on
     one circle, a hash of their places chooses the triangles, the same in each run. No
@@ -222,17 +222,23 @@ def linear_grid(points: DataFrame, dxy: float, blank: float | None = None, x: st
             if len(pdf):
                 row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
                 cells = Cells(*at(row, col), *[np.stack(pdf[c].to_list()).astype("float64") for c in ("px", "py", "pw", "pz")])
+                was, held = cells.planes()[2], [v.copy() for v in (cells.px, cells.py, cells.pw, cells.pz)]
                 cells.enter(np.arange(len(pdf)), *[pdf[f"v{c}"].to_numpy(dtype="float64") for c in "xywz"])
                 cells.improve(*[np.zeros(0)] * 4)  # the outside's corners may come back
+                still = ~(cells.planes()[2] < was)  # each step lowers the plane; a point that doesn't is on the circle but for rounding
+                for v, h in zip((cells.px, cells.py, cells.pw, cells.pz), held, strict=True):
+                    v[still] = h[still]
                 cells.ordered()
-                yield cells.frame(row, col, np.zeros(len(pdf), bool), step)
+                yield cells.frame(row, col, still, step)
 
     left = state.where("NOT sure")
     while left.limit(1).count():
         found = written(_conflicts(left, placed, step, (x0 - mx) / unit, (y0 - my) / unit, rows, cols), "triangles-conflicts")
         names = ["px", "py"]
         done.append(left.join(found, names, "left_anti"))
-        left = written(left.join(found, names).mapInPandas(improve, STATE), "triangles-state")
+        moved = written(left.join(found, names).mapInPandas(improve, STATE), "triangles-state")
+        done.append(moved.where("sure"))
+        left = moved.where("NOT sure")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
