@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from . import stats
 
+#: Classes that are fitted at the same time, one against the rest: their rounds are many short jobs.
+TOGETHER = 8
+
 
 def vectors(cells: DataFrame, bands: Sequence[str], scaling: str | None = "standard") -> DataFrame:
     """Cells whose bands are all known, with ``features``, scaled to unit deviation or by quartiles."""
@@ -185,8 +188,12 @@ def classify(known: DataFrame, cells: DataFrame, bands: Sequence[str], label: st
     names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(known.dropna(subset=[label]))
     vector = VectorAssembler(inputCols=list(bands), outputCol="features", handleInvalid="skip")
     common = {"labelCol": "_y", "featuresCol": "features", "predictionCol": "_p"}
-    model = {"tree": lambda: DecisionTreeClassifier(seed=seed, **common), "forest": lambda: RandomForestClassifier(seed=seed, numTrees=50, **common), "vectors": lambda: OneVsRest(classifier=LinearSVC(maxIter=50), **common)}[method]()
+    model = {"tree": lambda: DecisionTreeClassifier(seed=seed, **common), "forest": lambda: RandomForestClassifier(seed=seed, numTrees=50, **common), "vectors": lambda: OneVsRest(classifier=LinearSVC(maxIter=50), parallelism=TOGETHER, **common)}[method]()
     fitted = model.fit(vector.transform(names.transform(known.dropna(subset=[label]))).select("_y", "features"))
+    if method == "vectors":  # each class's plane is a column, where the model's own transform calls a function a row and class
+        scores = F.array(*[sum((F.col(b).cast("double") * float(w) for b, w in zip(bands, m.coefficients, strict=True)), F.lit(float(m.intercept))) for m in fitted.models])
+        best = F.array_position(scores, F.array_max(scores)).cast("int")
+        return cells.dropna(subset=list(bands)).withColumn("found", F.element_at(F.array(*map(F.lit, names.labels)), best))
     out = fitted.transform(vector.transform(cells))
     return out.withColumn("found", F.element_at(F.array(*map(F.lit, names.labels)), F.col("_p").cast("int") + 1)).drop("features", "_p", "rawPrediction", "probability")
 
