@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stratalite.session import ship, written
 
-#: Cells along a tile and across its border; cells along the smallest bucket; buckets along a circle, at most.
+#: Cells along a tile and across its border; cells along a bucket of level 0; buckets along a circle that the raster cuts off, at most.
 TILE, HALO, BUCKET, ACROSS = 32, 16, 2, 64
 #: Distance of the three corners that stand for the outside, in widths of the raster; what counts as on the hull, in the same.
 FAR, ON_HULL = 1e6, 3e-7
@@ -83,19 +83,31 @@ class Cells:
         step = max(1, room // len(x))
         for first in range(0, len(self.qx), step):
             at = np.arange(first, min(first + step, len(self.qx)))
-            dx, dy = x[None, :] - self.qx[at, None], y[None, :] - self.qy[at, None]
-            cost = dx * dx + dy * dy + w[None, :]
-            while len(at):
-                part = Cells(self.qx[at], self.qy[at], self.px[at], self.py[at], self.pw[at], self.pz[at])
-                ax, ay, c = part.planes()
-                inside = ax[:, None] * dx + ay[:, None] * dy + c[:, None] - cost
-                k = np.argmax(inside, axis=1)
-                every = np.arange(len(at))
-                size = np.abs(ax * dx[every, k]) + np.abs(ay * dy[every, k]) + np.abs(c) + cost[every, k]
-                go = inside[every, k] > 1e-11 * size
-                at, k, dx, dy, cost = at[go], k[go], dx[go], dy[go], cost[go]
-                if len(at):
-                    self.enter(at, x[k], y[k], w[k], z[k])
+            self._improve(at, *[np.broadcast_to(v, (len(at), len(v))) for v in (x, y, w, z)])
+
+    def improve_own(self, x, y, w, z):
+        """Triangles whose circles hold none of the points of their own row (m, k); a NaN is none."""
+        import numpy as np
+
+        out = Cells.outside(self.qx, self.qy)
+        self._improve(np.arange(len(self.qx)), *[np.concatenate([a, b], axis=1) for a, b in ((x, out.px), (y, out.py), (w, out.pw), (z, out.pz))])
+
+    def _improve(self, at, x, y, w, z):
+        import numpy as np
+
+        own, dx, dy = np.arange(len(at)), x - self.qx[at, None], y - self.qy[at, None]
+        cost = dx * dx + dy * dy + w
+        while len(at):
+            part = Cells(self.qx[at], self.qy[at], self.px[at], self.py[at], self.pw[at], self.pz[at])
+            ax, ay, c = part.planes()
+            inside = ax[:, None] * dx + ay[:, None] * dy + c[:, None] - cost
+            k = np.argmax(np.where(np.isnan(inside), -np.inf, inside), axis=1)
+            every = np.arange(len(at))
+            size = np.abs(ax * dx[every, k]) + np.abs(ay * dy[every, k]) + np.abs(c) + cost[every, k]
+            go = inside[every, k] > 1e-11 * size
+            at, k, dx, dy, cost, own = at[go], k[go], dx[go], dy[go], cost[go], own[go]
+            if len(at):
+                self.enter(at, x[own, k], y[own, k], w[own, k], z[own, k])
 
     def ordered(self):
         """The corners in order of place, the outside's last, so that cells of a triangle name it alike."""
@@ -168,8 +180,12 @@ def linear_grid(points: DataFrame, dxy: float, blank: float | None = None, x: st
     at = lambda row, col: ((x0 + col * dxy - mx) / unit + NUDGE[0] * step, (y0 + row * dxy - my) / unit + NUDGE[1] * step)
 
     cy, cx = (F.col("row") * dxy + y0 - my) / unit, (F.col("col") * dxy + x0 - mx) / unit
-    away = F.pow(F.col("x") - cx, 2) + F.pow(F.col("y") - cy, 2)
-    quarters = placed.groupBy("row", "col", (F.col("x") < cx).alias("left"), (F.col("y") < cy).alias("below")).agg(F.min(F.struct(away, "x", "y", "w", "z")).alias("p"), F.count(F.lit(1)).alias("n"))
+    away = (F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)
+    quartered = placed.withColumns({"left": F.col("x") < cx, "below": F.col("y") < cy, "away": away})
+    # the least distances first, as numbers, which are hashed: aggregates of structs would sort all points
+    near = written(quartered.groupBy("row", "col", "left", "below").agg(F.min("away").alias("away"), F.count(F.lit(1)).alias("n")), "triangles-near")
+    quarters = quartered.join(near, ["row", "col", "left", "below", "away"]).groupBy("row", "col", "left", "below", "n").agg(F.min(F.struct("x", "y", "w", "z")).alias("p"))
+    finest = -math.floor(math.log(BUCKET * math.sqrt(near.agg(F.max("n")).first()[0]), 4))
     tiles = lambda c: F.sequence(F.floor((F.col(c) - HALO) / TILE).cast("int"), F.floor((F.col(c) + HALO) / TILE).cast("int"))
     sent = quarters.select("row", "col", "p.x", "p.y", "p.w", "p.z", "n", tiles("row").alias("rs"), tiles("col").alias("cs"))
     sent = sent.select("row", "col", "x", "y", "w", "z", "n", "cs", F.explode("rs").alias("br")).select("row", "col", "x", "y", "w", "z", "n", "br", F.explode("cs").alias("bc"))
@@ -223,8 +239,10 @@ def linear_grid(points: DataFrame, dxy: float, blank: float | None = None, x: st
                 row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
                 cells = Cells(*at(row, col), *[np.stack(pdf[c].to_list()).astype("float64") for c in ("px", "py", "pw", "pz")])
                 was, held = cells.planes()[2], [v.copy() for v in (cells.px, cells.py, cells.pw, cells.pz)]
-                cells.enter(np.arange(len(pdf)), *[pdf[f"v{c}"].to_numpy(dtype="float64") for c in "xywz"])
-                cells.improve(*[np.zeros(0)] * 4)  # the outside's corners may come back
+                most = max(map(len, pdf["vx"]))
+                new = [np.stack([np.pad(v.astype("float64"), (0, most - len(v)), constant_values=np.nan) for v in pdf[f"v{c}"]]) for c in "xywz"]
+                cells.enter(np.arange(len(pdf)), *[v[:, 0] for v in new])
+                cells.improve_own(*[np.concatenate([v, h], axis=1) for v, h in zip(new, held, strict=True)])  # corners that left, and the outside's, may come back
                 still = ~(cells.planes()[2] < was)  # each step lowers the plane; a point that doesn't is on the circle but for rounding
                 for v, h in zip((cells.px, cells.py, cells.pw, cells.pz), held, strict=True):
                     v[still] = h[still]
@@ -233,7 +251,7 @@ def linear_grid(points: DataFrame, dxy: float, blank: float | None = None, x: st
 
     left = state.where("NOT sure")
     while left.limit(1).count():
-        found = written(_conflicts(left, placed, step, (x0 - mx) / unit, (y0 - my) / unit, rows, cols), "triangles-conflicts")
+        found = written(_conflicts(left, placed, step, (x0 - mx) / unit, (y0 - my) / unit, rows, cols, finest), "triangles-conflicts")
         names = ["px", "py"]
         done.append(left.join(found, names, "left_anti"))
         moved = written(left.join(found, names).mapInPandas(improve, STATE), "triangles-state")
@@ -245,35 +263,51 @@ def linear_grid(points: DataFrame, dxy: float, blank: float | None = None, x: st
     return out.where("value IS NOT NULL AND NOT isnan(value)").select("row", "col", "value")
 
 
-def _conflicts(cells: DataFrame, placed: DataFrame, step: float, left: float, low: float, rows: int, cols: int) -> DataFrame:
-    """Of the cells' triangles whose circle holds points the one deepest inside: px, py, vx, vy, vw, vz.
+def _conflicts(cells: DataFrame, placed: DataFrame, step: float, left: float, low: float, rows: int, cols: int, finest: int) -> DataFrame:
+    """Of the cells' triangles whose circle holds points those deepest inside, one of each bucket, the deepest first: px, py, vx, vy, vw, vz.
 
-    A circle goes to the buckets it touches, of a size of which it covers few; of one size there are the points of all.
+    A circle goes to the buckets it touches, of a size of which it covers few, down to level
+    ``finest``, where points are few in a bucket; of one size there are the points of all. How
+    deep the deepest are comes first, as numbers, and then the points: no task sorts or holds
+    the points in a circle, of which there may be any number.
     """
     mx, my, rr = _circle()
     round_ = cells.select("px", "py", "pw").distinct().withColumns({"mx": mx, "my": my, "rr": rr}).where("rr IS NOT NULL")
+    along = lambda v, start, last: F.greatest(F.least((v - start) / step, F.lit(last + 0.5)), F.lit(-0.5)) + 0.5
     radius = F.sqrt(F.greatest("rr", F.lit(0.0))) * (1 + 1e-9)
-    cell = lambda v, start, last: F.least(F.greatest(F.floor((v - start) / step + 0.5), F.lit(0)), F.lit(last))
-    tall = cell(F.col("my") + radius, low, rows - 1) - cell(F.col("my") - radius, low, rows - 1)
-    wide = cell(F.col("mx") + radius, left, cols - 1) - cell(F.col("mx") - radius, left, cols - 1)
-    level = F.greatest(F.ceil(F.log2((F.greatest(tall, wide) + 1) / (BUCKET * ACROSS))), F.lit(0)).cast("int")
-    round_ = written(round_.withColumns({"level": level}).withColumn("side", F.lit(BUCKET) * F.pow(F.lit(2.0), "level")), "triangles-circles")
-    bucket = lambda c: F.floor(c / F.col("side")).cast("int")
-    rowed = round_.withColumn("br", F.explode(F.sequence(bucket(cell(F.col("my") - radius, low, rows - 1)), bucket(cell(F.col("my") + radius, low, rows - 1)))))
-    bottom, top = low + (F.col("br") * F.col("side") - 0.5) * step, low + ((F.col("br") + 1) * F.col("side") - 0.5) * step
-    near = F.least(F.greatest("my", bottom), top) - F.col("my")
-    half = F.sqrt(F.greatest(F.col("rr") * (1 + 1e-9) - near * near, F.lit(0.0))) + step
-    sent = rowed.withColumn("bc", F.explode(F.sequence(bucket(cell(F.col("mx") - half, left, cols - 1)), bucket(cell(F.col("mx") + half, left, cols - 1)))))
-    levels = sorted(r[0] for r in round_.select("level").distinct().collect())  # one for each doubling of the raster
-    each = placed.withColumn("level", F.explode(F.lit(levels) if levels else F.array().cast("array<int>"))).withColumn("side", F.lit(BUCKET) * F.pow(F.lit(2.0), "level"))
-    each = each.select("x", "y", "w", "z", "level", bucket(F.col("row")).alias("br"), bucket(F.col("col")).alias("bc"))
-    met = sent.join(each, ["level", "br", "bc"])
-    square = F.pow(F.col("x") - F.col("mx"), 2) + F.pow(F.col("y") - F.col("my"), 2)
-    deep = F.col("rr") - square - F.col("w")
-    own = F.exists(F.arrays_zip("px", "py"), lambda p: (p["px"] == F.col("x")) & (p["py"] == F.col("y")))
-    met = met.where((deep > 1e-11 * (F.col("rr") + square)) & ~own)
-    best = met.groupBy("px", "py").agg(F.max(F.struct(deep, "x", "y", "w", "z")).alias("v"))
-    return best.select("px", "py", F.col("v.x").alias("vx"), F.col("v.y").alias("vy"), F.col("v.w").alias("vw"), F.col("v.z").alias("vz"))
+    round_ = round_.withColumn("radius", radius).withColumns({"bottom": along(F.col("my") - F.col("radius"), low, rows - 1), "top": along(F.col("my") + F.col("radius"), low, rows - 1)})
+    tall, wide = F.col("top") - F.col("bottom"), along(F.col("mx") + F.col("radius"), left, cols - 1) - along(F.col("mx") - F.col("radius"), left, cols - 1)
+    longest, whole = F.greatest(tall, wide), F.least(tall, wide) * step > 1.99 * F.col("radius")
+    across = F.when(whole, F.lit(2.0)).when(F.col("radius") <= 4 * longest * step, F.lit(max(ACROSS / 4, 2.0))).otherwise(F.lit(float(ACROSS)))
+    level = F.greatest(F.coalesce(F.ceil(F.log(longest / across / BUCKET) / math.log(4)), F.lit(finest)), F.lit(finest)).cast("int")
+    round_ = written(round_.withColumn("level", level).withColumn("id", F.monotonically_increasing_id()), "triangles-circles")
+    levels = sorted(r[0] for r in round_.select("level").distinct().collect())  # one for each fourfold size
+
+    sides = {k: BUCKET * 4.0**k for k in levels}
+    bucket = lambda c: F.floor(c / F.col("side")).cast("long")
+    corners = [F.col(f"p{c}")[k].alias(f"{c}{k}") for c in "xy" for k in range(3)]
+    at = lambda n: low + (n * F.col("side") - 0.5) * step
+    apart = F.least(F.greatest("my", at(F.col("br"))), at(F.col("br") + 1)) - F.col("my")
+    half = F.sqrt(F.greatest(F.col("rr") * (1 + 1e-9) - apart * apart, F.lit(0.0))) + F.col("side") * (step / 8)
+    sized = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(v).alias("side")) for k, v in (sides or {0: 1.0}).items()])
+    flat = round_.join(F.broadcast(placed.sparkSession.range(1).select(F.inline(sized))), "level").select("id", "mx", "my", "rr", "level", "side", "bottom", "top", *corners)
+    rowed = flat.withColumn("br", F.explode(F.sequence(bucket(F.col("bottom")), bucket(F.col("top"))))).drop("bottom", "top")
+    sent = rowed.withColumn("bc", F.explode(F.sequence(bucket(along(F.col("mx") - half, left, cols - 1)), bucket(along(F.col("mx") + half, left, cols - 1))))).drop("side")
+    each = placed.select("x", "y", "w", "z", along(F.col("y"), low, rows - 1).alias("v"), along(F.col("x"), left, cols - 1).alias("u"), F.inline(sized))
+    each = each.select("x", "y", "w", "z", "level", bucket(F.col("v")).alias("br"), bucket(F.col("u")).alias("bc"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    square = dx * dx + dy * dy
+    own = " OR ".join(f"(x = x{k} AND y = y{k})" for k in range(3))
+    place, circle = ["id", "level", "br", "bc"], ["mx", "my", "rr", *[f"{c}{k}" for c in "xy" for k in range(3)]]
+
+    def met(sent: DataFrame) -> DataFrame:
+        return sent.join(each, ["level", "br", "bc"]).withColumn("deep", F.col("rr") - square - F.col("w")).where((F.col("deep") > 1e-11 * (F.col("rr") + square)) & ~F.expr(own))
+
+    most = met(sent).groupBy(*place).agg(F.max("deep").alias("most"))
+    deepest = written(most.join(flat.select("id", *circle), "id"), "triangles-deepest")
+    best = met(deepest).where("deep = most").groupBy(*place).agg(F.max(F.struct("deep", "x", "y", "w", "z")).alias("v"))
+    best = best.groupBy("id").agg(F.sort_array(F.collect_list("v"), asc=False).alias("v"))  # one of a bucket
+    return best.join(round_, "id").select("px", "py", *[F.col(f"v.{c}").alias(f"v{c}") for c in "xywz"])
 
 
 def filled(cells: DataFrame) -> DataFrame:

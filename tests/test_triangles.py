@@ -105,3 +105,14 @@ def test_filled(spark):
     found = {(r["row"], r["col"]): r["value"] for r in triangles.filled(df).collect()}
     assert found[1, 1] == pytest.approx(3, abs=1e-6) and found[2, 1] == pytest.approx(5, abs=1e-6)
     assert found[0, 9] is None and found[4, 4] is None and len(found) == 26
+
+
+def test_points_in_a_circle_are_not_sorted(spark, monkeypatch):
+    """Points crowd along a flat hull, so that circles of cells there hold most of them: what meets is hashed down to numbers before any row is kept."""
+    plans, plain_written = {}, triangles.written
+    monkeypatch.setattr(triangles, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()) and plain_written(df, name))
+    x = np.random.default_rng(3).uniform(0, 40, 3000)
+    y = np.where(np.arange(3000) % 2, np.random.default_rng(4).uniform(0, 6, 3000), (x - 20) ** 2 / 4000)
+    found = got(triangles.linear_grid(table(spark, [(float(a), float(b), float(2 * a - b)) for a, b in zip(x, y, strict=True)]), 1.0))
+    assert len(found) > 150 and all(v == pytest.approx(2 * (x.min() + c) - (y.min() + r), abs=1e-6) for (r, c), v in found.items())
+    assert "HashAggregate" in plans["triangles-deepest"] and "SortAggregate" not in plans["triangles-deepest"] + plans["triangles-near"]
