@@ -30,13 +30,43 @@ def _within():
 
 def _with_carried(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     here = lines.withColumns({"_p": F.col("at.p"), "_b": F.col("at.b")})
-    return here.join(blocks, ["file", "_p", "_b"], "left").drop("_p", "_b")
+    return here.join(F.broadcast(blocks), ["file", "_p", "_b"], "left").drop("_p", "_b")  # a row for each split
+
+
+def _summed(lines: DataFrame, name: str) -> DataFrame:
+    """The column ``name`` (long) summed within blocks, in the order in which a task reads their lines: none is sorted or sent."""
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        block, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, k = batch.column(batch.schema.get_field_index("at")), batch.schema.get_field_index(name)
+            p, b = at.field("p"), at.field("b")
+            new = np.ones(batch.num_rows, bool)
+            new[0] = (p[0].as_py(), b[0].as_py()) != block
+            new[1:] = pc.or_(pc.not_equal(p[1:], p[:-1]), pc.not_equal(b[1:], b[:-1])).to_numpy(zero_copy_only=False)
+            add = pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False)
+            upto, starts = np.cumsum(add), np.flatnonzero(new)
+            running = upto - np.concatenate([[-total], upto[starts] - add[starts]])[np.cumsum(new)]
+            block, total = (p[-1].as_py(), b[-1].as_py()), int(running[-1])
+            arrays = [pa.array(running, pa.int64()) if i == k else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return lines.mapInArrow(sums, lines.schema)
 
 
 def with_running(lines: DataFrame, name: str, of: Column) -> DataFrame:
-    """Adds the sum of ``of`` over a file's lines so far: sums within blocks, and before them those of whole blocks."""
+    """Adds the sum of ``of`` (whole numbers) over a file's lines so far: sums within blocks, and before them those of whole blocks.
+
+    ``lines`` are as read: selected, filtered or with more columns, but in their order.
+    """
     blocks = _blocks(lines, F.sum(of), F.sum("_of"), "_before")
-    return _with_carried(lines.withColumn(name, F.sum(of).over(_within())), blocks).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
+    return _with_carried(_summed(lines.withColumn(name, of.cast("long")), name), blocks).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
 
 
 def with_latest(lines: DataFrame, name: str, of: Column) -> DataFrame:

@@ -89,3 +89,17 @@ def test_sorted_totals(spark):
     assert {(r.mag, r.n, r.above) for r in catalog.reverse_cumulative(df, "mag").collect()} == {(v, values.count(v), sum(x >= v for x in values)) for v in values}
     assert {(r.mag, r.day_no) for r in catalog.day_index(df, "mag").collect()} == {(v, sorted(set(values)).index(v) + 1) for v in values} | {(None, None)}
     assert catalog.reverse_cumulative(df.where("false"), "mag").count() == 0
+
+
+def test_running_sums_send_no_lines(spark, tmp_path):
+    from stratalite.sources import lines
+
+    texts = ["" if k % 7 == 3 else f"line {k}" for k in range(30000)]
+    read = lines.read_lines(spark, put(tmp_path, "a.txt", "\n".join(texts) + "\n"))
+    found = lines.with_running(read, "n", (F.col("text") == "").cast("int"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1 and "SortMergeJoin" not in plan  # the window of the blocks' sums
+    got, total = {r["at"]["i"]: r["n"] for r in found.collect()}, 0
+    for k, text in enumerate(texts):
+        total += text == ""
+        assert got[k] == total
