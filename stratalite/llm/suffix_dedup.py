@@ -12,9 +12,10 @@ smaller id. Suffixes need an order of their first ``length`` bytes only.
    the anchor's bucket, entries that agree are one suffix class, settled by the least
    document. Where contexts differ, the suffixes have to be sorted.
 3. For those, chunks send the contexts themselves. The suffixes that begin in one place
-   beside an anchor are merge-sorted; two suffixes are compared by the hashes of
-   halves, quarters, ... of their common extension. Neighbours in the order are then
-   verified by their bytes. Anchors with very many contexts (at the edges of a passage
+   beside an anchor are sorted by eight bytes after eight; those that tie go on, unless
+   their hashes agree. What is left after whole eights is merge-sorted, two suffixes
+   compared by the hashes of halves, quarters, ... of their common extension.
+   Neighbours in the order are then verified by their bytes. Anchors with very many contexts (at the edges of a passage
    that much of the corpus holds) send single windows instead, each to a bucket of its
    own hash, so that no bucket grows with them.
 4. Each chunk marks its bytes and returns its documents.
@@ -155,12 +156,14 @@ class Analysis:
         of = np.repeat(of, count)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         start = self.first[of] + offset
-        rows = self.data[start[:, None] + np.arange(self.length)] if len(start) else np.zeros((0, self.length), "uint8")
-        distinct, sample, which = np.unique(rows.view(f"V{self.length}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(distinct), NO_ID, "int64")
-        np.minimum.at(least, which, self.doc[of])
-        power, _ = _powers(self.length)
-        hashes = _mixed(_mixed(((rows[sample].astype("uint64") + np.uint64(1)) * power[: self.length]).sum(axis=1, dtype="uint64")) + np.uint64(7))
+        order, new = equal_windows(self.data, start, self.length)
+        sample, which = order[new], np.empty(len(order), "int64")
+        which[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(self.doc[of[order]], np.flatnonzero(new)) if len(of) else self.doc[:0]
+        power, hashes = _powers(self.length)[0], np.empty(len(sample), "uint64")
+        for at in range(0, len(sample), PIECES):
+            rows = self.data[start[sample[at : at + PIECES], None] + np.arange(self.length)].astype("uint64") + np.uint64(1)
+            hashes[at : at + PIECES] = _mixed(_mixed((rows * power[: self.length]).sum(axis=1, dtype="uint64")) + np.uint64(7))
         group = (((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)) << np.uint64(32)) | (hashes >> np.uint64(32))
         return of, offset, which, start[sample], least, group
 
@@ -176,6 +179,35 @@ def gathered(data, start, size):
     return np.concatenate(out)
 
 
+def words_of(data):
+    """The eight bytes from each place on as a number, which orders as they do; zeros follow the end."""
+    import numpy as np
+
+    return np.ndarray(len(data), ">u8", np.concatenate((data, np.zeros(8, "uint8"))), strides=(1,))
+
+
+def equal_windows(data, start, length: int):
+    """The windows that begin at ``start`` in an order in which equal ones are neighbours, and whether each is unlike the one before it."""
+    import numpy as np
+
+    words, places = words_of(data), [*range(0, length - 8, 8), length - 8]
+    hashes = np.zeros(len(start), "uint64")
+    for k in places:
+        hashes = _mixed(hashes + words[start + k].astype("uint64"))
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    at = start[order]
+    if any((words[at[1:] + k] != words[at[:-1] + k])[~new[1:]].any() for k in places):  # a collision of hashes: by the bytes
+        keys = [words[start + k].astype("uint64") for k in places]
+        order = np.lexsort(keys[::-1])
+        new[1:] = False
+        for key in keys:
+            new[1:] |= key[order][1:] != key[order][:-1]
+    return order, new
+
+
 def merge_sorted(items, start, size, compare: Callable):
     """Items in segments (of each: where its segment starts, and its size) in the order of ``compare``: all runs of a width are merged at once.
 
@@ -231,11 +263,35 @@ def _shared(data, sizes, left, doc, group, length: int):
     segment = np.cumsum(new) - 1
     begins = np.flatnonzero(new)
     sums, inverse = prefix_hashes(data)
+    whole, words, told = (sums[start + length] - sums[start]) * inverse[start], words_of(data), length // 8 * 8
+    items, settled = np.arange(len(piece)), np.zeros(len(piece), bool)
+
+    def ties():
+        """Places of items that tie with a neighbour, and their runs; runs of one hash are settled."""
+        beside = ~new
+        beside[:-1] |= ~new[1:]
+        at = np.flatnonzero(beside & ~settled)
+        run = np.cumsum(new[at]) - 1
+        if len(at):
+            first, own = np.flatnonzero(new[at]), whole[items[at]]
+            same = (np.minimum.reduceat(own, first) == np.maximum.reduceat(own, first))[run]
+            settled[at[same]] = True
+            at = at[~same]
+            run = np.cumsum(new[at]) - 1
+        return at, run
+
+    for k in range(0, told, 8):
+        at, run = ties()
+        word = words[start[items[at]] + k].astype("uint64")
+        by = np.argsort(word, kind="stable")
+        by = by[np.argsort(run[by], kind="stable")]
+        items[at], word = items[at[by]], word[by]
+        new[at[1:]] = (run[1:] != run[:-1]) | (word[1:] != word[:-1])
 
     def compare(a, b):
         i, j = start[a], start[b]
-        common = np.zeros(len(a), "int64")
-        step = 1 << (length.bit_length() - 1)
+        common = np.full(len(a), told)
+        step = 1 << ((length - told).bit_length() - 1) if told < length else 0
         while step:
             x, y = i + common, j + common
             fits = np.flatnonzero(common + step <= length)
@@ -247,12 +303,13 @@ def _shared(data, sizes, left, doc, group, length: int):
         at = np.minimum(common, length - 1)
         return np.where(open_, np.sign(data[i + at].astype("int16") - data[j + at]), 0)
 
+    at, run = ties()
+    first = np.flatnonzero(new[at])
+    items[at] = merge_sorted(items[at], first[run], np.diff(np.concatenate((first, [len(at)])))[run], compare)
     size = np.diff(np.concatenate((begins, [len(piece)])))
-    items = merge_sorted(np.arange(len(piece)), begins[segment], size[segment], compare)
-    equal, wrong = np.zeros(len(items), bool), []
-    for at in range(1, len(items), 1 << 16):  # neighbours verified by their bytes
-        here = np.arange(at, min(len(items), at + (1 << 16)))
-        here = here[segment[here] == segment[here - 1]]
+    equal, wrong, tied = np.zeros(len(items), bool), [], np.flatnonzero(~new)
+    for at in range(0, len(tied), 1 << 16):  # neighbours verified by their bytes
+        here = tied[at : at + (1 << 16)]
         a, b = (data[start[items[k]][:, None] + np.arange(length)] for k in (here - 1, here))
         differ = a != b
         some, where = differ.any(axis=1), differ.argmax(axis=1)

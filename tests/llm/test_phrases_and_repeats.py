@@ -150,6 +150,31 @@ def test_collisions_are_verified(monkeypatch):
     assert suffix_dedup.shared_windows(*args).tolist() == [0] * 6 + [1, 1]
 
 
+def test_few_suffixes_are_left_to_the_merges(monkeypatch):
+    """Eight bytes after eight tell most suffixes apart, and equal ones needn't be compared."""
+    rng = np.random.default_rng(5)
+    pieces = [rng.integers(97, 99, 50).astype("uint8") for _ in range(300)]
+    pieces += pieces[:200] + [np.append(p[:49], np.uint8(99)) for p in pieces[:20]]
+    n, merged, plain = len(pieces), [], suffix_dedup.merge_sorted
+    monkeypatch.setattr(suffix_dedup, "merge_sorted", lambda items, *rest: merged.append(len(items)) or plain(items, *rest))
+    texts = [p.tobytes() for p in pieces]
+    got = suffix_dedup.shared_windows(np.concatenate(pieces), np.full(n, 50), np.zeros(n, "int64"), np.arange(n), np.zeros(n, "uint64"))
+    assert got.tolist() == [int(texts.index(x) < k) for k, x in enumerate(texts)]
+    assert sum(merged) <= 60
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_windows_are_neighbours(monkeypatch, collide):
+    rng = np.random.default_rng(6)
+    data, start = rng.integers(97, 99, 300).astype("uint8"), rng.integers(0, 279, 500)
+    if collide:
+        monkeypatch.setattr(suffix_dedup, "_mixed", lambda x: x * np.uint64(0))
+    order, new = suffix_dedup.equal_windows(data, start, 21)
+    texts = [data[k : k + 21].tobytes() for k in start[order]]
+    assert sorted(order.tolist()) == list(range(500))
+    assert new.tolist() == [k == 0 or x != texts[k - 1] for k, x in enumerate(texts)] and new.sum() == len(set(texts))
+
+
 def test_repeats_in_odd_rows(odd, none):
     assert suffix_dedup.digests(none).count() == 0
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
